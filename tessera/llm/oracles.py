@@ -8,11 +8,11 @@ WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS words FROM doc
 place AS (SELECT rid, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
 win AS (SELECT p.rid, p.i, md5(array_to_string(w.words[p.i : p.i + 34], ' ')) AS h FROM place p JOIN w USING (rid)),
 hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
-gone AS (SELECT rid, list(DISTINCT i + k) AS at FROM hit, range(35) AS r(k) GROUP BY rid),
+gone AS (SELECT rid, list(DISTINCT i + k) AS spots FROM hit, range(35) AS r(k) GROUP BY rid),
 word AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
 kept AS (
   SELECT word.rid, string_agg(word, ' ' ORDER BY word.i) AS text, count(*) AS n
-  FROM word LEFT JOIN (SELECT rid, unnest(at) AS i FROM gone) g ON word.rid = g.rid AND word.i = g.i
+  FROM word LEFT JOIN (SELECT rid, unnest(spots) AS i FROM gone) g ON word.rid = g.rid AND word.i = g.i
   WHERE g.i IS NULL GROUP BY word.rid)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(k.text, '')) AS kept_sha256

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"), 8)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
