@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import cut
+
+__all__ = ["cut"]
+
 #: Bytes that separate words: space and \x09-\x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text bytes that one pass of the byte hash covers; bounds its scratch memory.
@@ -25,18 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and cut its lineage in the session's shared checkpoint folder.
-
-    The folder is ``spark.checkpoint.dir``; only where a session names none
-    (tests, local use) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
-
-
 def crc_mod(col: str, n: int):
     """crc32 of the column's text form, modulo ``n`` (a null column gives null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
