@@ -1,15 +1,76 @@
-"""The corpus pipeline: five stages of the training-data operators over ``documents``."""
+"""The corpus pipeline: five stages of the training-data operators over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
+return the columns of documents; the last adds the ids of each text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import table
+from tessera.llm.decontaminate import drop_leaks
+from tessera.llm.jaccard_join import drop_near_copies
+from tessera.llm.quality import THRESHOLD, fit, score_column
+from tessera.llm.sentencepiece_codec import decode, encode, load_tables
+from tessera.llm.substring_dedup import substring_dedup
+from tessera.plans.ship import shipped
+
+
+@shipped
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score_column(model) >= THRESHOLD)
+
+
+@shipped
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
+@shipped
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur elsewhere too; untouched texts stay as they are."""
+    out = substring_dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+@shipped
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@shipped
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their texts, and whether these decode to the text again."""
+    tables = load_tables(docs)
+    rows = decode(encode(docs, tables=tables), tables=tables)
+    return rows.withColumn("round_trip", F.col("decoded") == F.translate("text", "▁", " ")).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding", sentencepiece),
+]
 
-STAGES: list = []
+#: SQL can't express the classifier or the segmentation.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

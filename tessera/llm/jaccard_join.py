@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     blocks = sized.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("nb"))
     wanted = cut(sized.join(blocks, "comp").select("cid", "comp", "nb", "doc_id", "th", "n"))
     stat = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("nb").alias("nb")).first()
-    slots = max(1, stat["n"] // block_shingles)
+    slots = max(1, 16 * stat["n"] // block_shingles)
     texts = source.withColumn("id", F.col("doc_id")).drop("doc_id").join(small(wanted.drop("n"), stat["rows"], broadcast_rows), on=[F.col("id").eqNullSafe(F.col("doc_id")), source["th"] == wanted["th"]]).select("cid", "comp", "nb", "text")
     texts = texts.groupBy("cid", "comp", "nb").agg(F.min("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")))
     tiles = texts.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import decode, encode, load_tables
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tables = load_tables(docs)
+    rows = decode(encode(docs, tables=tables), tables=tables)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("round_trip"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
