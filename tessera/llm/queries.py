@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import decode, encode, load_tables
 
