@@ -40,6 +40,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_texts
+
+    out = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_join
 

@@ -164,34 +164,60 @@ class Encoder:
         return result
 
     def _search_short(self, text: str) -> array.array:
-        """``search`` for a rank-merged stretch so short that no look for a common boundary is due."""
-        n, ids, trie, apart, size = len(text), [None] * (len(text) + 1), self.trie, self.apart, self.size
-        back = [0] * (n + 1)
-        ids[0], p = -1, 0
+        """``search`` for a rank-merged stretch so short that no look for a common boundary is due.
+
+        A boundary has one admissible path at most, so the order of the search is
+        free: the longest piece is tried first, and a boundary is left for good.
+        """
+        n, trie, apart, size = len(text), self.trie, self.apart, self.size
+        met, path, left = [False] * (n + 1), [(0, -1)], []
+        p, before = 0, -1
         while p < n:
-            before, node, k = ids[p], trie, p
-            for c in text[p:]:
-                node = node.get(c)
-                if node is None:
+            if len(left) < len(path):
+                node, edges, k = trie, [], p
+                for c in text[p:]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    k += 1
+                    if "" in node:
+                        edges.append((k, node[""]))
+                if not edges or edges[0][0] > p + 1:  # a character outside the vocabulary
+                    edges.insert(0, (p + 1, -1))
+                left.append(edges)
+            edges = left[-1]
+            while edges:
+                k, i = edges.pop()
+                if met[k]:
+                    continue
+                if before < 0 or i < 0:
+                    fits = True
+                else:
+                    fits = apart.get(before * size + i)
+                    if fits is None:
+                        fits = self.stay_apart(before, i)
+                if fits:
+                    met[k] = True
+                    path.append((k, i))
+                    p, before = k, i
                     break
-                k += 1
-                if ids[k] is None and "" in node:
-                    i = node[""]
-                    if before < 0:
-                        fits = True
-                    else:
-                        fits = apart.get(before * size + i)
-                        if fits is None:
-                            fits = self.stay_apart(before, i)
-                    if fits:
-                        ids[k], back[k] = i, p
-            p += 1
-            if ids[p] is None:  # a character outside the vocabulary
-                ids[p], back[p] = -1, p - 1
-        out = array.array("i")
-        self._commit(text, 0, n, ids, back, out)
+            else:
+                left.pop()
+                path.pop()
+                p, before = path[-1]
+        out, a = array.array("i"), 0
+        for b, i in path[1:]:
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(self._outside(text[a:b]))
+            a = b
         return out
 
+    def _outside(self, c: str) -> list[int]:
+        """The ids of a character that no piece holds."""
+        return [self.v.byte_ids[x] for x in c.encode("utf-8", "surrogatepass")] if self.v.byte_ids else [self.v.unk]
+
     def search(self, text: str, window: list | None = None) -> array.array:
         """Ids of ``text``, searched as one lattice.  ``window`` collects the widths kept, for tests."""
         v, n, reach = self.v, len(text), self.v.longest
@@ -246,8 +272,7 @@ class Encoder:
             if last[b] >= 0:
                 out.append(last[b])
             else:
-                raw = text[a:b].encode("utf-8", "surrogatepass")
-                out.extend([self.v.byte_ids[x] for x in raw] if self.v.byte_ids else [self.v.unk])
+                out.extend(self._outside(text[a:b]))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32."""
@@ -271,8 +296,9 @@ class Encoder:
 
 def decode_ids(text: list[bytes], ids: np.ndarray) -> str:
     """The text of some ids: pieces joined, one space in front dropped."""
-    n = len(text)
-    raw = b"".join([text[i] for i in ids.tolist() if 0 <= i < n])
+    if len(ids) and not (0 <= ids.min() and ids.max() < len(text)):
+        ids = ids[(ids >= 0) & (ids < len(text))]
+    raw = b"".join([text[i] for i in ids.tolist()])
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
