@@ -22,9 +22,15 @@ def query(sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    from .plans import archive_queries  # noqa: F401  registers on import
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

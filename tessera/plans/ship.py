@@ -27,12 +27,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, for texts of any length; a bound that the session has set stays."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, f"{most}b")
+
+
 def shipped(f):
-    """A query or stage that ships the package first; its session is its first argument."""
+    """A query or stage that ships the package and bounds batches first; its session is its first argument."""
 
     @wraps(f)
     def run(spark, *args):
         ship(spark)
+        small_batches(spark)
         return f(spark, *args)
 
     return run
