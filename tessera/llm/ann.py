@@ -18,8 +18,9 @@ the k-th product is scored again row by row in double precision, so ties are
 settled by id alone.
 
 Plan: the driver sees the sample, the centroids and one count for each list, all
-bounded by parameters; vectors are shuffled once a replica, then at most k rows for
-each query and chunk.
+bounded by parameters; vectors are shuffled once a replica.  A chunk answers a
+query with one packed row of its k best at most; these are merged for each query,
+in two steps where the grid of chunks is large.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components,
 of another length than most, or without an id take no part; rows of a query's own
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -46,6 +47,8 @@ REPLICAS, BOUNDARY = 2, 1.10
 LINKS = 16
 TARGET = 0.97
 CHUNK = 4096
+#: Answers of chunks that are merged at once for a query; answers in a slot of merged queries, about.
+MERGED, SLOT = 4096, 4096
 #: Pairs scored again at a time.
 PAIRS = 50_000
 
@@ -169,24 +172,63 @@ def _arrow(x: np.ndarray) -> pa.Array:
 
 
 def _spread(index, name: str, route: bool):
+    """Rows of vectors to their lists or, to ``route``, of queries to those they search."""
+
     def spread(batches):
         for whole in batches:
-            for low in range(0, len(whole), 2048):
-                b = whole.slice(low, 2048)
-                x = _matrix(b.column("v"))
+            for low in range(0, len(whole), 512):
+                b = whole.slice(low, 512)
+                x, ids = _matrix(b.column("v")), b.column(name).to_numpy()
                 if route:
                     lists = [index.value.walk(q, index.value.ratio) for q in index.value.ask(x)]
                     row, at = np.repeat(np.arange(len(x)), [len(i) for i in lists]), np.array([i for own in lists for i in own], np.int64)
                 else:
                     row, at = index.value.lists_of(x)
-                yield pa.RecordBatch.from_pydict({"list": at.astype(np.int32), name: b.column(name).to_numpy()[row], "v": _arrow(x[row])})
+                yield pa.RecordBatch.from_pydict({"list": at.astype(np.int32), name: ids[row], "v": _arrow(x[row])})
 
     return spread
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best rows of each query, an id once, best first, ties to the smaller id."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    once = np.ones(len(ids), bool)
+    once[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, score = query[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], score[keep]
+
+
+def _packed(query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.Table:
+    """One row for each query (rows come sorted by it), ids and scores as bytes."""
+    cuts = np.flatnonzero(np.diff(query)) + 1
+    pack = lambda x: pa.array([p.tobytes() for p in np.split(x, cuts)] if len(x) else [], pa.binary())
+    return pa.table({"query_id": query[np.concatenate(([0], cuts))] if len(query) else query, "ids": pack(ids), "scores": pack(score)})
+
+
+def _unpacked(t: pa.Table):
+    ids = [np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()]
+    query = np.repeat(t.column("query_id").to_numpy(), [len(x) for x in ids])
+    return query, np.concatenate(ids), np.concatenate([np.frombuffer(x, np.float64) for x in t.column("scores").to_pylist()])
+
+
+def _merge(k: int, last: bool):
+    def merge(key, t):
+        query, ids, score = _best(*_unpacked(t), k)
+        if not last:
+            return _packed(query, ids, score)
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        return pa.table({"query_id": query, "rank": rank.astype(np.int32), "vec_id": ids, "score": score})
+
+    return merge
+
+
 def _score(k: int):
     def score(key, vectors, queries):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        rows = []
         if len(vectors) and len(queries):
             v, q = _matrix(vectors.column("v")), _matrix(queries.column("v"))
             vid, qid = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
@@ -200,13 +242,8 @@ def _score(k: int):
                 exact = np.empty(len(row))
                 for a in range(0, len(row), PAIRS):
                     exact[a : a + PAIRS] = (q[low + row[a : a + PAIRS]] * v[col[a : a + PAIRS]]).sum(1)
-                order = np.lexsort((vid[col], -exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < k
-                out["query_id"].append(qid[low + row[keep]]), out["vec_id"].append(vid[col[keep]]), out["score"].append(exact[keep])
-        empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({n: np.concatenate(x) if x else np.zeros(0, empty[n]) for n, x in out.items()})
+                rows.append((qid[low + row], vid[col], exact))
+        return _packed(*_best(*(np.concatenate(x) for x in zip(*rows)), k)) if rows else _packed(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0))
 
     return score
 
@@ -235,7 +272,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     post = post.join(grid, "list").withColumn("vc", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("qc", every("nq")).select("list", "vc", "qc", "vec_id", "v")
     route = route.join(grid, "list").withColumn("qc", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vc", every("nv")).select("list", "vc", "qc", "query_id", "v")
     tile = ["list", "vc", "qc"]
-    found = post.groupBy(*tile).cogroup(route.groupBy(*tile)).applyInArrow(_score(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    packed = "query_id long, ids binary, scores binary"
+    found = post.groupBy(*tile).cogroup(route.groupBy(*tile)).applyInArrow(_score(k), packed)
+    # Queries are merged in slots of some hundred rows, so that a group is neither tiny nor long.
+    tiles = sum(-(-n // chunk) for n in held.values())
+    if tiles > MERGED:
+        parts = -(-tiles // MERGED)
+        found = found.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).groupBy("query_id", "part").applyInArrow(_merge(k, False), packed)
+    slots = max(1, sum(asked.values()) // SLOT)
+    found = found.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(slots)))
+    return found.groupBy("slot").applyInArrow(_merge(k, True), "query_id long, rank int, vec_id long, score double")
