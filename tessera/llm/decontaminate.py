@@ -115,7 +115,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage
     hits = cut(hits.select("doc_id", "th", "h", "len", (F.col("p") + 1).alias("p")).distinct())
     found = cut(hits.join(bench, ["h", "len"]).withColumn("diag", F.col("p") - F.col("j")).select("doc_id", "th", "item_id", "item", "n_win", "j", "diag", "slots"))
     slots = found.where(F.size("slots") > 0).select("doc_id", "th", "item", "diag", "j", F.explode("slots").alias("s")).select("doc_id", "th", "item", "diag", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), (F.col("j") + F.col("s.k") + F.col("diag")).alias("at")).distinct()
-    need = slots.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    need = cut(slots.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    if need.count() <= broadcast_rows:
+        need = F.broadcast(need)
     words = source.withColumn("_h", F.xxhash64("text")).join(need, on=[F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_h") == F.col("_th")], how="left_semi").dropDuplicates(["doc_id", "_h"]).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_th"), tokens(F.col("text")).alias("w"))
     same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("th") == F.col("_th")]
     filled = slots.join(words, same).select("doc_id", "th", "item", "diag", "kind", "value", F.element_at("w", F.col("at")).alias("own"))
