@@ -13,7 +13,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import drop_leaks
 from tessera.llm.jaccard_join import drop_near_copies
 from tessera.llm.quality import THRESHOLD, fit, score_column
-from tessera.llm.sentencepiece_codec import decode, encode, load_tables
+from tessera.llm.sentencepiece_codec import encode
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.plans.ship import shipped
 
@@ -51,8 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @shipped
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their texts, and whether these decode to the text again."""
-    tables = load_tables(docs)
-    rows = decode(encode(docs, tables=tables), tables=tables)
+    rows = encode(docs, decoded="decoded")
     return rows.withColumn("round_trip", F.col("decoded") == F.translate("text", "▁", " ")).drop("decoded")
 
 

@@ -45,7 +45,7 @@ from .common import row_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct stretches that a worker remembers, and the longest that it does.
-REMEMBER, STRETCH = 200_000, 64
+REMEMBER, STRETCH = 60_000, 64
 #: Boundaries searched between two looks for a common one.
 LOOK = 256
 
@@ -158,7 +158,7 @@ class Encoder:
                 until_left, x = rx, split[x][1]
             else:
                 until_right, y = ry, split[y][0]
-        if len(self.apart) >= 2_000_000:
+        if len(self.apart) >= 200_000:
             self.apart.clear()
         self.apart[key] = result
         return result
@@ -314,6 +314,18 @@ def _encoder(tables) -> Encoder:
     return _encoders[name]
 
 
+_texts: dict[str, list[bytes]] = {}
+
+
+def _piece_texts(tables) -> list[bytes]:
+    """The worker's texts of the pieces."""
+    name, blob = tables.value
+    if name not in _texts:
+        _texts.clear()
+        _texts[name] = pickle.loads(blob).text
+    return _texts[name]
+
+
 def load_tables(df: DataFrame, path: str = MODEL):
     """The model's tables as a broadcast variable."""
     blob = pickle.dumps(Vocabulary.load(path))
@@ -324,10 +336,14 @@ def _slice(b: pa.RecordBatch, i: int, j: int, drop: str) -> dict:
     return {c: b.column(c).slice(i, j - i) for c in b.schema.names if c != drop}
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "ids", tables=None) -> DataFrame:
-    """``docs`` with ``out``: the model's ids of each whole text."""
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "ids", decoded: str | None = None, tables=None) -> DataFrame:
+    """``docs`` with ``out``: the model's ids of each whole text.
+
+    With ``decoded``, that column gets the text of the ids, decoded in the same pass.
+    """
     tables = tables or load_tables(docs, path)
-    docs = docs.drop(out)
+    docs = docs.drop(out, decoded or out)
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches):
         e = _encoder(tables)
@@ -336,9 +352,12 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "i
                 ids = [None if t is None else e.encode(t) for t in b.column(text).slice(i, j - i).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), "<i4")), mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_pydict(_slice(b, i, j, out) | {out: lists})
+                new = {out: lists}
+                if decoded:
+                    new[decoded] = pa.array([None if x is None else decode_ids(e.v.text, np.frombuffer(x, "<i4")) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(_slice(b, i, j, out) | new)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "decoded", tables=None) -> DataFrame:
@@ -347,7 +366,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "dec
     rows = rows.drop(out)
 
     def run(batches):
-        text = _encoder(tables).v.text
+        text = _piece_texts(tables)
         for b in batches:
             lists = b.column(ids)
             for i in range(0, len(lists), 256):

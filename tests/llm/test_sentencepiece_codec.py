@@ -64,10 +64,12 @@ def test_tables(spark, model):
     sp, _ = model
     texts = [None, "", " ", "one", "a" * 200_000, "tab\there", "  two  spaces ", "emoji 🙂 \x00 end", "one", "x y " * 100_000]
     docs = spark.createDataFrame([(None if i == 3 else i, t, "keep") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
-    rows = decode(encode(docs)).collect()
+    both = encode(docs, decoded="again")
+    assert both.columns == ["doc_id", "text", "ids", "again"]
+    rows = decode(both).collect()
     assert sorted(str(r.text and r.text[:9]) for r in rows) == sorted(str(t and t[:9]) for t in texts)
     for r in rows:
-        assert r.decoded == r.text
+        assert r.decoded == r.text == r.again
         assert r.ids is None if r.text is None else r.ids == sp.encode(r.text)
     assert decode(encode(docs.where("false"))).count() == 0
     assert decode_ids([b"a"], np.array([0, 7, -1])) == "a"
