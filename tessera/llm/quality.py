@@ -24,7 +24,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,9 +138,10 @@ def _sums(rows: DataFrame, f, width: int) -> np.ndarray:
 def features(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and the statistics of each text."""
 
-    @F.pandas_udf("array<double>")
-    def stats(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(statistics(pa.array(texts, pa.string()))))
+    @F.arrow_udf("array<double>")
+    def stats(texts: pa.Array) -> pa.Array:
+        x = statistics(texts)
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * STATISTICS, x.ravel())
 
     return docs.select(*keep, stats("text").alias("x"))
 
@@ -189,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 def score_column(model: Model, text: str = "text") -> Column:
     """The calibrated score of a text column."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(statistics(pa.array(texts, pa.string()))))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(statistics(texts)), pa.float64())
 
     return score(F.col(text))
 
