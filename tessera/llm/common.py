@@ -18,6 +18,9 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text bytes that one pass of the byte hash covers; bounds its scratch memory.
 SEGMENT = 1 << 19
 
+# Freed Arrow memory goes back to the system, so that idle Python workers stay small.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _NONSPACE = np.ones(256, dtype=bool)
 _NONSPACE[list(SPACES)] = False
 _U = np.uint64
