@@ -134,8 +134,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
-    found = cut(find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    found = cut(find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th")).distinct())
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(found, on=[F.col("doc_id").eqNullSafe(F.col("_id")), key == F.col("_th")], how="left_anti")
+    return docs.join(found, on=[F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")], how="left_anti")

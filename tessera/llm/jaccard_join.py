@@ -220,7 +220,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of every class of near copies: the one of the least doc_id."""
-    found = cut(jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    found = cut(jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th")).distinct())
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rest = docs.join(small(found, found.count()), on=[F.col("doc_id").eqNullSafe(F.col("_id")), key == F.col("_th")], how="left_anti")
+    rest = docs.join(small(found, found.count()), on=[F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")], how="left_anti")
     return rest

@@ -223,7 +223,7 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
     ranks = ranks or load_ranks(index, path)
     index = index.drop("recut")
     order = F.array_sort(F.collect_list(F.struct("seq", "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement"))))
-    grouped = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("_edited")).agg(order.alias("_edits"))
+    grouped = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("_tessera_edited")).agg(order.alias("_tessera_edits"))
     names = index.columns
 
     def run(batches):
@@ -232,8 +232,8 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
             for low in range(0, len(b), 64):
                 rows = b.slice(low, 64).to_pylist()
                 for r in rows:
-                    todo, r["recut"] = r.pop("_edits"), 0
-                    r.pop("_edited")
+                    todo, r["recut"] = r.pop("_tessera_edits"), 0
+                    r.pop("_tessera_edited")
                     if todo:
                         text, tree = r["text"] or "", Tree([(x["chars"], x["tokens"]) for x in r["leaves"]])
                         for e in todo:
@@ -243,5 +243,5 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
                 kinds = pa.schema([b.schema.field(n) for n in names] + [pa.field("recut", pa.int64())])
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    joined = index.join(grouped, F.col("doc_id") == F.col("_edited"), "left")
+    joined = index.join(grouped, F.col("doc_id") == F.col("_tessera_edited"), "left")
     return joined.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("recut", T.LongType())]))
