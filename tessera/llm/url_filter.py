@@ -30,7 +30,9 @@ from .common import cut
 
 #: (verdict, rule); a rule is host and path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
+#: Share of the labelled pages, and number of them, that a rule's tokens and label hold at least.
+MIN_SUPPORT, MIN_COUNT = 0.002, 5
+MIN_CONFIDENCE, MIN_LIFT = 0.5, 1.5
 _BAD = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)\A(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -74,7 +76,7 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.coalesce(url.contains("://"), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """(tokens, key, confidence, support): token combinations that announce a bad page; key is the rarest."""
     spark = pages.sparkSession
     marks = labels.where("doc_id is not null and coalesce(quality, toxic) is not null").groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
@@ -85,7 +87,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     none = spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double")
     if total["bad"] == 0:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.select("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, (min_count - 0.5) / total["n"])), minConfidence=min_confidence).fit(baskets.select("items"))
     base = total["bad"] / total["n"]
     rules = model.associationRules.where(F.element_at("consequent", 1) == _BAD).where(F.col("confidence") >= min_lift * base)
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))

@@ -19,7 +19,7 @@ def judged(url):
     return (host, path, *(max(fits)[1:] if fits else (None, None)))
 
 
-def mined_by_brute_force(baskets, support, confidence, lift):
+def mined_by_brute_force(baskets, support, confidence, lift, least):
     n, bad = len(baskets), sum(b for _, b in baskets)
     both, alone = Counter(), Counter()
     for tokens, b in baskets:
@@ -27,7 +27,7 @@ def mined_by_brute_force(baskets, support, confidence, lift):
             for c in combinations(sorted(tokens), k):
                 alone[c] += 1
                 both[c] += b
-    floor = -(-support * n // 1)
+    floor = max(-(-support * n // 1), least)
     rules = {c: both[c] / alone[c] for c in alone if both[c] >= floor and both[c] / alone[c] >= max(confidence, lift * bad / n)}
     return {c: v for c, v in rules.items() if not any(set(d) < set(c) and w >= v for d, w in rules.items())}
 
@@ -44,9 +44,11 @@ def test_mining_and_verdicts(spark):
         marks[i] = marks.get(i, 0) or int(a == 0 or b == 1)
     tokens = {r.url: r.t for r in p.select("url", url_tokens(F.col("url")).alias("t")).distinct().collect()}
     baskets = [(tokens[u], marks[i]) for i, u, _ in pages if i in marks and i is not None and tokens[u]]
-    want = mined_by_brute_force(baskets, 0.02, 0.5, 1.5)
-    got = {tuple(r.tokens): r.confidence for r in mine_rules(p, q, 0.02).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and got
+    for least in (1, 5, 12):
+        want = mined_by_brute_force(baskets, 0.02, 0.5, 1.5, least)
+        got = {tuple(r.tokens): r.confidence for r in mine_rules(p, q, 0.02, min_count=least).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and got
+    want = mined_by_brute_force(baskets, 0.02, 0.5, 1.5, 5)
     rows = filter_urls(p, q, min_support=0.02).collect()
     assert len(rows) == len(pages)
     expected = Counter()
