@@ -36,7 +36,7 @@ FROM conversations""",
     "source_tags": """
 SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS tag_string FROM documents
 UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || CAST(doc_id % 7 AS VARCHAR(20)) FROM documents
-UNION ALL SELECT doc_id, source || CASE WHEN doc_id % 4 = 0 THEN 's' ELSE '' END FROM documents""",
+UNION ALL SELECT doc_id, source || CASE WHEN doc_id % 3 = 0 THEN 's' ELSE '' END FROM documents""",
     "overlay_tags": """
 SELECT doc_id AS document_id, 'topic-' || CAST(doc_id % 7 AS VARCHAR(20)) AS tag, CASE doc_id % 3 WHEN 0 THEN 'learned' WHEN 1 THEN 'manual' ELSE 'cluster_l1' END AS origin FROM documents
 UNION ALL SELECT doc_id, CASE WHEN quality = 1 THEN 'Academic' ELSE 'academic' END, 'inferred' FROM labels""",
