@@ -178,18 +178,20 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, class_id, copy_id, n_links, is_kept, th.
+    """For each row of ``docs`` (doc_id, text): doc_id, class_id, copy_id, n_links, is_kept, is_repeat, th.
 
     copy_id is the least doc_id with the same shingle set, class_id the least doc_id
     of everything linked to it directly or through others, n_links the number of
     other shingle sets within the threshold.  th is the hash of the text, kept where
-    the row is the one of its class (least id, then hash) that a deduplication keeps.
+    the row is the one of its class (least id, then hash, then a row number taken
+    once) that a deduplication keeps, repeat where another row of the same doc_id and
+    th is kept.
     """
     depth = depth_for(threshold, trees)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = cut(source.mapInArrow(_slim(size, trees * depth), "doc_id long, th long, cid long, c2 long, n long, sign binary"))
+    rows = cut(source.mapInArrow(_slim(size, trees * depth), "doc_id long, th long, cid long, c2 long, n long, sign binary").withColumn("row", F.monotonically_increasing_id()))
     full = rows.where("n > 0")
-    classes = cut(full.groupBy("cid", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign")).select("cid", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "n", "sign"))
+    classes = cut(full.groupBy("cid", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign")).select("cid", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), F.col("rep.row").alias("row"), "n", "sign"))
     paths = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sign, {t * depth * 4 + 1}, {depth * 4})")) for t in range(trees)])
     nodes = classes.select("cid", F.explode(paths).alias("path"))
     forks = nodes.groupBy("path").agg(F.min("cid").alias("m"), F.max("cid").alias("z")).where("m <> z").select("path", "m")
@@ -210,17 +212,30 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         roots = connected_components(checked, "cid", "root")
     else:
         roots = checked.select(F.col("cid").alias("node"), "root")
-    known = classes.join(links, "cid", "left").join(roots, classes["cid"] == roots["node"], "left").select(classes["cid"], "c2", "doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", classes["cid"]).alias("root"))
-    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("best"))
-    known = known.join(best, "root").select("cid", "c2", F.col("doc_id").alias("copy_id"), "n_links", F.col("best.doc_id").alias("class_id"), F.col("best.th").alias("best_th"))
-    joined = full.select("doc_id", "th", "cid", "c2").join(known, ["cid", "c2"]).select("doc_id", "class_id", "copy_id", "n_links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("best_th"))).alias("is_kept"), "th")
-    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_kept"), "th")
+    known = classes.join(links, "cid", "left").join(roots, classes["cid"] == roots["node"], "left").select(classes["cid"], "c2", "doc_id", "th", "row", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", classes["cid"]).alias("root"))
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("best"))
+    known = known.join(best, "root").select("cid", "c2", F.col("doc_id").alias("copy_id"), "n_links", F.col("best.doc_id").alias("class_id"), F.col("best.th").alias("best_th"), F.col("best.row").alias("best_row"))
+    kept = F.col("row") == F.col("best_row")
+    repeat = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("best_th")) & ~kept
+    joined = full.select("doc_id", "th", "row", "cid", "c2").join(known, ["cid", "c2"]).select("doc_id", "class_id", "copy_id", "n_links", kept.alias("is_kept"), repeat.alias("is_repeat"), "th")
+    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_kept"), F.lit(False).alias("is_repeat"), "th")
     return joined.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of every class of near copies: the one of the least doc_id."""
-    found = cut(jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th")).distinct())
+    """``docs`` with one row of every class of near copies: the one of the least doc_id.
+
+    Of rows with one doc_id and text the one with the least hash of all columns stays.
+    """
+    found = jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th"), F.col("is_repeat").alias("_tessera_repeat"))
+    found = cut(found.distinct())
+    stat = found.agg(F.count("*").alias("rows"), F.count_if("_tessera_repeat").alias("repeats")).first()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rest = docs.join(small(found, found.count()), on=[F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")], how="left_anti")
-    return rest
+    on = [F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")]
+    rest = docs.join(small(found, stat["rows"]), on=on, how="left_anti")
+    if not stat["repeats"]:
+        return rest
+    again = docs.join(small(found.where("_tessera_repeat"), stat["repeats"]), on=on, how="left_semi")
+    hashed = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    one = again.groupBy("doc_id", key.alias("_tessera_th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_tessera_row"))
+    return rest.unionByName(one.select("_tessera_row.*"))

@@ -79,6 +79,21 @@ def test_one_of_each_group_stays(spark):
     assert {0, 1, 2} <= {r.doc_id for r in kept.collect()}
 
 
+def test_repeated_rows_and_null_ids_leave_one_row(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, long, 1), (1, long, 1), (1, long, 2), (2, long, 3), (None, other, 4), (None, other, 4), (None, other + " x", 5), (7, "a b", 6), (8, None, 7), (8, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(4)
+    flags = jaccard_join(docs).where("doc_id = 1").collect()
+    assert sorted((r.is_kept, r.is_repeat) for r in flags) == [(False, True), (False, True), (True, False)]
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in kept.collect())
+    assert got == {(1, "w0"): 1, (None, "v0"): 1, (7, "a "): 1, (8, ""): 2}
+    again = drop_near_copies(docs.repartition(3, "extra"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join(docs).count() == 0
