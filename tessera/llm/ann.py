@@ -11,11 +11,12 @@ every vector the largest norm.
 
 Centroids come from a bounded sample (SAMPLE distinct vectors in the order of a
 hash of their ids) by k-means with a penalty on full clusters; every vector is
-indexed.  A list larger than CHUNK is cut into chunks by a hash of the id, and all
-its chunks are searched, so a group of copies of any size spreads over tasks;
-queries to a list are chunked alike.  Within a chunk, everything within a hair of
-the k-th product is scored again row by row in double precision, so ties are
-settled by id alone.
+indexed.  Equal rows (id and vector) count once.  A list larger than CHUNK is cut
+into chunks by a hash of id and vector, and all its chunks are searched, so a group
+of copies, or of vectors of one id, spreads over tasks whatever its size; queries to
+a list are chunked by id.  Within a chunk, everything within a hair of the k-th best
+id's product is scored again row by row in double precision, so ties are settled by
+id alone.
 
 Plan: the driver sees the sample, the centroids and one count for each list, all
 bounded by parameters; vectors are shuffled once a replica.  A chunk answers a
@@ -232,12 +233,17 @@ def _score(k: int):
         if len(vectors) and len(queries):
             v, q = _matrix(vectors.column("v")), _matrix(queries.column("v"))
             vid, qid = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
+            turn = np.argsort(vid, kind="stable")
+            v, vid = v[turn], vid[turn]
+            heads = np.flatnonzero(np.diff(vid, prepend=vid[0] - 1))
             hair = 1e-9 * np.sqrt((v * v).sum(1).max() * (q * q).sum(1).max())
             step = max(1, (1 << 21) // len(v))
             for low in range(0, len(q), step):
                 s = q[low : low + step] @ v.T
                 s[qid[low : low + step, None] == vid[None, :]] = -np.inf
-                floor = np.partition(s, -k, 1)[:, -k] - hair if len(v) > k else np.full(len(s), -np.inf)
+                # The k-th best of distinct ids: the rows of one id are one answer.
+                top = s if len(heads) == len(v) else np.maximum.reduceat(s, heads, axis=1)
+                floor = np.partition(top, -k, 1)[:, -k] - hair if len(heads) > k else np.full(len(s), -np.inf)
                 row, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
                 exact = np.empty(len(row))
                 for a in range(0, len(row), PAIRS):
@@ -257,7 +263,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = shape["d"], shape["n"]
-    own = own.where(F.size("v") == d)
+    own = own.where(F.size("v") == d).distinct()
     asks = whole(queries).where(F.size("v") == d).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     picked = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     index = fit(np.array([r["v"] for r in picked]), float(np.sqrt(shape["top"])), lists or int(np.clip(round(n**0.5 / 8), 1, MAX_LISTS)), k)
@@ -269,7 +275,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     grid = spark.createDataFrame([(i, -(-held.get(i, 0) // chunk) or 1, -(-asked.get(i, 0) // chunk) or 1) for i in range(len(index.centroids))], "list int, nv int, nq int")
     grid = F.broadcast(grid)  # a row for each list, at most MAX_LISTS
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    post = post.join(grid, "list").withColumn("vc", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("qc", every("nq")).select("list", "vc", "qc", "vec_id", "v")
+    post = post.join(grid, "list").withColumn("vc", F.pmod(F.xxhash64("vec_id", "v"), F.col("nv")).cast("int")).withColumn("qc", every("nq")).select("list", "vc", "qc", "vec_id", "v")
     route = route.join(grid, "list").withColumn("qc", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vc", every("nv")).select("list", "vc", "qc", "query_id", "v")
     tile = ["list", "vc", "qc"]
     packed = "query_id long, ids binary, scores binary"

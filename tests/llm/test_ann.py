@@ -48,6 +48,19 @@ def test_against_brute_force(spark, chunk):
     assert tied
 
 
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_an_id_stored_more_than_k_times_hides_no_others(spark, chunk):
+    rng = np.random.default_rng(2)
+    near = np.array([1.0, 2.0, 0.0, 0.0, 1.0, 0.0])
+    rows = [(0, near.tolist())] + [(i, (rng.normal(size=6) * 0.3).tolist()) for i in range(1, 75)]
+    rows += [(99, (near + rng.normal(size=6) * 0.01).tolist()) for _ in range(25)] + [(98, near.tolist())] * 60
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r.vec_id, r.score) for r in sorted(ann.search(df, df.where("vec_id = 0"), k=20, lists=1, chunk=chunk).collect(), key=lambda r: r.rank)]
+    want = brute(rows, [0], 20)[0]
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(got, want))
+
+
 def test_recall_on_the_driver_table(spark):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
