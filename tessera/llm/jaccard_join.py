@@ -1,13 +1,13 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 Texts are sets of five-word shingles.  Texts with one and the same set form a copy
 class, and only one text of a class goes on.  Every class has a MinHash signature
-of TREES prefixes; a tree is the trie of one prefix of all signatures, sorted.
-Two classes are candidates where they share a path in some tree; paths start at
-full depth and are shortened until a pair at the threshold is found with at least
-the target probability.  Candidate classes are joined into components, and within
+of TREES bands of one depth.  Two classes are candidates where they share a whole
+band; the depth is the greatest up to DEPTH at which a pair at the threshold is found
+with at least the target probability, worked out before any data is seen.  This
+replaces an LSH forest, whose prefixes are shortened at run time.  Candidate classes are joined into components, and within
 a component every pair is verified on the exact shingle sets, so links are exact
-for whatever the forest brought together.
+for whatever the bands brought together.
 
 Plan.  The first pass turns texts into slim rows (set hash, signature); texts
 move again only for classes that have a candidate.  Buckets are reduced to their
