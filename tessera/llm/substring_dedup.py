@@ -16,7 +16,7 @@ at most one entry a block.  Blocks and buckets follow the size of the input.
 
 Defined cases: null text counts as empty; texts under ``size`` words lose
 nothing; repeated rows count as two places; incoming columns named like the
-results are replaced.  Hashes have 64 bits besides the bucket's number.
+results are replaced.  Hashes have 64 bits, of which the bucket's number is part.
 """
 
 from __future__ import annotations
