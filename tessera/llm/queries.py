@@ -28,7 +28,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens, edit_counts, load_ranks
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    start = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.length("text") + 1).cast("int")
+    start = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1).cast("int")
     edits = docs.select("doc_id", F.lit(1).alias("seq"), start.alias("start"), (start + 9).alias("end"), F.lit(" edited 2 words").alias("replacement"))
     ranks = load_ranks(docs)
     index = count_tokens(docs, ranks=ranks).withColumn("n_before", F.col("n_tokens"))

@@ -9,13 +9,20 @@ the pattern can't see past it, and goes on until a new cut falls, after the edit
 an old leaf boundary, from where old leaves stay; only the leaves between are
 encoded and the sums above them updated.
 
-Plan: index and edits are joined on the document (edits of a document are grouped,
-documents are not), texts move once with their edits, and only edited documents
-move.  The tree is a list of leaf rows packed in arrays next to the text.
+The whole tree is kept, inner sums and all, as a column next to the text; an edit
+changes leaves and the paths above them.
 
-Defined cases: null text is empty and counts 0; edits are applied in order of
+Plan: index and edits are joined on the document.  Edits of one document are grouped,
+all of them in one row, since each works on what the one before left; documents are
+not.  Edits whose documents and bytes are few (counted) are broadcast: then no row of
+the index is shuffled, and rows without an edit go on as Arrow columns, unread.  More
+edits than that are joined by a shuffle of the index.
+
+Defined cases: null text is empty and counts 0; a null start is 0, a null end is the
+start (an insertion), a null ``seq`` comes first; edits are applied in order of
 ``seq``, each to the text that those before it left; ties go by start, end and
 text; out-of-range positions are clipped; an edit with a null replacement deletes;
+a row of the index without a tree gets one when it is edited;
 edits of unknown documents are ignored; repeated rows of a document are each
 edited; incoming columns named like the results are replaced.
 """
@@ -25,9 +32,10 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +45,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 LEAF = 32
 #: Pre-token counts that a worker remembers.
 REMEMBER = 60_000
-OUT = ("n_tokens", "leaves")
+OUT = ("n_tokens", "tree")
 
 
 class Counter:
@@ -79,56 +87,70 @@ class Counter:
 
 
 class Tree:
-    """Sums of characters and tokens over leaves; prefix search and splicing in the logarithm of the leaves.
+    """A segment tree of characters and tokens over a document's leaves, as one array of rows.
 
-    An array-backed segment tree over a power of two; a splice that keeps the number
-    of leaves updates only the paths above it, another rebuilds the sums (no texts
-    are read for that).
+    Row i is the sum of rows 2i and 2i + 1; leaves start at row ``size``, a power of
+    two.  A leaf may be empty or hold more than LEAF pre-tokens, so that new cuts go
+    into the slots of the old ones and only the paths above them are updated.  Where
+    they need more slots than twofold leaves give, later leaves move up and the sums
+    are made anew; that takes LEAF new pre-tokens at least, and no text is read for it.
     """
 
-    def __init__(self, leaves: list[tuple[int, int]]):
-        self.leaves = list(leaves)
-        self._build()
+    def __init__(self, leaves=(), rows: np.ndarray | None = None):
+        if rows is None:
+            self._build(np.array(leaves, np.int64).reshape(-1, 2))
+        else:
+            self.rows, self.size, self.used = rows, len(rows) // 2, int(rows[0, 0])
+
+    def _build(self, leaves: np.ndarray) -> None:
+        self.used = len(leaves)
+        self.size = 1 << max(self.used - 1, 0).bit_length()
+        self.rows = np.zeros((2 * self.size, 2), np.int64)
+        self.rows[self.size : self.size + self.used] = leaves
+        half = self.size
+        while half > 1:
+            self.rows[half // 2 : half] = self.rows[half : 2 * half : 2] + self.rows[half + 1 : 2 * half : 2]
+            half //= 2
+        self.rows[0, 0] = self.used
 
-    def _build(self) -> None:
-        self.size = 1
-        while self.size < max(len(self.leaves), 1):
-            self.size *= 2
-        pad = [(0, 0)] * (self.size - len(self.leaves))
-        self.sums = [(0, 0)] * self.size + self.leaves + pad
-        for i in range(self.size - 1, 0, -1):
-            (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
-            self.sums[i] = (a + c, b + d)
+    @property
+    def leaves(self) -> list[tuple[int, int]]:
+        return [tuple(x) for x in self.rows[self.size : self.size + self.used].tolist()]
 
     @property
     def total(self) -> int:
-        return self.sums[1][1] if self.leaves else 0
+        return int(self.rows[1, 1])
+
+    def chars(self, leaf: int) -> int:
+        return int(self.rows[self.size + leaf, 0])
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at`` (the last one beyond the end), and where it starts."""
         i, start = 1, 0
         while i < self.size:
-            left = self.sums[2 * i][0]
-            if at < start + left or not self.sums[2 * i + 1][0]:
+            left = int(self.rows[2 * i, 0])
+            if at < start + left or not self.rows[2 * i + 1, 0]:
                 i = 2 * i
             else:
                 i, start = 2 * i + 1, start + left
-        return min(i - self.size, max(len(self.leaves) - 1, 0)), start
+        return min(i - self.size, max(self.used - 1, 0)), start
 
     def splice(self, a: int, b: int, new: list[tuple[int, int]]) -> None:
         """Leaves [a, b) become ``new``."""
-        same = len(new) == b - a
-        self.leaves[a:b] = new
-        if not same:
-            self._build()
+        slots = b - a
+        if slots and len(new) <= 2 * slots:
+            twofold = max(0, len(new) - slots)
+            pairs = [(w + y, x + z) for (w, x), (y, z) in zip(new[: 2 * twofold : 2], new[1 : 2 * twofold : 2])]
+            new = [*pairs, *new[2 * twofold :]]
+            new += [(0, 0)] * (slots - len(new))
+            self.rows[self.size + a : self.size + b] = new
+            low, high = self.size + a, self.size + b - 1
+            while low > 1:
+                low, high = low // 2, high // 2
+                self.rows[low : high + 1] = self.rows[2 * low : 2 * high + 2 : 2] + self.rows[2 * low + 1 : 2 * high + 2 : 2]
             return
-        for i in range(a, b):
-            j = i + self.size
-            self.sums[j] = self.leaves[i]
-            while j > 1:
-                j //= 2
-                (x, y), (z, w) = self.sums[2 * j], self.sums[2 * j + 1]
-                self.sums[j] = (x + z, y + w)
+        old = self.rows[self.size : self.size + self.used]
+        self._build(np.concatenate((old[:a], np.array(new, np.int64).reshape(-1, 2), old[b:])))
 
 
 def apply_edit(counter: Counter, text: str, tree: Tree, start: int, end: int, new: str) -> tuple[str, int]:
@@ -136,9 +158,9 @@ def apply_edit(counter: Counter, text: str, tree: Tree, start: int, end: int, ne
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     edited = text[:start] + new + text[end:]
-    if not tree.leaves:
-        tree.splice(0, 0, counter.leaves(edited))
-        return edited, len(tree.leaves) * LEAF
+    if not text:
+        tree.splice(0, tree.used, counter.leaves(edited))
+        return edited, tree.used * LEAF
     # A match looks one character past its end at most, or through a run of blanks.
     back = max(start - 1, 0)
     while back and text[back - 1].isspace():
@@ -147,14 +169,14 @@ def apply_edit(counter: Counter, text: str, tree: Tree, start: int, end: int, ne
     keep = start + len(new)  # old text goes on from here, shifted
     shift = len(edited) - len(text)
     last, edge = first, begin
-    while last < len(tree.leaves) and edge + shift < keep:
-        edge += tree.leaves[last][0]
+    while last < tree.used and edge + shift < keep:
+        edge += tree.chars(last)
         last += 1
     out, size, tokens, n, at, work = [], 0, 0, 0, begin, 0
     for stop, count in counter.cut(edited, begin):
         size, tokens, n, at, work = size + stop - at, tokens + count, n + 1, stop, work + 1
-        while last < len(tree.leaves) and edge + shift < at:
-            edge += tree.leaves[last][0]
+        while last < tree.used and edge + shift < at:
+            edge += tree.chars(last)
             last += 1
         if at == edge + shift and at > keep and not edited[at - 1].isspace():
             break
@@ -162,7 +184,7 @@ def apply_edit(counter: Counter, text: str, tree: Tree, start: int, end: int, ne
             out.append((size, tokens))
             size = tokens = n = 0
     if at == len(edited):
-        last = len(tree.leaves)
+        last = tree.used
     if n:
         out.append((size, tokens))
     tree.splice(first, last, out)
@@ -187,12 +209,22 @@ def _counter(ranks) -> Counter:
     return _counters[name]
 
 
-_LEAVES = T.ArrayType(T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
-_ARROW = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+_KEY, _EDITS = "_tessera_edited", "_tessera_edits"
+_TREE = T.ArrayType(T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
+#: Edited documents, and bytes of their edits, that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+
+
+def _trees(rows: list[np.ndarray]) -> pa.Array:
+    """Trees as a list column."""
+    flat = np.concatenate([np.zeros((0, 2), np.int32), *rows]).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    both = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["chars", "tokens"])
+    return pa.ListArray.from_arrays(pa.array(ends), both)
 
 
 def count_tokens(docs: DataFrame, path: str = RANKS, ranks=None) -> DataFrame:
-    """``docs`` with n_tokens and leaves, the bottom of each document's tree."""
+    """``docs`` with n_tokens and tree, each document's segment tree (its row 0 holds the number of leaves)."""
     ranks = ranks or load_ranks(docs, path)
     docs = docs.drop(*OUT)
 
@@ -201,47 +233,65 @@ def count_tokens(docs: DataFrame, path: str = RANKS, ranks=None) -> DataFrame:
         for b in batches:
             for low in range(0, len(b), 128):
                 part = b.slice(low, 128)
-                rows = [c.leaves(t or "") for t in part.column("text").to_pylist()]
-                flat = [x for r in rows for x in r]
-                ends, n = [0], 0
-                for r in rows:
-                    n += len(r)
-                    ends.append(n)
-                chars, tokens = zip(*flat) if flat else ((), ())
-                leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(chars, pa.int32()), pa.array(tokens, pa.int32())], ["chars", "tokens"]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sum(t for _, t in r) for r in rows], pa.int64()), leaves.cast(_ARROW)], [*part.schema.names, *OUT])
+                trees = [Tree(c.leaves(t or "")) for t in part.column("text").to_pylist()]
+                new = [pa.array([t.total for t in trees], pa.int64()), _trees([t.rows for t in trees])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *OUT])
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("tree", _TREE)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("leaves", _LEAVES)]))
+
+def leaves(tree: Column) -> Column:
+    """The leaves of a tree column, as (chars, tokens)."""
+    return F.slice(tree, (F.size(tree) / 2 + 1).cast("int"), tree[0]["chars"])
 
 
 def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=None) -> DataFrame:
-    """The index (doc_id, text, leaves, ...) after edits (doc_id, seq, start, end, replacement), with ``recut``.
+    """The index (doc_id, text, n_tokens, tree, ...) after edits (doc_id, seq, start, end, replacement), with ``recut``.
 
     recut is the number of pre-tokens that were cut and looked up again; 0 where a
     document had no edit.
     """
     ranks = ranks or load_ranks(index, path)
-    index = index.drop("recut")
-    order = F.array_sort(F.collect_list(F.struct("seq", "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement"))))
-    grouped = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("_tessera_edited")).agg(order.alias("_tessera_edits"))
+    index = index.drop("recut", _KEY, _EDITS)
+    start = F.coalesce(F.col("start"), F.lit(0))
+    one = F.struct("seq", start.alias("start"), F.coalesce(F.col("end"), start).alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))
+    known = edits.where("doc_id is not null")
+    grouped = known.groupBy(F.col("doc_id").alias(_KEY)).agg(F.array_sort(F.collect_list(one)).alias(_EDITS))
+    size = known.agg(F.countDistinct("doc_id").alias("rows"), (F.coalesce(F.sum(F.octet_length("replacement")), F.lit(0)) + 40 * F.count("*")).alias("bytes")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+        grouped = F.broadcast(grouped)
+
+    def edited(c: Counter, b: pa.RecordBatch) -> pa.RecordBatch:
+        todo, texts, counts = (b.column(x).to_pylist() for x in (_EDITS, "text", "n_tokens"))
+        old = b.column("tree")
+        ends, flat = old.offsets.to_numpy() - old.offsets[0].as_py(), old.flatten()
+        flat = np.column_stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)])
+        rows, work = [flat[a:z] for a, z in zip(ends, ends[1:])], [0] * len(b)
+        for i, steps in enumerate(todo):
+            if not steps:
+                continue
+            text = texts[i] or ""
+            tree = Tree(rows=rows[i].astype(np.int64)) if len(rows[i]) else Tree(c.leaves(text))
+            for e in steps:
+                text, n = apply_edit(c, text, tree, e["start"], e["end"], e["replacement"])
+                work[i] += n
+            texts[i], counts[i], rows[i] = text, tree.total, tree.rows
+        new = {"text": pa.array(texts, b.schema.field("text").type), "n_tokens": pa.array(counts, pa.int64()), "tree": _trees(rows), "recut": pa.array(work, pa.int64())}
+        return pa.RecordBatch.from_pydict({n: new[n] if n in new else b.column(n) for n in (*names, "recut")})
+
     names = index.columns
 
     def run(batches):
         c = _counter(ranks)
         for b in batches:
             for low in range(0, len(b), 64):
-                rows = b.slice(low, 64).to_pylist()
-                for r in rows:
-                    todo, r["recut"] = r.pop("_tessera_edits"), 0
-                    r.pop("_tessera_edited")
-                    if todo:
-                        text, tree = r["text"] or "", Tree([(x["chars"], x["tokens"]) for x in r["leaves"]])
-                        for e in todo:
-                            text, work = apply_edit(c, text, tree, e["start"], e["end"], e["replacement"])
-                            r["recut"] += work
-                        r["text"], r["n_tokens"], r["leaves"] = text, tree.total, [{"chars": a, "tokens": t} for a, t in tree.leaves]
-                kinds = pa.schema([b.schema.field(n) for n in names] + [pa.field("recut", pa.int64())])
-                yield pa.RecordBatch.from_pylist(rows, kinds)
-
-    joined = index.join(grouped, F.col("doc_id") == F.col("_tessera_edited"), "left")
+                part = b.slice(low, 64)
+                if part.column(_EDITS).null_count == len(part):  # nothing to do: columns go on as they are
+                    columns = {n: part.column(n) for n in names}
+                    yield pa.RecordBatch.from_pydict(columns | {"recut": pa.array([0] * len(part), pa.int64())})
+                else:
+                    yield edited(c, part)
+
+    joined = index.join(grouped, F.col("doc_id") == F.col(_KEY), "left")
     return joined.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("recut", T.LongType())]))
