@@ -13,14 +13,18 @@ neighbouring pieces would stay apart when merged by rank, which leaves exactly o
 admissible path for each prefix, the model's own segmentation.  So the search is
 the same with a path score of 0 or minus infinity.
 
-Pieces never hold a space mark behind another character, so paths always meet in
-front of a run of spaces; stretches between such boundaries are looked up in a
-bounded cache before they are searched.
+Pieces never hold a space mark behind another character, so all paths meet in front
+of a run of spaces, and the ids up to there are committed; what is searched and
+committed between two such boundaries is remembered, in a bounded cache.  Inside a
+long stretch without spaces the search looks for a common boundary itself.
 
 Plan: narrow Arrow batches next to the scan, no shuffle.  The driver reads the
 model file (path given) and broadcasts its tables, a few MB that don't depend on
 the data.
 
+The model's type and normaliser are read from its file; a model that normalises text
+in any other way than by one space in front is refused.
+
 Defined cases: null text encodes to null and null ids decode to null; empty text
 has no ids; a character outside the vocabulary becomes its UTF-8 byte pieces (the
 unknown id where the model has none); U+2581 itself encodes as a space and so
@@ -62,6 +66,46 @@ def merge_by_rank(parts: list[str], rank: dict[str, int]) -> tuple[list[str], tu
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+def _fields(raw: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol buffer message: a number, or the bytes of a part."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            n = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            out[key >> 3], at = raw[at : at + n], at + n
+    return out
+
+
+def model_kind(proto: bytes) -> str:
+    """``unigram`` or ``bpe``; a model that this codec would encode otherwise than the library is refused."""
+    # Field numbers and defaults of the public model format.
+    model = _fields(proto)
+    trainer, normalizer = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
+    if kind is None:
+        raise ValueError(f"model type {trainer.get(3)} is neither unigram nor bpe")
+    if trainer.get(24, 0):
+        raise ValueError("white space as a suffix isn't supported")
+    if normalizer.get(2, b""):
+        raise ValueError("models that rewrite characters before they encode aren't supported")
+    if not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+        raise ValueError("only models that put a space in front, keep all spaces and mark them are supported")
+    return kind
+
+
 class Vocabulary:
     """The tables of a model that encoding and decoding need."""
 
@@ -100,9 +144,7 @@ class Vocabulary:
         n = range(sp.get_piece_size())
         bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in n if sp.is_byte(i)}
         special = {i for i in n if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)} | set(bytes_.values())
-        # The trainer's model_type (field 3 of trainer_spec) is 1 for unigram, 2 for bpe.
-        found = re.search(rb"\n[^\n]{0,255}\x12[\x00-\x7f][\x20-\x7e]*\x18(\x01|\x02)\x20", sp.serialized_model_proto()[-4096:])
-        kind = "unigram" if found and found[1] == b"\x01" else "bpe"
+        kind = model_kind(sp.serialized_model_proto())
         return cls([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], kind, special, bytes_, sp.unk_id())
 
 
@@ -111,12 +153,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.trie: dict = {}
-        for p, i in vocabulary.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+        #: Pieces from their last character backwards; a node is (id of the piece that begins here or -1, children).
+        self.endings: dict = {}
+        for p, i in sorted((p[::-1], i) for p, i in vocabulary.ids.items()):  # shorter ones before those they begin
+            kids = self.endings
+            for c in p[:-1]:
+                kids = kids.setdefault(c, (-1, {}))[1]
+            kids[p[-1]] = (i, {})
         by_text = vocabulary.ids
         #: What two pieces make if they are joined, and its rank.
         self.joined = {}
@@ -163,114 +206,73 @@ class Encoder:
         self.apart[key] = result
         return result
 
-    def _search_short(self, text: str) -> array.array:
-        """``search`` for a rank-merged stretch so short that no look for a common boundary is due.
-
-        A boundary has one admissible path at most, so the order of the search is
-        free: the longest piece is tried first, and a boundary is left for good.
-        """
-        n, trie, apart, size = len(text), self.trie, self.apart, self.size
-        met, path, left = [False] * (n + 1), [(0, -1)], []
-        p, before = 0, -1
-        while p < n:
-            if len(left) < len(path):
-                node, edges, k = trie, [], p
-                for c in text[p:]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    k += 1
-                    if "" in node:
-                        edges.append((k, node[""]))
-                if not edges or edges[0][0] > p + 1:  # a character outside the vocabulary
-                    edges.insert(0, (p + 1, -1))
-                left.append(edges)
-            edges = left[-1]
-            while edges:
-                k, i = edges.pop()
-                if met[k]:
-                    continue
-                if before < 0 or i < 0:
-                    fits = True
-                else:
-                    fits = apart.get(before * size + i)
-                    if fits is None:
-                        fits = self.stay_apart(before, i)
-                if fits:
-                    met[k] = True
-                    path.append((k, i))
-                    p, before = k, i
-                    break
-            else:
-                left.pop()
-                path.pop()
-                p, before = path[-1]
-        out, a = array.array("i"), 0
-        for b, i in path[1:]:
-            if i >= 0:
-                out.append(i)
-            else:
-                out.extend(self._outside(text[a:b]))
-            a = b
-        return out
-
     def _outside(self, c: str) -> list[int]:
         """The ids of a character that no piece holds."""
         return [self.v.byte_ids[x] for x in c.encode("utf-8", "surrogatepass")] if self.v.byte_ids else [self.v.unk]
 
     def search(self, text: str, window: list | None = None) -> array.array:
-        """Ids of ``text``, searched as one lattice.  ``window`` collects the widths kept, for tests."""
-        v, n, reach = self.v, len(text), self.v.longest
-        out = array.array("i")
-        base = 0  # everything before it is committed
-        last, back, value = {0: -1}, {0: 0}, {0: 0.0}
-        bpe = v.kind == "bpe"
-        trie, apart = self.trie, self.stay_apart
-        low = self.lowest
-        for p in range(n):
-            before, so_far = last[p], value[p]
-            node = trie
-            for k in range(p, min(n, p + reach)):
-                node = node.get(text[k])
+        """Ids of ``text``, searched as one lattice.  ``window`` collects the widths kept, for tests.
+
+        ``last``, ``back`` and ``value`` hold, for the boundaries from ``base`` on, the piece
+        that the surviving path ends with (-1 for a character outside the vocabulary), where
+        that piece starts, and the path's score.  Everything before ``base`` is committed.
+        """
+        reach, scores, low, size = self.v.longest, self.v.scores, self.lowest, self.size
+        endings, bpe, apart, stay_apart = self.endings, self.v.kind == "bpe", self.apart, self.stay_apart
+        out, base = array.array("i"), 0
+        last, back, value = [-1], [0], [0.0]
+        for end in range(1, len(text) + 1):
+            kids, start, found = endings, end, []
+            while start > base:
+                start -= 1
+                node = kids.get(text[start])
                 if node is None:
                     break
-                i = node.get("")
-                if i is None:
-                    continue
-                if bpe:
-                    if k + 1 not in last and (before < 0 or apart(before, i)):
-                        last[k + 1], back[k + 1], value[k + 1] = i, p, 0.0
-                elif k + 1 not in last or so_far + v.scores[i] > value[k + 1]:
-                    last[k + 1], back[k + 1], value[k + 1] = i, p, so_far + v.scores[i]
-            if text[p] not in trie or "" not in trie[text[p]]:
-                if p + 1 not in last or (not bpe and so_far + low > value[p + 1]):
-                    last[p + 1], back[p + 1], value[p + 1] = -1, p, so_far + low
-            if p - base >= LOOK and (p - base) % (LOOK // 4) == 0:
-                paths = {q for q in range(max(base, p + 2 - reach), p + 2) if q in last}
-                paths |= {back[q] for q in range(p + 2, min(n, p + reach) + 1) if q in last}
+                i, kids = node
+                if i >= 0:
+                    found.append((start, i))
+            piece, start, best = -1, end - 1, 0.0
+            if bpe:
+                while found:  # one of these is admissible; the longest is likeliest
+                    q, i = found.pop()
+                    before = last[q - base]
+                    fits = before < 0 or apart.get(before * size + i)
+                    if fits or (fits is None and stay_apart(before, i)):
+                        piece, start = i, q
+                        break
+            else:
+                best = value[start - base] + low
+                for q, i in found:
+                    if value[q - base] + scores[i] > best:
+                        piece, start, best = i, q, value[q - base] + scores[i]
+            last.append(piece)
+            back.append(start)
+            value.append(best)
+            if end - base >= LOOK and (end - base) % (LOOK // 4) == 0:
+                # Later pieces start at one of the newest boundaries; where the paths to all of these meet is settled.
+                paths = set(range(max(base, end + 1 - reach), end + 1))
                 while len(paths) > 1:
-                    newest = max(paths)
-                    paths.remove(newest)
-                    paths.add(back[newest])
+                    q = max(paths)
+                    paths.remove(q)
+                    paths.add(back[q - base])
                 meet = paths.pop()
                 if meet > base:
                     self._commit(text, base, meet, last, back, out)
-                    for q in range(base, meet):
-                        last.pop(q, None), back.pop(q, None), value.pop(q, None)
-                    base, back[meet] = meet, meet
+                    del last[: meet - base], back[: meet - base], value[: meet - base]
+                    base = meet
                 if window is not None:
                     window.append(len(last))
-        self._commit(text, base, n, last, back, out)
+        self._commit(text, base, len(text), last, back, out)
         return out
 
     def _commit(self, text, base, end, last, back, out) -> None:
         path = []
         while end > base:
-            path.append((back[end], end))
-            end = back[end]
+            path.append((back[end - base], end))
+            end = back[end - base]
         for a, b in reversed(path):
-            if last[b] >= 0:
-                out.append(last[b])
+            if last[b - base] >= 0:
+                out.append(last[b - base])
             else:
                 out.extend(self._outside(text[a:b]))
 
@@ -278,13 +280,13 @@ class Encoder:
         """Ids as little-endian int32."""
         if not text:
             return b""
-        known, out, bpe = self.known, [], self.v.kind == "bpe"
+        known, out = self.known, []
         for s in self.stretches.findall(MARK + text.replace(" ", MARK)):
             ids = known.get(s)
             if ids is None:
                 ids = self.older.get(s)
                 if ids is None:
-                    ids = (self._search_short(s) if bpe and len(s) <= STRETCH else self.search(s)).tobytes()
+                    ids = self.search(s).tobytes()
                 if len(s) <= STRETCH:
                     if len(known) >= REMEMBER:
                         self.older, self.known = known, {}

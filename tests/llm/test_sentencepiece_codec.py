@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tessera.llm.sentencepiece_codec import MARK, MODEL, Encoder, Vocabulary, decode, decode_ids, encode, merge_by_rank
+from tessera.llm.sentencepiece_codec import MARK, MODEL, Encoder, Vocabulary, decode, decode_ids, encode, merge_by_rank, model_kind
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,22 @@ def test_tables(spark, model):
         assert r.ids is None if r.text is None else r.ids == sp.encode(r.text)
     assert decode(encode(docs.where("false"))).count() == 0
     assert decode_ids([b"a"], np.array([0, 7, -1])) == "a"
+
+
+def test_models_are_read_or_refused(model):
+    sp, _ = model
+    proto = sp.serialized_model_proto()
+    assert model_kind(proto) == "bpe"
+    part = lambda field, *pairs: bytes([field << 3 | 2, sum(map(len, pairs))]) + b"".join(pairs)
+    number = lambda field, value: bytes([field << 3, value])
+    plain = part(3, number(4, 0))
+    assert model_kind(part(2, number(3, 1)) + plain) == "unigram"
+    refused = [
+        part(2, number(3, 3)) + plain,  # words
+        part(2, number(3, 1)) + part(3, part(2, b"map"), number(4, 0)),  # a character map
+        part(2, number(3, 2)) + part(3, number(4, 1)),  # extra spaces removed
+        part(2, number(3, 2)) + part(3, number(3, 0), number(4, 0)),  # no space in front
+    ]
+    for raw in refused:
+        with pytest.raises(ValueError):
+            model_kind(raw)
