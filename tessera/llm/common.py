@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The session's bound for broadcast sides, spark.sql.autoBroadcastJoinThreshold, in bytes; below 0 for none."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").lower().strip()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the column's text form, modulo ``n`` (a null column gives null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)

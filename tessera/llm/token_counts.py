@@ -14,9 +14,10 @@ changes leaves and the paths above them.
 
 Plan: index and edits are joined on the document.  Edits of one document are grouped,
 all of them in one row, since each works on what the one before left; documents are
-not.  Edits whose documents and bytes are few (counted) are broadcast: then no row of
-the index is shuffled, and rows without an edit go on as Arrow columns, unread.  More
-edits than that are joined by a shuffle of the index.
+not.  Edits whose counted bytes stay under the session's own bound for broadcasts
+(spark.sql.autoBroadcastJoinThreshold) are broadcast: then no row of the index is
+shuffled, and rows without an edit go on as Arrow columns, unread.  More edits than
+that are joined by a shuffle of the index.
 
 Defined cases: null text is empty and counts 0; a null start is 0, a null end is the
 start (an insertion), a null ``seq`` comes first; edits are applied in order of
@@ -39,6 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import broadcast_bytes
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,8 +214,8 @@ def _counter(ranks) -> Counter:
 
 _KEY, _EDITS = "_tessera_edited", "_tessera_edits"
 _TREE = T.ArrayType(T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
-#: Edited documents, and bytes of their edits, that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: What an edit takes in memory besides its replacement, about.
+EDIT_BYTES = 40
 
 
 def _trees(rows: list[np.ndarray]) -> pa.Array:
@@ -258,8 +261,8 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
     one = F.struct("seq", start.alias("start"), F.coalesce(F.col("end"), start).alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))
     known = edits.where("doc_id is not null")
     grouped = known.groupBy(F.col("doc_id").alias(_KEY)).agg(F.array_sort(F.collect_list(one)).alias(_EDITS))
-    size = known.agg(F.countDistinct("doc_id").alias("rows"), (F.coalesce(F.sum(F.octet_length("replacement")), F.lit(0)) + 40 * F.count("*")).alias("bytes")).first()
-    if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+    size = known.agg(F.sum(F.coalesce(F.octet_length("replacement"), F.lit(0)) + EDIT_BYTES).alias("n")).first()["n"] or 0
+    if size <= broadcast_bytes(index.sparkSession):
         grouped = F.broadcast(grouped)
 
     def edited(c: Counter, b: pa.RecordBatch) -> pa.RecordBatch:
