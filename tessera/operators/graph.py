@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's shared checkpoint folder and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+    """Materialise ``df`` in the session's shared checkpoint folder and cut its lineage.
+
+    Without that setting a folder of this machine serves in local mode, where driver and
+    executors are one; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
 
 
+#: A node with more neighbours than this, and than 1 / 100,000 of all edges, is joined by a broadcast.
+CROWDED = 512
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the least node of its component.
 
     Alternates large-star and small-star steps, which take a logarithmic number of
     rounds whatever the diameter.  Each round reduces to minima before it joins, so
-    that a hub's neighbours are never held together, and is checkpointed.
+    that a hub's neighbours are never held together, and is checkpointed.  A hub's edges
+    meet its minimum by a broadcast of the hubs (100,000 rows at most), so that none of
+    them is dealt by the hub.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null")
     loops = cut(e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct())
@@ -33,8 +46,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = state
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = cut(both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
+        crowd = max(CROWDED, 2 * state[0] // 100_000)
+        hubs = F.broadcast(least.where(F.col("n") > crowd).drop("n"))
+        few = both.join(hubs, "x", "left_anti").join(least.where(F.col("n") <= crowd).drop("n"), "x")
+        met = both.join(hubs, "x").unionByName(few)
+        large = cut(met.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.union(root.select("u", F.col("m").alias("v"))).distinct())
