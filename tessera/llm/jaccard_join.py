@@ -1,21 +1,29 @@
-"""N-gram Jaccard join: MinHash banding, then exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Texts are sets of five-word shingles.  Texts with one and the same set form a copy
 class, and only one text of a class goes on.  Every class has a MinHash signature
-of TREES bands of one depth.  Two classes are candidates where they share a whole
-band; the depth is the greatest up to DEPTH at which a pair at the threshold is found
-with at least the target probability, worked out before any data is seen.  This
-replaces an LSH forest, whose prefixes are shortened at run time.  Candidate classes are joined into components, and within
-a component every pair is verified on the exact shingle sets, so links are exact
-for whatever the bands brought together.
-
-Plan.  The first pass turns texts into slim rows (set hash, signature); texts
-move again only for classes that have a candidate.  Buckets are reduced to their
-least member before they are joined (a star, not all pairs).  A component of more
-than BLOCK classes is verified as a grid of blocks: no task holds more than two
-blocks, and a task returns counts and one root for each class, never pairs.  Work
-inside a group of m different near copies is m squared comparisons of sets
-(matrix products), memory and output are linear in m.
+for each of TREES prefix tries, DEPTH values long.
+
+In a tree a class meets all classes that share its matched prefix.  Matched prefixes
+start at DEPTH values and are shortened, in all trees together, until the chance that
+a partner at the threshold is missed in all of them, (1 - threshold ** depth) ** TREES,
+is at most 1 - TARGET (five values at 0.8).  They are not shortened tree by tree after
+what a class has met so far: that keeps long prefixes in just those trees where a missing
+partner would turn up (README has the figures).
+
+Every pair that meets is verified on the exact shingle sets, in the first tree where
+it meets (its owner), so links are exact for whatever the forest brought together.
+
+Plan.  The first pass turns texts into slim rows (set hash, signature).  A level of the
+tries is a grouping by hashed prefix, its groups are the buckets; a class that is alone
+everywhere drops out.  A bucket all of whose pairs have an earlier owner is dropped,
+which leaves a family of near copies one or two buckets instead of TREES.  Texts move
+once for every bucket left.  A bucket of more than BLOCK classes is verified as a grid of
+blocks: no task holds more than two blocks, and a task returns counts and one root for
+each class, never pairs.  Classes are then joined along verified links alone, so that
+chance meetings don't grow into one component.  Work inside a group of m different near
+copies is m squared comparisons of sets (matrix products), and each text goes to
+m / BLOCK tiles; memory and output are linear in m.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words has
 one shingle, all its words; null, empty and blank texts are never linked or
@@ -37,17 +45,17 @@ from .common import cut, mix, row_slices, text_bytes, window_hashes, word_bounds
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH, TARGET = 20, 8, 0.999
-#: Classes, and shingles, of a component that one block holds at most (one class at least).
+#: Classes, and shingles, of a bucket that one block holds at most (one class at least).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows that a broadcast may have; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 _U = np.uint64
 
 
-def depth_for(threshold: float, trees: int = TREES, deepest: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which a pair of this similarity still meets in some tree with the target probability."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def matched_depth(threshold: float, trees: int = TREES, target: float = TARGET) -> int:
+    """Prefixes shortened until a pair at the threshold meets in some tree with the target probability; 1 if none does."""
+    depth = DEPTH
+    while depth > 1 and (1 - threshold**depth) ** trees > 1 - target:
         depth -= 1
     return depth
 
@@ -143,27 +151,50 @@ def _roots(links: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _unowned(meets_a: np.ndarray, meets_b: np.ndarray, tree: int) -> np.ndarray:
+    """Which pairs share no bucket of an earlier tree."""
+    free = np.ones((len(meets_a), len(meets_b)), bool)
+    for t in range(tree):
+        a, b = meets_a[:, t], meets_b[:, t]
+        free &= (a[:, None] != b[None, :]) | (a == 0)[:, None]
+    return free
+
+
+def _compare(a: list[np.ndarray], b: list[np.ndarray], free: np.ndarray, threshold: float) -> np.ndarray:
+    """Which free pairs are linked; where few are free, only these are compared."""
+    if 20 * free.sum() > free.size:
+        return _linked(a, b, threshold) & free
+    out = np.zeros(free.shape, bool)
+    for i, j in np.argwhere(free).tolist():
+        both = len(np.intersect1d(a[i], b[j], assume_unique=True))
+        out[i, j] = both >= threshold * (len(a[i]) + len(b[j]) - both) - 1e-9
+    return out
+
+
 def _verify(size: int, threshold: float):
     def verify(key, t):
         t = t.combine_chunks() if len(t) else t
-        comp, i, j = (t.column(c).to_numpy() for c in ("comp", "bi", "bj"))
+        bucket, i, j, tree = (t.column(c).to_numpy() for c in ("bucket", "bi", "bj", "tree"))
         cid, block = t.column("cid").to_numpy(), t.column("block").to_numpy()
+        meets = np.array(t.column("meets").to_pylist(), np.int64).reshape(len(t), -1)
         text = t.column("text").combine_chunks() if isinstance(t.column("text"), pa.ChunkedArray) else t.column("text")
-        order = np.lexsort((cid, j, i, comp))
-        edges = np.flatnonzero((np.diff(comp[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        order = np.lexsort((cid, j, i, bucket))
+        edges = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         out = {"cid": [], "links": [], "root": []}
         for own in np.split(order, edges):
             own = own[np.concatenate(([True], np.diff(cid[own]) != 0))]
-            sets = [shingle_sets(text.slice(k, 1), size)[0] for k in own.tolist()]
-            ids, left = cid[own], block[own] == i[own[0]]
-            if i[own[0]] == j[own[0]]:
-                links = _linked(sets, sets, threshold)
-                np.fill_diagonal(links, False)
-            else:
-                links = np.zeros((len(own), len(own)), bool)
-                a, b = np.flatnonzero(left), np.flatnonzero(~left)
-                links[np.ix_(a, b)] = _linked([sets[x] for x in a], [sets[x] for x in b], threshold)
+            inner = i[own[0]] == j[own[0]]
+            left = block[own] == i[own[0]]
+            a, b = np.flatnonzero(left), np.flatnonzero(left if inner else ~left)
+            free = _unowned(meets[own[a]], meets[own[b]], int(tree[own[0]]))
+            if inner:
+                np.fill_diagonal(free, False)
+            links = np.zeros((len(own), len(own)), bool)
+            if free.any():
+                sets = [shingle_sets(text.slice(k, 1), size)[0] for k in own.tolist()]
+                links[np.ix_(a, b)] = _compare([sets[x] for x in a], [sets[x] for x in b], free, threshold)
                 links |= links.T
+            ids = cid[own]
             out["cid"].append(ids)
             out["links"].append(links.sum(1))
             out["root"].append(ids[_roots(links)])
@@ -172,6 +203,21 @@ def _verify(size: int, threshold: float):
     return verify
 
 
+def forest(classes: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(cid, tree, bucket, meets): the buckets where a class meets others; ``meets`` has its bucket in each tree, 0 for none."""
+    width = depth * 4
+    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sign", t * width + 1, width)).alias("bucket")) for t in range(trees)])
+    nodes = classes.select("cid", F.explode(prefixes).alias("n")).select("cid", "n.*")
+    crowded = nodes.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("bucket")
+    held = cut(nodes.join(crowded, "bucket"))
+    per = held.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("m"))
+    meets = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0).cast("long")) for t in range(trees)])
+    rows = cut(held.join(per.select("cid", meets.alias("meets")), "cid"))
+    ends = rows.groupBy("tree", "bucket").agg(*[f(F.col("meets")[t]).alias(f"{n}{t}") for t in range(trees) for f, n in ((F.min, "a"), (F.max, "b"))])
+    shared = [F.when((F.col(f"a{t}") == F.col(f"b{t}")) & (F.col(f"a{t}") != 0), t) for t in range(trees)]
+    return rows.join(ends.where(F.least(F.lit(trees), *shared) == F.col("tree")).select("tree", "bucket"), ["tree", "bucket"])
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are few enough."""
     return F.broadcast(df) if rows <= most else df
@@ -187,31 +233,27 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     once) that a deduplication keeps, repeat where another row of the same doc_id and
     th is kept.
     """
-    depth = depth_for(threshold, trees)
+    depth = matched_depth(threshold, trees)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = cut(source.mapInArrow(_slim(size, trees * depth), "doc_id long, th long, cid long, c2 long, n long, sign binary").withColumn("row", F.monotonically_increasing_id()))
     full = rows.where("n > 0")
     classes = cut(full.groupBy("cid", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign")).select("cid", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), F.col("rep.row").alias("row"), "n", "sign"))
-    paths = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sign, {t * depth * 4 + 1}, {depth * 4})")) for t in range(trees)])
-    nodes = classes.select("cid", F.explode(paths).alias("path"))
-    forks = nodes.groupBy("path").agg(F.min("cid").alias("m"), F.max("cid").alias("z")).where("m <> z").select("path", "m")
-    stars = nodes.join(forks, "path").where("cid <> m").select("cid", "m").distinct()
-    comps = cut(connected_components(stars, "cid", "m").withColumnsRenamed({"node": "cid", "root": "comp"}))
-    sized = comps.join(classes.select("cid", "doc_id", "th", "n"), "cid")
-    blocks = sized.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("nb"))
-    wanted = cut(sized.join(blocks, "comp").select("cid", "comp", "nb", "doc_id", "th", "n"))
-    stat = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("nb").alias("nb")).first()
+    met = forest(classes, depth, trees)
+    sized = cut(met.join(classes.select("cid", "doc_id", "th", "n"), "cid"))
+    blocks = sized.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("nb"))
+    stat = sized.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     slots = max(1, 16 * stat["n"] // block_shingles)
-    texts = source.withColumn("id", F.col("doc_id")).drop("doc_id").join(small(wanted.drop("n"), stat["rows"], broadcast_rows), on=[F.col("id").eqNullSafe(F.col("doc_id")), source["th"] == wanted["th"]]).select("cid", "comp", "nb", "text")
-    texts = texts.groupBy("cid", "comp", "nb").agg(F.min("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    tiles = texts.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    tiles = tiles.withColumn("slot", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("comp"), F.lit(slots))).otherwise(F.xxhash64("comp", "bi", "bj")))
-    checked = cut(tiles.select("slot", "cid", "comp", "block", "bi", "bj", "text").groupBy("slot").applyInArrow(_verify(size, threshold), "cid long, links long, root long"))
+    wanted = sized.select("cid", "doc_id", "th").distinct()
+    texts = source.withColumn("id", F.col("doc_id")).drop("doc_id").join(small(wanted, stat["rows"], broadcast_rows), on=[F.col("id").eqNullSafe(F.col("doc_id")), source["th"] == wanted["th"]]).select("cid", "text")
+    texts = texts.groupBy("cid").agg(F.min("text").alias("text"))
+    placed = sized.join(small(blocks, stat["rows"], broadcast_rows), "bucket").select("cid", "tree", "bucket", "meets", "nb")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb"))).join(texts, "cid")
+    tiles = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    tiles = tiles.withColumn("slot", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("bucket"), F.lit(slots))).otherwise(F.xxhash64("bucket", "bi", "bj")))
+    tiles = tiles.select("slot", "cid", "tree", "bucket", "meets", "block", "bi", "bj", "text")
+    checked = cut(tiles.groupBy("slot").applyInArrow(_verify(size, threshold), "cid long, links long, root long"))
     links = checked.groupBy("cid").agg(F.sum("links").alias("n_links"))
-    if (stat["nb"] or 1) > 1:
-        roots = connected_components(checked, "cid", "root")
-    else:
-        roots = checked.select(F.col("cid").alias("node"), "root")
+    roots = connected_components(checked.where("links > 0"), "cid", "root")
     known = classes.join(links, "cid", "left").join(roots, classes["cid"] == roots["node"], "left").select(classes["cid"], "c2", "doc_id", "th", "row", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", classes["cid"]).alias("root"))
     best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("best"))
     known = known.join(best, "root").select("cid", "c2", F.col("doc_id").alias("copy_id"), "n_links", F.col("best.doc_id").alias("class_id"), F.col("best.th").alias("best_th"), F.col("best.row").alias("best_row"))

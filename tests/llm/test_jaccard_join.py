@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.llm.jaccard_join import depth_for, drop_near_copies, jaccard_join
+from tessera.llm.jaccard_join import drop_near_copies, jaccard_join, matched_depth
 
 
 def shingles(t):
@@ -100,5 +100,22 @@ def test_empty(spark):
     assert drop_near_copies(docs).count() == 0
 
 
-def test_depth():
-    assert depth_for(0.8) == 4 or 1 - (1 - 0.8 ** depth_for(0.8)) ** 20 >= 0.999
+def test_prefixes_are_shortened_until_the_target():
+    assert matched_depth(0.8) == 5 and 1 - (1 - 0.8**5) ** 20 >= 0.999 > 1 - (1 - 0.8**6) ** 20
+    assert matched_depth(0.95) == 8 and matched_depth(0.01) == 1
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
+def test_recall_of_the_forest(spark, threshold):
+    """Chains of texts that drift apart: nearly all pairs at or above the threshold are found."""
+    rnd, rows = random.Random(5), []
+    for _ in range(25):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words)))
+            words[rnd.randrange(150)] = f"w{rnd.randrange(10**6)}"
+    sets = [shingles(t) for _, t in rows]
+    want = sum(sum(1 for j in range(len(rows)) if i != j and len(a & sets[j]) >= threshold * len(a | sets[j])) for i, a in enumerate(sets))
+    got = sum(r.n_links for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect())
+    print(f"recall at {threshold}: {got / want:.4f} of {want}")
+    assert 0.998 * want <= got <= want
