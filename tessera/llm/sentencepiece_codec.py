@@ -36,9 +36,11 @@ from __future__ import annotations
 
 import array
 import hashlib
+import math
 import pickle
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,13 +155,12 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        #: Pieces from their last character backwards; a node is (id of the piece that begins here or -1, children).
-        self.endings: dict = {}
-        for p, i in sorted((p[::-1], i) for p, i in vocabulary.ids.items()):  # shorter ones before those they begin
-            kids = self.endings
-            for c in p[:-1]:
-                kids = kids.setdefault(c, (-1, {}))[1]
-            kids[p[-1]] = (i, {})
+        #: Finds all pieces that end at each character, longest first, as (length, id).
+        self.pieces = ahocorasick.Automaton()
+        for p, i in vocabulary.ids.items():
+            self.pieces.add_word(p, (len(p), i))
+        self.pieces.make_automaton()
+        self.single = {p for p in vocabulary.ids if len(p) == 1}
         by_text = vocabulary.ids
         #: What two pieces make if they are joined, and its rank.
         self.joined = {}
@@ -217,54 +218,64 @@ class Encoder:
         that the surviving path ends with (-1 for a character outside the vocabulary), where
         that piece starts, and the path's score.  Everything before ``base`` is committed.
         """
-        reach, scores, low, size = self.v.longest, self.v.scores, self.lowest, self.size
-        endings, bpe, apart, stay_apart = self.endings, self.v.kind == "bpe", self.apart, self.stay_apart
-        out, base = array.array("i"), 0
+        scores, size, single = self.v.scores, self.size, self.single
+        bpe, apart, stay_apart = self.v.kind == "bpe", self.apart, self.stay_apart
+        out, base, newest = array.array("i"), 0, 0
         last, back, value = [-1], [0], [0.0]
-        for end in range(1, len(text) + 1):
-            kids, start, found = endings, end, []
-            while start > base:
-                start -= 1
-                node = kids.get(text[start])
-                if node is None:
-                    break
-                i, kids = node
-                if i >= 0:
-                    found.append((start, i))
-            piece, start, best = -1, end - 1, 0.0
+        for end, (width, i) in self.pieces.iter(text):
+            end += 1
+            if newest < end - 1:
+                newest = self._pass_over(newest, end - 1, last, back, value)
+            start = end - width
             if bpe:
-                while found:  # one of these is admissible; the longest is likeliest
-                    q, i = found.pop()
-                    before = last[q - base]
+                if newest < end:  # else the path to here is known, and there is only one
+                    before = last[start - base]
                     fits = before < 0 or apart.get(before * size + i)
                     if fits or (fits is None and stay_apart(before, i)):
-                        piece, start = i, q
-                        break
+                        last.append(i)
+                        back.append(start)
+                        value.append(0.0)
+                        newest = end
+                else:
+                    continue
             else:
-                best = value[start - base] + low
-                for q, i in found:
-                    if value[q - base] + scores[i] > best:
-                        piece, start, best = i, q, value[q - base] + scores[i]
-            last.append(piece)
-            back.append(start)
-            value.append(best)
-            if end - base >= LOOK and (end - base) % (LOOK // 4) == 0:
-                # Later pieces start at one of the newest boundaries; where the paths to all of these meet is settled.
-                paths = set(range(max(base, end + 1 - reach), end + 1))
-                while len(paths) > 1:
-                    q = max(paths)
-                    paths.remove(q)
-                    paths.add(back[q - base])
-                meet = paths.pop()
+                score = value[start - base] + scores[i]
+                if newest < end:
+                    newest = self._pass_over(newest, end, last, back, value)
+                    if text[end - 1] in single:
+                        value[-1] = -math.inf
+                if score > value[-1]:
+                    last[-1], back[-1], value[-1] = i, start, score
+            if newest - base >= LOOK and (newest - base) % (LOOK // 4) == 0:
+                meet = self._meeting(newest, base, back)
                 if meet > base:
                     self._commit(text, base, meet, last, back, out)
                     del last[: meet - base], back[: meet - base], value[: meet - base]
                     base = meet
                 if window is not None:
                     window.append(len(last))
+        self._pass_over(newest, len(text), last, back, value)
         self._commit(text, base, len(text), last, back, out)
         return out
 
+    def _pass_over(self, newest: int, end: int, last: list, back: list, value: list) -> int:
+        """Boundaries up to ``end`` that only characters outside the vocabulary lead to."""
+        while newest < end:
+            last.append(-1)
+            back.append(newest)
+            value.append(value[-1] + self.lowest)
+            newest += 1
+        return newest
+
+    def _meeting(self, newest: int, base: int, back: list) -> int:
+        """Where the paths to all boundaries meet that a later piece can start at: the ids up to there are settled."""
+        paths = set(range(max(base, newest - self.v.longest), newest + 1))
+        while len(paths) > 1:
+            q = max(paths)
+            paths.remove(q)
+            paths.add(back[q - base])
+        return paths.pop()
+
     def _commit(self, text, base, end, last, back, out) -> None:
         path = []
         while end > base:
