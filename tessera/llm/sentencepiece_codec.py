@@ -51,7 +51,7 @@ from .common import row_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct stretches that a worker remembers, and the longest that it does.
-REMEMBER, STRETCH = 60_000, 64
+REMEMBER, STRETCH = 120_000, 64
 #: Boundaries searched between two looks for a common one.
 LOOK = 256
 
@@ -216,7 +216,7 @@ class Encoder:
 
         ``last``, ``back`` and ``value`` hold, for the boundaries from ``base`` on, the piece
         that the surviving path ends with (-1 for a character outside the vocabulary), where
-        that piece starts, and the path's score.  Everything before ``base`` is committed.
+        that piece starts, and for sums of scores the path's.  What is before ``base`` is committed.
         """
         scores, size, single = self.v.scores, self.size, self.single
         bpe, apart, stay_apart = self.v.kind == "bpe", self.apart, self.stay_apart
@@ -234,7 +234,6 @@ class Encoder:
                     if fits or (fits is None and stay_apart(before, i)):
                         last.append(i)
                         back.append(start)
-                        value.append(0.0)
                         newest = end
                 else:
                     continue
@@ -263,7 +262,8 @@ class Encoder:
         while newest < end:
             last.append(-1)
             back.append(newest)
-            value.append(value[-1] + self.lowest)
+            if self.v.kind != "bpe":
+                value.append(value[-1] + self.lowest)
             newest += 1
         return newest
 
@@ -277,15 +277,16 @@ class Encoder:
         return paths.pop()
 
     def _commit(self, text, base, end, last, back, out) -> None:
-        path = []
+        ids = []
         while end > base:
-            path.append((back[end - base], end))
-            end = back[end - base]
-        for a, b in reversed(path):
-            if last[b - base] >= 0:
-                out.append(last[b - base])
+            i, start = last[end - base], back[end - base]
+            if i >= 0:
+                ids.append(i)
             else:
-                out.extend(self._outside(text[a:b]))
+                ids.extend(reversed(self._outside(text[start:end])))
+            end = start
+        ids.reverse()
+        out.extend(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32."""
