@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import archive_queries  # noqa: F401  registers on import
+    from .plans import archive_queries, source_queries  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Browse filters, listings and cards (FL1-3, FL5, FL7-10, FL19-20, JN3, JN6-8, JN12-13, ST1-4, SO2-4, RK8, RK11, AG25)."""
+"""Browse filters, listings and cards (FL1-3, FL5, FL7-10, FL19-20, JN3, JN6-8, JN12-13, ST1, SO4, RK8, RK11, AG25)."""
 
 from __future__ import annotations
 
@@ -94,6 +94,13 @@ def cards(docs: DataFrame, chunks: DataFrame, tags: DataFrame, assignments: Data
     return out.withColumn("description", resolve_description(F.col("card_summary"), F.col("_first"), entities=False)).drop("_first").withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
 
 
+def detail(docs: DataFrame, chunks: DataFrame, tags: DataFrame, assignments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """RK11: cards with the document's enrichment items, none as an empty list."""
+    items = enrichment(chunks).withColumnRenamed("document_id", "id")
+    kind = "array<struct<chunk_index:bigint,chunk_pass:string,text:string>>"
+    return cards(docs, chunks, tags, assignments, clusters).join(items, "id", "left").withColumn("items", F.coalesce(F.col("items").cast(kind), F.array().cast(kind)))
+
+
 def enrichment(chunks: DataFrame) -> DataFrame:
     """AG25: (document_id, items) of summary and synopsis chunks in order."""
     own = chunks.where(F.col("chunk_pass").isin("summary", "external_synopsis"))

@@ -109,6 +109,13 @@ def accept_run(runs: DataFrame, run_id: int) -> DataFrame:
     return runs.withColumn("accepted", F.col("run_id") == run_id)
 
 
+def listed(clusters: DataFrame, assignments: DataFrame) -> DataFrame:
+    """ST4: clusters with their number of documents: noise last, then by level, parent (none first), most documents, id."""
+    n = assignments.groupBy("cluster_id").agg(F.count("*").alias("doc_count"))
+    own = clusters.join(n, "cluster_id", "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
+    return own.orderBy("is_noise", "level", F.coalesce("parent_id", F.lit(0)), F.desc("doc_count"), "cluster_id")
+
+
 def assign_new(vectors: DataFrame, assignments: DataFrame, centroids1: DataFrame, centroids2: DataFrame, noise_id: int | None, floor: float = 0.0) -> DataFrame:
     """IN2: (document_id, cluster_id, level, score) of documents that have no cluster yet.
 

@@ -42,6 +42,12 @@ def linked_copies(docs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(docs.select(F.col("id").alias("copy_id"), "source", "title"), "copy_id")
 
 
+def listed(rows: DataFrame, state: str | None = None) -> DataFrame:
+    """ST3: links, or aliases, by score, unscored last; ties by id."""
+    own = rows if state is None else rows.where(F.col("state") == state)
+    return own.orderBy(F.col("score").desc_nulls_last(), "id")
+
+
 def link(links: DataFrame, asked: DataFrame) -> DataFrame:
     """DD6, SK14: ``links`` after the links asked for (canonical_id, duplicate_id, match_key) are made.
 

@@ -124,6 +124,12 @@ def scan(found: list[tuple[str, DataFrame]], aliases: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("alias", "canonical", "kind")
 
 
+def documents_of(spellings: DataFrame, source_tags: DataFrame, overlay_tags: DataFrame) -> DataFrame:
+    """SO2: (document_id) of documents that carry one of the spellings (tag) in either table, each once."""
+    own = source_tags.select("document_id", F.col("tag_string").alias("tag")).union(overlay_tags.select("document_id", "tag"))
+    return own.join(spellings.select("tag").distinct(), "tag", "left_semi").select("document_id").distinct()
+
+
 def describe_aliases(aliases: DataFrame, folds: DataFrame, used: DataFrame, docs: DataFrame, examples: int = 3) -> DataFrame:
     """TF8: each alias row with its labels, totals and up to three example titles."""
     per = folds.where(~F.col("origin").isin(*CLOSED)).groupBy("key").agg(F.max_by("raw", F.struct("n", F.col("raw"))).alias("label"), F.sum("n").alias("total"))
