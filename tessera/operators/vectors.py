@@ -63,15 +63,17 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "document_id", most: int = 10_000) -> DataFrame:
     """JN10: (key, cluster_id, score): the centroid of highest cosine, ties to the lowest id.
 
-    Centroids are a bounded set (a run has tens): their number is checked against
-    ``most`` before they are broadcast; more are joined by a shuffled product.
+    Centroids (a run has tens) are packed into one broadcast row, and a vector finds its
+    best in place.  More than ``most`` make several such rows, whose bests are compared.
     """
     c = centroids.select("cluster_id", l2_normalize(F.col("embedding")).alias("c"))
-    if centroids.count() <= most:
-        c = F.broadcast(c)
-    scored = vectors.select(key, l2_normalize(F.col("embedding")).alias("v")).crossJoin(c).select(key, "cluster_id", dot(F.col("v"), F.col("c")).alias("score"))
-    best = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("m"))).alias("best"))
-    return best.select(key, (-F.col("best.m")).alias("cluster_id"), F.col("best.score").alias("score"))
+    packs = -(-centroids.count() // most)
+    packed = c.groupBy(F.pmod(F.xxhash64("cluster_id"), F.lit(max(packs, 1)))).agg(F.collect_list(F.struct("cluster_id", "c")).alias("pack")).select("pack")
+    score = lambda p: F.struct(dot(F.col("v"), p["c"]).alias("score"), (-p["cluster_id"]).alias("m"))
+    scored = vectors.select(key, l2_normalize(F.col("embedding")).alias("v")).join(F.broadcast(packed)).select(key, F.array_max(F.transform("pack", score)).alias("best"))
+    if packs > 1:
+        scored = scored.groupBy(key).agg(F.max("best").alias("best"))
+    return scored.select(key, (-F.col("best.m")).alias("cluster_id"), F.col("best.score").alias("score"))
 
 
 def drift(centroids: DataFrame, assigned: DataFrame, vectors: DataFrame, threshold: float = 0.60) -> DataFrame:

@@ -295,7 +295,7 @@ def purge_source(spark, d):
 SELECT id, url_or_path, CAST(0 AS INTEGER) AS phase FROM docs WHERE source = 'firefox' AND fetch_status = 'pending' AND url_or_path <> ''
 UNION ALL SELECT id, url_or_path, 1 FROM docs WHERE source = 'firefox' AND fetch_status = 'fetched' AND url_or_path <> '' AND id NOT IN (SELECT document_id FROM chunks)""", "docs", "chunks"))
 def ingest_queue(spark, d):
-    """FL14."""
+    """FL14, SO4."""
     a = Archive(spark, d)
     return R.ingest_queue(a.docs, a.chunks, "firefox")
 
@@ -352,7 +352,7 @@ VISIBLE = "id NOT IN (SELECT duplicate_id FROM links) AND id NOT IN (SELECT docu
 
 @query(sql(f"SELECT id, source, title, date_added FROM docs WHERE {VISIBLE} ORDER BY date_added IS NULL, date_added DESC, id DESC LIMIT 48 OFFSET 10", "docs", "links", "images"))
 def browse_page(spark, d):
-    """FL1, FL6, FL7, FL20, ST1."""
+    """FL1, FL6, FL7, FL20, JN3, ST1."""
     a = Archive(spark, d)
     return B.page(B.browse(a.docs, a.links, a.images), 48, 10).select("id", "source", "title", "date_added")
 
@@ -444,23 +444,25 @@ def linked_copies(spark, d):
 @query(sql("""
 SELECT canonical_id, duplicate_id, match_key, state FROM (
   SELECT * FROM links UNION ALL
-  SELECT 0 AS canonical_id, id AS duplicate_id, 'manual' AS match_key, 'merged' AS state FROM docs WHERE id BETWEEN 1 AND 5 AND id NOT IN (SELECT duplicate_id FROM links) AND id NOT IN (SELECT canonical_id FROM links))""", "links", "docs"))
+  SELECT id - id % 10 AS canonical_id, id AS duplicate_id, 'manual' AS match_key, 'merged' AS state FROM docs WHERE id % 10 > 0 AND id NOT IN (SELECT duplicate_id FROM links UNION SELECT canonical_id FROM links) AND id - id % 10 NOT IN (SELECT duplicate_id FROM links))""", "links", "docs"))
 def link_writer(spark, d):
-    """DD6, SK14: some unlinked documents are linked to document 0."""
+    """DD6, SK14: all unlinked documents are linked to the first of their ten."""
     a = Archive(spark, d)
     held = a.links.select(F.col("duplicate_id").alias("id")).union(a.links.select("canonical_id"))
-    asked = a.docs.where("id between 1 and 5").join(held, "id", "left_anti").select(F.lit(0).cast("long").alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit("manual").alias("match_key"))
+    asked = a.docs.where("id % 10 > 0").join(held, "id", "left_anti").select((F.col("id") - F.col("id") % 10).alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit("manual").alias("match_key"))
+    asked = asked.join(a.links.select(F.col("duplicate_id").alias("canonical_id")), "canonical_id", "left_anti")
     return K.link(a.links, asked).select("canonical_id", "duplicate_id", "match_key", "state")
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7) % 1000 + 1 AS b FROM customer WHERE c_custkey % 3 = 0),
+WITH RECURSIVE e AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 10 < 9 THEN c_custkey + 1 ELSE c_custkey - 3 END AS b FROM customer),
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
 r AS (SELECT a AS node, b AS seen FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.seen = b.a)
 SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def components(spark, d):
-    """DD3."""
-    e = Archive(spark, d).raw("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7) % 1000 + 1).alias("b"))
+    """DD3: chains of ten over all customers."""
+    k = F.col("c_custkey")
+    e = Archive(spark, d).raw("customer").select(k.alias("a"), F.when(k % 10 < 9, k + 1).otherwise(k - 3).alias("b"))
     return connected_components(e, "a", "b")
 
 
@@ -478,9 +480,16 @@ def exact_copies(spark, d):
     return D.propose_links(D.groups(keys, none), D.canonical_rank(docs, n), keys, none)
 
 
-@query()
+_WEB_KEY = r"""'https://' || regexp_replace(regexp_extract(url_or_path, '://([^/?#]*)', 1), '^(www\.)?(m\.)?', '') || rtrim(regexp_extract(url_or_path, '://[^/?#]*([^?#]*)', 1), '/')
+  || CASE WHEN regexp_extract(url_or_path, '[?]([^#]*)', 1) IN ('', 'utm_source=feed') THEN '' ELSE '?' || regexp_replace(regexp_extract(url_or_path, '[?]([^#]*)', 1), '&?ref=x', '') END"""
+
+
+@query(sql("", "web", "chunks").rstrip() + f""",
+k AS (SELECT id, {_WEB_KEY} AS key, CASE fetch_status WHEN 'fetched' THEN 0 WHEN 'unfetchable' THEN 2 ELSE 1 END AS s, coalesce((SELECT count(*) FROM chunks WHERE document_id = web.id), 0) AS n FROM web),
+r AS (SELECT id, first_value(id) OVER (PARTITION BY key ORDER BY s, -n, id) AS canonical_id FROM k)
+SELECT canonical_id, id AS duplicate_id, 'url' AS match_key FROM r WHERE id <> canonical_id""")
 def url_duplicates(spark, d):
-    """DD1, DD3, DD5 on canonical urls; tested on fixtures."""
+    """DD1, DD3, DD5 on canonical urls."""
     a = Archive(spark, d)
     web = a.web.withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.lit(None).cast("string"), "isbn": F.lit(None).cast("string"), "ingested_at": F.col("id")})
     keys, none = D.match_keys(web), a.links.where("false")
@@ -693,13 +702,15 @@ def nearest_centroid(spark, d):
     return V.nearest_centroid(a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), _centroids(a)).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {_NORM}, {_CENT}, r AS (SELECT CAST(c.cluster_id AS BIGINT) AS cluster_id, 1 - avg(list_cosine_similarity(n.v, c.c)) AS d, count(n.vec_id) AS k FROM c LEFT JOIN n ON n.label = c.cluster_id AND n.vec_id >= 400 GROUP BY 1)
+@query(f"""WITH {_NORM}, {_CENT}, r AS (SELECT CAST(c.cluster_id AS BIGINT) AS cluster_id, 1 - avg(list_cosine_similarity(n.v, c.c)) AS d, count(n.vec_id) AS k FROM c LEFT JOIN n ON n.label = c.cluster_id AND n.vec_id >= (SELECT 0.8 * max(vec_id) FROM n) GROUP BY 1)
 SELECT cluster_id, round(coalesce(d, 0), 3) AS drift_score, k AS n_recent, coalesce(d, 0) > 0.6 AS flagged FROM r""")
 def drift(spark, d):
     """CL11, ST7."""
     a = Archive(spark, d)
     v = a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    return V.drift(_centroids(a), a.assignments.where("document_id >= 400").select("document_id", "cluster_id"), v)
+    newest = v.agg(F.max("document_id").alias("newest"))
+    recent = a.assignments.crossJoin(F.broadcast(newest)).where("document_id >= 0.8 * newest")
+    return V.drift(_centroids(a), recent.select("document_id", "cluster_id"), v)
 
 
 @query(f"WITH {_CENT} SELECT CAST(a.cluster_id AS BIGINT) AS cluster_id_a, CAST(b.cluster_id AS BIGINT) AS cluster_id_b, round(list_cosine_similarity(a.c, b.c), 3) AS similarity FROM c a JOIN c b ON a.cluster_id < b.cluster_id WHERE list_cosine_similarity(a.c, b.c) >= 0.05")
@@ -755,13 +766,21 @@ def pca_plane(spark, d):
     return C.reduce_pca(v, 2).select("document_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
 
 
-@query()
+@query(f"""WITH {_NORM}, {_CENT},
+p2 AS (SELECT label * 2 + vec_id % 2 AS kid, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m2 AS (SELECT kid, i, avg(CAST(x AS DOUBLE)) AS x FROM p2 GROUP BY 1, 2), k AS (SELECT kid, list(x ORDER BY i) AS c FROM m2 GROUP BY 1),
+new AS (SELECT * FROM n WHERE vec_id >= (SELECT 0.6 * max(vec_id) FROM n)),
+one AS (SELECT vec_id, arg_max(cluster_id, s) AS cluster_id, max(s) AS score FROM (SELECT vec_id, cluster_id, list_cosine_similarity(new.v, c.c) AS s FROM new, c) GROUP BY 1),
+two AS (SELECT o.vec_id, arg_max(k.kid, list_cosine_similarity(new.v, k.c)) AS cluster_id, max(list_cosine_similarity(new.v, k.c)) AS score FROM one o JOIN new USING (vec_id) JOIN k ON floor(k.kid / 2) = o.cluster_id WHERE o.score >= 0.05 GROUP BY 1)
+SELECT vec_id AS document_id, CAST(CASE WHEN score >= 0.05 THEN cluster_id ELSE 9 END AS BIGINT) AS cluster_id, 1 AS level, round(score, 4) AS score FROM one
+UNION ALL SELECT vec_id, CAST(cluster_id AS BIGINT), 2, round(score, 4) FROM two""")
 def assign_new(spark, d):
-    """IN2."""
+    """IN2: the newest two fifths are placed."""
     a = Archive(spark, d)
     v = a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
     kids = V.mean_vectors(a.raw("embeddings").select((F.col("label") * 2 + F.col("vec_id") % 2).cast("long").alias("cluster_id"), "embedding"), "cluster_id")
-    return C.assign_new(v, a.assignments.where("document_id < 300"), _centroids(a), kids.withColumn("parent_id", F.floor(F.col("cluster_id") / 2)), 9, 0.05)
+    placed = a.assignments.crossJoin(F.broadcast(v.agg(F.max("document_id").alias("newest")))).where("document_id < 0.6 * newest")
+    out = C.assign_new(v, placed, _centroids(a), kids.withColumn("parent_id", F.floor(F.col("cluster_id") / 2)), 9, 0.05)
+    return out.select("document_id", "cluster_id", "level", F.round("score", 4).alias("score"))
 
 
 def _model(a: Archive):
@@ -859,11 +878,11 @@ def store_texts(spark, d):
     return W.store_text(empty, own, 0).select("document_id", "text", "char_count", "content_hash")
 
 
-@query(sql("SELECT id, CASE WHEN id IN (SELECT user_id FROM events WHERE event_id < 500) THEN 'fetched' ELSE fetch_status END AS fetch_status FROM docs", "docs"))
+@query(sql("SELECT id, CASE WHEN id IN (SELECT user_id FROM events WHERE event_type = 'click') THEN 'fetched' ELSE fetch_status END AS fetch_status FROM docs", "docs"))
 def record_fetch(spark, d):
     """SK11."""
     a = Archive(spark, d)
-    got = a.raw("events").where("event_id < 500").select(F.col("user_id").alias("document_id")).distinct().select("document_id", F.lit("fetched").alias("fetch_status"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error_msg"))
+    got = a.raw("events").where("event_type = 'click'").select(F.col("user_id").alias("document_id")).distinct().select("document_id", F.lit("fetched").alias("fetch_status"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error_msg"))
     return W.record_fetch(a.docs, a.fetch_log, got, 0)[0].select("id", "fetch_status")
 
 
@@ -875,12 +894,12 @@ def upsert_labels(spark, d):
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT c_custkey AS id, CAST(floor(c_custkey / 3) AS BIGINT) AS parent, c_mktsegment AS title FROM customer WHERE c_custkey BETWEEN 1 AND 1000),
-r AS (SELECT id, title AS path FROM t WHERE parent NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, r.path || '/' || t.title FROM t JOIN r ON t.parent = r.id)
+WITH RECURSIVE t AS (SELECT c_custkey AS id, nullif(CAST(floor(c_custkey / 3) AS BIGINT), c_custkey) AS parent, c_mktsegment AS title FROM customer),
+r AS (SELECT id, title AS path FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t WHERE id IS NOT NULL) UNION ALL SELECT t.id, r.path || '/' || t.title FROM t JOIN r ON t.parent = r.id)
 SELECT id, path FROM r""")
 def folder_paths(spark, d):
     """SC2, SC6."""
-    t = Archive(spark, d).raw("customer").where("c_custkey between 1 and 1000").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("parent"), F.col("c_mktsegment").alias("title"))
+    t = Archive(spark, d).raw("customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("parent"), F.col("c_mktsegment").alias("title"))
     return X.tree_paths(t)
 
 

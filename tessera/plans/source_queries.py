@@ -20,6 +20,7 @@ from ..operators import vectors as V
 from ..operators import writes as W
 from ..sources import connectors as X
 from .archive import Archive, sql
+from .archive_queries import folded, tags_sql
 
 
 def recursive(body: str, *names: str) -> str:
@@ -375,6 +376,26 @@ def match_keys(spark, d):
     return D.match_keys(rows)
 
 
+@query(sql("SELECT id + 1000000000 AS id FROM chunks WHERE chunk_pass IN ('summary', 'fulltext') UNION SELECT id FROM chunks WHERE chunk_pass = 'summary' QUALIFY row_number() OVER (PARTITION BY document_id, text ORDER BY chunk_index, id) > 1", "chunks"))
+def repeated_chunks(spark, d):
+    """AG21: every summary and full-text run written twice."""
+    c = Archive(spark, d).chunks
+    again = c.withColumns({"id": F.col("id") + 1000000000, "chunk_index": F.col("chunk_index") + 1000})
+    summary, full = R.repeated_chunks(c.unionByName(again))
+    return summary.unionByName(full)
+
+
+@query(tags_sql("""
+SELECT id FROM docs WHERE id IN (SELECT owner_id FROM owned o JOIN folds f ON o.origin = f.origin AND o.tag = f.raw WHERE f.canonical = 'topic-0')
+AND id IN (SELECT owner_id FROM owned o JOIN folds f ON o.origin = f.origin AND o.tag = f.raw WHERE f.canonical = 'academic')""", "docs"))
+def browse_all_origins(spark, d):
+    """FL3: tags of any origin, aliases followed."""
+    a = Archive(spark, d)
+    used, folds = folded(a)
+    spelled = folds.select("raw", "canonical").distinct()
+    return B.having_tag(a.docs, used.select("document_id", "tag"), spelled, a.links, ["topic-0", "Academic"]).select("id")
+
+
 # ── writers ──────────────────────────────────────────────────────────────────
 
 
