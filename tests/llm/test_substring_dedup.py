@@ -41,3 +41,22 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(docs).count() == 0
+
+
+def test_buckets_are_told_by_another_hash():
+    """Windows of one bucket have evenly spread hashes: the bucket's number adds to their bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.substring_dedup import _windows
+
+    *_, hashes, _, _, bucket, _ = _windows(pa.array([" ".join(str(i) for i in range(40_000))]), 5, 4)
+    low = (hashes[bucket == 2] >> np.uint64(32)) % np.uint64(4)
+    assert len(hashes) == 39_996 and (np.bincount(low.astype(int), minlength=4) > 2000).all()
+
+
+def test_equal_rows_spread(spark):
+    """Repeated rows under one id and under null ids count as places each."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)] * 6 + [(None, text)] * 6, "doc_id long, text string").repartition(4)
+    assert {r.n_removed for r in substring_dedup(docs, block_bytes=300).collect()} == {40}
