@@ -18,6 +18,9 @@ a list are chunked by id.  Within a chunk, everything within a hair of the k-th
 id's product is scored again row by row in double precision, so ties are settled by
 id alone.
 
+An outlier of very great norm makes all other vectors look alike after that, and the
+calibrated ratio then searches most lists: slower, not worse.
+
 Plan: the driver sees the sample, the centroids and one count for each list, all
 bounded by parameters; vectors are shuffled once a replica.  A chunk answers a
 query with one packed row of its k best at most; these are merged for each query,
@@ -87,24 +90,27 @@ class Index:
         row, col = np.nonzero(keep)
         return row, near[row, col]
 
-    def walk(self, q: np.ndarray, ratio: float) -> list[int]:
+    def walk(self, q: np.ndarray, ratio: float, measured: list | None = None) -> list[int]:
         """Lists within ``ratio`` of the nearest centroid, by best-first search over the graph.
 
-        The frontier may lead out of the ratio a little, so that a region that the
-        graph enters from outside is found too.
+        The walk goes on while the nearest centroid not yet left lies within the ratio, or a
+        little beyond it, so that a region that the graph enters from outside is found too.
+        ``measured`` collects how many centroids were looked at.
         """
         dist = lambda ids: np.sqrt(np.maximum(((self.centroids[ids] - q) ** 2).sum(1), 0))
         seen = {0: float(dist([0])[0])}
         heap, best = [(seen[0], 0)], seen[0]
         while heap:
             d, i = heapq.heappop(heap)
-            if d > ratio * 1.05 * best and len(seen) > 2 * LINKS:
+            if d > ratio * 1.05 * best:
                 break
             new = [j for j in self.graph[i].tolist() if j not in seen]
             for j, e in zip(new, dist(new).tolist() if new else ()):
                 seen[j] = e
                 best = min(best, e)
                 heapq.heappush(heap, (e, j))
+        if measured is not None:
+            measured.append(len(seen))
         return [i for i, d in seen.items() if d <= ratio * best + 1e-12]
 
 

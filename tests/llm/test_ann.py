@@ -81,3 +81,27 @@ def test_few_and_none(spark):
     assert ann.search(two.where("false"), two).count() == 0
     assert ann.search(two, two.where("false")).count() == 0
     assert SF
+
+
+def test_the_graph_prunes_many_lists(spark):
+    """With 500 lists the walk looks at a part of the centroids, queries search fewer still, and recall holds."""
+    rng = np.random.default_rng(7)
+    hubs = rng.normal(size=(60, 6)) * 4
+    rows = [(int(i), (hubs[i % 60] + rng.normal(size=6) * 0.4).tolist()) for i in range(6000)]
+    x = np.array([v for _, v in rows])
+    index = ann.fit(x[:3000], float(np.sqrt((x * x).sum(1).max())), 500, 20)
+    looked, searched = [], []
+    for q in index.ask(x[::20]):
+        searched.append(len(index.walk(q, index.ratio, looked)))
+    assert len(index.centroids) == 500 and np.mean(looked) < 350 and np.mean(searched) < 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20, lists=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(6000), -score))[:20].tolist()))
+    print("recall", hits / 6000, "looked at", np.mean(looked), "searched", np.mean(searched))
+    assert hits / 6000 >= 0.9

@@ -54,3 +54,33 @@ def test_parts():
     whole = statistics(pa.array(texts))
     assert whole.shape == (4, STATISTICS) and np.isfinite(whole).all()
     assert np.allclose(whole, np.concatenate([statistics(pa.array([t], pa.string())) for t in texts]))
+
+
+def test_against_brute_force(spark):
+    """The same model fitted in one piece: features of all labelled rows at once, ridge by least squares, isotonic by search."""
+    import pyarrow as pa
+
+    from tessera.llm import quality as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: float(r.quality) for r in labels.collect() if r.doc_id in texts and not held_out(r.doc_id)}
+    ids = sorted(y)
+    x = statistics(pa.array([texts[i] for i in ids]))
+    mean, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    p = Q.fourier((x - mean) / scale)
+    check = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in ids])
+    target, a = np.array([y[i] for i in ids]), p[~check]
+    penalty = np.sqrt(Q.RIDGE * max(len(a), 1)) * np.eye(a.shape[1])
+    weights = np.linalg.lstsq(np.vstack([a, penalty]), np.concatenate([target[~check], np.zeros(a.shape[1])]), rcond=None)[0]
+    model = fit(docs, labels)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale) and np.allclose(model.weights, weights, atol=1e-5)
+    # Isotonic values: the largest least mean over stretches that end here or later.
+    raw, t = p[check] @ weights, target[check]
+    at = np.clip(((raw + 0.5) / 2 * Q.BINS).astype(int), 0, Q.BINS - 1)
+    bins = np.unique(at)
+    n, s = np.array([(at == b).sum() for b in bins]), np.array([t[at == b].sum() for b in bins])
+    best = [max(min(s[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    want = 0.98 * np.interp(model.at, -0.5 + (bins + 0.5) / Q.BINS * 2, best) + 0.02 * np.clip((model.at + 0.5) / 2, 0, 1)
+    assert np.allclose(model.value, want, atol=1e-6)

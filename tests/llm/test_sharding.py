@@ -34,3 +34,37 @@ def test_shards(spark):
 
 def test_empty(spark):
     assert shard_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_against_brute_force(spark):
+    """Shard and slot from row numbers: a network of Python numbers, walked until it is back in the table."""
+    from tessera.llm.sharding import ROUNDS, SEED
+
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    keys = [mixed((SEED + (i + 1) * 0x9E3779B97F4A7C15) & full) for i in range(ROUNDS)]
+    rows = [(i * 7 % 301, "x" * (i % 11)) for i in range(301)] + [(None, "null id")]
+    n, k = len(rows), 1
+    while 4**k < n:
+        k += 1
+
+    def moved(x):
+        while True:
+            left, right = x >> k, x & (1 << k) - 1
+            for key in keys:
+                left, right = right, left ^ mixed((right + key) & full) & (1 << k) - 1
+            x = left << k | right
+            if x < n:
+                return x
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {r[0]: (moved(at) % 8, moved(at) // 8) for at, r in enumerate(order)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.shard, r.slot) for r in shard_rows(docs, 8).collect()} == want
