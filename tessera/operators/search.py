@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .links import merged
 from .vectors import top_k
 
@@ -14,10 +15,30 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def _ranked(hits: DataFrame, *order) -> DataFrame:
-    """Hits with ranks from 1; the hits of one query are few (bounded by its top-k or its match set)."""
+    """Ranks from 1 for hits that a top-k or a page bounds: one window over all of them."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def _ranked_widely(hits: DataFrame, *order) -> DataFrame:
+    """Ranks from 1 for any number of hits.
+
+    Hits are dealt out by ranges of the order and sorted in place; a rank is the number of
+    hits in the ranges before (one count for each, the only thing the driver sees) and the
+    place in its own.  The sorted hits are checkpointed, so that ranks stay as they are if a
+    task runs again.
+    """
+    at = cut(hits.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    place = F.col("_at") - F.shiftleft(part, 33)
+    ahead = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), (part + 1).cast("int"))
+    return at.withColumn("rank", ahead + place + 1).drop("_at")
+
+
 def semantic_hits(chunks: DataFrame, query: list[float], limit: int = 20, offset: int = 0, sources: list[str] | None = None) -> DataFrame:
     """RK1: the best chunk of each document among the top chunks; chunks (vector_id, document_id, source, embedding)."""
     if sources:
@@ -70,16 +91,23 @@ def keyword_hits(docs: DataFrame, chunks: DataFrame, query: str, sources: list[s
         body = bm25(chunks, ["text"], query).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("score").alias("score")).select("doc_id", F.lit(1).alias("tier"), "score")
         both = head.unionByName(body).groupBy("doc_id").agg(F.min(F.struct("tier", "score")).alias("b"))
         hits = both.select("doc_id", "b.tier", "b.score").join(keep, "doc_id", "left_semi")
-    ranked = _ranked(hits, "tier", "score", "doc_id")
+    ranked = _ranked_widely(hits, "tier", "score", "doc_id")
     return ranked.select("doc_id", F.lit(None).cast("double").alias("similarity"), "rank")
 
 
 def append_new(first: DataFrame, more: DataFrame) -> DataFrame:
-    """SO3, RK4: the first arm's hits, then those of the other that it doesn't have."""
-    arms = first.withColumn("arm", F.lit(0)).unionByName(more.withColumn("arm", F.lit(1)))
-    best = arms.groupBy("doc_id").agg(F.min_by(F.struct("similarity", "arm", "rank"), F.struct("arm", "rank")).alias("b"))
-    hits = best.select("doc_id", "b.similarity", F.col("b.arm").alias("arm"), F.col("b.rank").alias("r"))
-    return _ranked(hits, "arm", "r", "doc_id").select("doc_id", "similarity", "rank")
+    """SO3, RK4: the first arm's hits, then those of the other that it doesn't have, in their order.
+
+    The first arm is bounded by its top-k, so its size, and the ranks of the other arm's
+    hits that it has too, fit one broadcast row; a hit's new rank follows from them.
+    """
+    own = first.select("doc_id", F.lit(True).alias("_own"))
+    shared = more.join(F.broadcast(own), "doc_id", "left_semi").agg(F.sort_array(F.collect_list("rank")).alias("_gone"))
+    size = first.agg(F.count("*").alias("_size"))
+    rest = more.join(F.broadcast(own), "doc_id", "left_anti").join(F.broadcast(shared)).join(F.broadcast(size))
+    earlier = F.size(F.filter("_gone", lambda r: r < F.col("rank")))
+    moved = rest.select("doc_id", "similarity", (F.col("_size") + F.col("rank") - earlier).alias("rank"))
+    return first.select("doc_id", "similarity", "rank").unionByName(moved)
 
 
 def hybrid(semantic: DataFrame, keyword: DataFrame, mode: str = "hybrid") -> DataFrame:
@@ -104,14 +132,14 @@ def fold_duplicates(hits: DataFrame, links: DataFrame) -> DataFrame:
     m = merged(links).withColumnRenamed("duplicate_id", "doc_id")
     own = hits.join(m, "doc_id", "left").withColumn("target", F.coalesce("canonical_id", "doc_id"))
     best = own.groupBy(F.col("target").alias("doc_id")).agg(F.max("similarity").alias("similarity"), F.min("rank").alias("r"))
-    return _ranked(best, "r").select("doc_id", "similarity", "rank")
+    return _ranked_widely(best, "r").select("doc_id", "similarity", "rank")
 
 
 def paginate(hits: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """RK7: a page of the filtered hits with ``total``, their number."""
-    ranked = _ranked(hits.withColumnRenamed("rank", "r"), "r").drop("r")
+    top = hits.withColumnRenamed("rank", "r").orderBy("r").limit(offset + limit)
     total = hits.agg(F.count("*").alias("total"))
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).crossJoin(F.broadcast(total))
+    return _ranked(top, "r").drop("r").where(F.col("rank") > offset).join(F.broadcast(total))
 
 
 def merge_image_hits(clip: DataFrame, text: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from ..functions.numbers import cosine, dot, l2_normalize
 
 #: Vectors in one block of a similarity join.
 BLOCK = 1024
+#: Regions that a similarity join tells apart at most; their table of pairs is what bounds them.
+PIVOTS = 512
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -26,23 +28,56 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vector_id"
     return vectors.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
+def _apart(near: np.ndarray, reach: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of regions that may hold a pair at the threshold, by the triangle inequality of angles."""
+    angle = np.arccos(np.clip(near @ near.T, -1, 1))
+    limit = np.arccos(np.clip(threshold, -1, 1)) + reach[:, None] + reach[None, :] + 1e-6
+    return [(int(i), int(j)) for i, j in np.argwhere(angle <= limit) if i <= j]
+
+
+def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """JN9: (a, b, similarity), a < b, of all pairs with cosine at the threshold or above.
 
-    Vectors are dealt into blocks; a task multiplies two blocks, so it holds two
-    blocks whatever the table's size.  Only pairs that pass leave it.
+    Vectors go to the nearest of some pivots (vectors with the least hashes of their keys),
+    and two regions are compared only if their pivots' angle, less what both regions reach
+    out, allows a pair: exact, whatever the data, and the closer the more they cluster.
+    Regions are cut into blocks by a hash; a task multiplies two blocks, so it holds two
+    blocks whatever the table's size.  Only pairs that pass leave it.  Vectors that are
+    null, zero, of another length than most, or hold null or non-finite components have no
+    pairs.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    kind = vectors.schema[key].dataType.simpleString()
-    own = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    tiles = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    usable = F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
+    own = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(usable)
+    shape = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if shape is None:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    own = own.where(F.size("v") == shape["d"]).withColumn("v", l2_normalize(F.col("v"), 0.0))
+    picked = own.orderBy(F.xxhash64("k"), "k").limit(min(pivots, max(1, shape["n"] // block))).select("v").collect()
+    near = np.array([r["v"] for r in picked])
+    packed = F.broadcast(spark.createDataFrame([([(i, v) for i, v in enumerate(near.tolist())],)], "pack array<struct<i:int,c:array<double>>>"))
+    closest = F.array_max(F.transform("pack", lambda p: F.struct(dot(F.col("v"), p["c"]).alias("s"), (-p["i"]).alias("m"))))
+    own = own.join(packed).withColumn("best", closest).select("k", "v", (-F.col("best.m")).alias("r"), F.col("best.s").alias("s"))
+    held = {r["r"]: (r["n"], float(np.arccos(np.clip(r["s"], -1, 1)))) for r in own.groupBy("r").agg(F.count("*").alias("n"), F.min("s").alias("s")).collect()}
+    parts = [max(1, -(-held[i][0] // block)) if i in held else 0 for i in range(len(near))]
+    first = np.concatenate(([0], np.cumsum(parts)[:-1])).tolist()
+    reach = np.array([held[i][1] if i in held else 0.0 for i in range(len(near))])
+    meets: dict[int, list[int]] = {i: [] for i in held}
+    for i, j in _apart(near, reach, threshold):
+        if i in held and j in held:
+            meets[i].append(j)
+            if i != j:
+                meets[j].append(i)
+    # A row for each region: its first block, how many it has, and the blocks of all regions that it may have pairs with.
+    grid = F.broadcast(spark.createDataFrame([(i, first[i], parts[i], [(first[j], parts[j]) for j in meets[i]]) for i in meets], "r int, low int, n int, others array<struct<low:int,n:int>>"))
+    placed = own.join(grid, "r").withColumn("b", (F.col("low") + F.pmod(F.xxhash64("k"), F.col("n"))).cast("int"))
+    others = F.flatten(F.transform("others", lambda o: F.sequence(o["low"], o["low"] + o["n"] - 1)))
+    tiles = placed.withColumn("o", F.explode(others)).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def pairs(key_, t):
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(len(t), -1)
-        size = np.sqrt((x * x).sum(1))
-        x = x / np.where(size == 0, 1, size)[:, None]
         ids, b = t.column("k").combine_chunks(), t.column("b").to_numpy()
         i, j = key_[0].as_py(), key_[1].as_py()
         left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)

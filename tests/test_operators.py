@@ -171,3 +171,41 @@ def test_learning(spark):
     assert (20, "t", "learned") not in got and (1, "t", "learned") in got and len(got) == 11
     s = frame(spark, "session_id long, tag string, status string, accepted_at long", (1, "t", "accepted", 1), (2, "t", "open", None), (3, "u", "accepted", 1))
     assert [r.status for r in learn.accept_session(s, 2, 9).orderBy("session_id").collect()] == ["archived", "accepted", "accepted"]
+
+
+def test_similar_pairs_prune_regions(spark):
+    """Far clusters aren't compared, pairs are those of brute force, broken vectors have none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hubs = np.eye(6)
+    x = np.concatenate([h * 5 + rng.normal(size=(20, 6)) * 0.3 for h in hubs])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, [1.0, None] + [0.0] * 4), (903, [1.0])]
+    v = spark.createDataFrame(rows, "k long, e array<double>").repartition(3)
+    want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= 0.97)
+    assert sorted((r.a, r.b) for r in vectors.similar_pairs(v, "k", "e", 0.97, 8).collect()) == want and want
+    near = np.array([u[20 * i] for i in range(6)])
+    assert vectors._apart(near, np.full(6, 0.2), 0.97) == [(i, i) for i in range(6)]
+    assert vectors.similar_pairs(v.where("k >= 900"), "k", "e", 0.5).count() <= 1
+
+
+def test_hubs_of_components(spark):
+    """A hub of many neighbours, joined by broadcast, and chains around it come out as one component each."""
+    from tessera.operators.graph import CROWDED, connected_components
+
+    n = CROWDED + 300
+    edges = [(5, 1000 + i) for i in range(n)] + [(1000 + i, 5000 + i) for i in range(0, n, 3)] + [(9001, 9002), (9002, 9003), (7, 7)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got[9003] == 9001 and got[7] == 7
+    assert {r for k, r in got.items() if k < 9000 and k != 7} == {5} and len(got) == n + 1 + -(-n // 3) + 4
+
+
+def test_ranks_without_one_window(spark):
+    """Ranks that come from sorted ranges are those of the whole order, and the plan sorts nothing in one task."""
+    hits = spark.range(0, 5000).selectExpr("id AS doc_id", "cast(null as double) AS similarity", "(id * 7919) % 1000 AS s").repartition(5)
+    out = search._ranked_widely(hits, "s", "doc_id")
+    got = [(r.s, r.doc_id) for r in out.orderBy("rank").collect()]
+    assert got == sorted(((i * 7919) % 1000, i) for i in range(5000))
+    assert sorted(r["rank"] for r in out.collect()) == list(range(1, 5001))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
