@@ -16,6 +16,7 @@ from ..operators import rechunk as Y
 from ..operators import reports as R
 from ..operators import search as S
 from ..operators import tags as T
+from ..operators import tree as E
 from ..operators import vectors as V
 from ..operators import writes as W
 from ..sources import connectors as X
@@ -113,6 +114,12 @@ def snapshot_read(spark, d):
     return X.development_cap(X.snapshot(spark, f"{d}/documents.parquet"), None).select("doc_id", "lang", "source")
 
 
+@query()
+def fn_main_text(spark, d):
+    """SC17: the content of pages; tested on fixtures."""
+    return Archive(spark, d).web.select("id", text.main_text(F.col("html")).alias("text"))
+
+
 @query()
 def image_files(spark, d):
     """SC11, on the files of the directory; tested on fixtures."""
@@ -526,6 +533,53 @@ def session_accepted(spark, d):
     return L.accept_session(s, 4, 9).select("session_id", "status")
 
 
+# ── trees ────────────────────────────────────────────────────────────────────
+
+
+def _planted(spark, d, noise: float):
+    """Vectors around one axis for each label, so that the right clusters are known."""
+    e = Archive(spark, d).raw("embeddings")
+    axis = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.col("vec_id") % 7 * noise).otherwise(0.0))
+    return e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding"))
+
+
+def _least(rows, *keys):
+    """Clusters named by their least member."""
+    names = rows.groupBy(*keys, "cluster_id").agg(F.min("document_id").alias("least"))
+    return rows.join(names, [*keys, "cluster_id"]).select("document_id", *keys, "least")
+
+
+_LABELLED = "SELECT vec_id AS document_id, min(vec_id) OVER (PARTITION BY label) AS least FROM embeddings"
+
+
+@query(_LABELLED)
+def cluster_tree(spark, d):
+    """CL4: planted groups found by a cut of the tree."""
+    planted = _planted(spark, d, 0.01)
+    return _least(E.tree_clusters(planted, 10)[0])
+
+
+@query(_LABELLED)
+def cluster_density(spark, d):
+    """CL3: planted groups found by density."""
+    return _least(E.density_clusters(_planted(spark, d, 0.0)))
+
+
+@query("SELECT vec_id AS document_id, 1 AS level, min(vec_id) OVER (PARTITION BY label) AS least FROM embeddings UNION ALL SELECT vec_id, 2, min(vec_id) OVER (PARTITION BY label, vec_id % 7 < 3) FROM embeddings")
+def cluster_levels(spark, d):
+    """CL6, CL7: planted groups, and the two halves of each."""
+    e = Archive(spark, d).raw("embeddings")
+    axis = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.when(F.col("vec_id") % 7 < 3, 0.3).otherwise(-0.3)).otherwise(0.0))
+    return _least(E.two_levels(e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding")), 10, 2).drop("parent_id"), "level")
+
+
+@query()
+def cluster_best_cut(spark, d):
+    """CL5: silhouettes of the cuts that are tried; tested on planted groups."""
+    v = Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    return spark.createDataFrame([(n, float(s)) for n, s in E.tree_clusters(v)[1]], "clusters int, silhouette double")
+
+
 # ── rechunking and purges ────────────────────────────────────────────────────
 
 _TEXTS = "SELECT id AS document_id, body AS text, id % 7 = 0 AS truncated, CASE WHEN id % 3 = 0 AND length(trim(body)) >= 400 THEN 1 ELSE 0 END AS mapped, length(body) AS n FROM docs"
