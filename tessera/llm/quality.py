@@ -8,8 +8,8 @@ up; isotonic regression over fixed score bins turns raw scores into
 probabilities.  Three quarters of the training rows fit the ridge weights, one
 quarter the calibration.
 
-Plan: statistics of all documents are computed once, next to the scan, and only
-they (not texts) meet the labels.  What reaches the driver has a fixed size: the
+Plan: labels, LABELLED at most, are broadcast to the scan, and only the statistics of
+their documents are computed to learn from; no text is shuffled.  What reaches the driver has a fixed size: the
 moments, the normal equations (D + 1 squared) and the histogram of BINS scores.
 Scoring is one pass of an Arrow UDF over the text column.
 
@@ -35,6 +35,8 @@ GAMMA = 0.04
 RIDGE = 1e-3
 BINS = 1024
 SEED = 11
+#: Labelled documents that a model is learnt from, at most.
+LABELLED = 200_000
 THRESHOLD = 0.3
 STATISTICS = 20
 
@@ -146,11 +148,16 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, stats("text").alias("x"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5) -> Model:
-    """A model from the labelled documents whose crc32(doc_id) modulo ``folds`` isn't 0."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, labelled: int = LABELLED) -> Model:
+    """A model from the labelled documents whose crc32(doc_id) modulo ``folds`` isn't 0.
+
+    At most ``labelled`` of them (those of least hash) are learnt from, so that their ids and
+    labels fit a broadcast and no text but theirs is looked at.
+    """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     own = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).select("doc_id", "text")
-    known = cut(features(own, "doc_id").join(marks, "doc_id").select("doc_id", "x", "y"))
+    known = cut(features(own.join(F.broadcast(marks), "doc_id"), "doc_id", "y"))
     ridge, checks = known.where(crc_mod("doc_id", folds) != 1), known.where(crc_mod("doc_id", folds) == 1)
     k = STATISTICS
     moments = _sums(known, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 2 * k + 1)

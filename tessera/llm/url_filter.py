@@ -8,6 +8,11 @@ more general one is at least as confident.  A url is matched through an inverted
 index: each rule is filed under its rarest token, and only rules filed under one
 of the url's tokens are compared with it.  Fixed rules outrank mined ones.
 
+Before mining, tokens that all labelled pages hold are left out (a rule with one is never
+more confident than the rule without), and of tokens that always occur together one stands
+for all; the rules that are kept are written out for each of them again.  So tokens that
+say the same don't multiply itemsets.
+
 Plan: matching works on distinct urls, so a page that is stored a million times is
 looked at once; rules meet urls in a join on one token (a third of all urls may
 share a host: that host is the rarest token of few rules, and the join may be split
@@ -16,7 +21,7 @@ by AQE).  The number of rules is bounded by the support threshold, not by the da
 Defined cases: null url or one without ``://`` has empty host and path, no tokens
 and the verdict allow unless a fixed rule fits; labels with null in both columns or
 of unknown pages are left out, a page labelled more than once is bad if any label
-says so; without labelled pages there are no mined rules; repeated pages are
+says so; a label's doc_id is the page_id that it speaks of; without labelled pages there are no mined rules; repeated pages are
 judged alike; incoming columns beyond page_id and url are not looked at.
 """
 
@@ -76,27 +81,56 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.coalesce(url.contains("://"), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
+def together(baskets: DataFrame) -> DataFrame:
+    """(token, stands, size) of the tokens of baskets (row, t): the least of those that occur in just the same baskets."""
+    seen = baskets.select("row", F.explode("t").alias("token"))
+    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x"))
+    per = seen.groupBy("token").agg(mark.alias("mark"))
+    least = per.groupBy("mark").agg(F.min("token").alias("stands"))
+    return per.join(least, "mark").select("token", "stands", F.col("mark.n").alias("size"))
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """(tokens, key, confidence, support): token combinations that announce a bad page; key is the rarest."""
     spark = pages.sparkSession
     marks = labels.where("doc_id is not null and coalesce(quality, toxic) is not null").groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
     seen = pages.select("page_id", url_tokens(F.col("url")).alias("t")).join(marks, F.col("page_id") == F.col("doc_id"))
-    items = F.when(F.col("bad") == 1, F.array_append("t", F.lit(_BAD))).otherwise(F.col("t"))
-    baskets = cut(seen.where(F.size("t") > 0).select(items.alias("items"), "bad"))
+    baskets = cut(seen.where(F.size("t") > 0).select("t", "bad", F.monotonically_increasing_id().alias("row")))
     total = baskets.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     none = spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double")
     if total["bad"] == 0:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, (min_count - 0.5) / total["n"])), minConfidence=min_confidence).fit(baskets.select("items"))
+    least = max(min_support * total["n"], min_count - 0.5)
+    alike = cut(together(baskets).where(F.col("size") >= least))
+    mined = alike.where((F.col("token") == F.col("stands")) & (F.col("size") < total["n"])).select("token")
+    short = baskets.select("row", "bad", F.explode("t").alias("token")).join(mined, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("t"))
+    items = F.when(F.col("bad") == 1, F.array_append("t", F.lit(_BAD))).otherwise(F.col("t"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total["n"]), minConfidence=min_confidence)
+    # Baskets without a token count towards the support, as empty ones.
+    empty = baskets.select("row", "bad").join(short.select("row"), "row", "left_anti").select("row", "bad", F.array().cast("array<string>").alias("t"))
+    model = model.fit(cut(short.unionByName(empty).select(items.alias("items"))))
     base = total["bad"] / total["n"]
-    rules = model.associationRules.where(F.element_at("consequent", 1) == _BAD).where(F.col("confidence") >= min_lift * base)
+    rules = model.associationRules.where(F.element_at("consequent", 1) == _BAD).where((F.col("confidence") >= min_lift * base) & (F.size("antecedent") > 0))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
+    always = [r["token"] for r in alike.where(F.col("size") == total["n"]).collect()] if base >= max(min_confidence, min_lift * base) else []
+    single = alike.select("token", F.col("size").alias("freq"))
     filed = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(single, "token")
     filed = cut(filed.groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"), F.max("confidence").alias("confidence"), F.max("support").alias("support")))
     general = filed.select(F.col("tokens").alias("less"), F.col("key").alias("token"), F.col("confidence").alias("c"))
     vain = filed.select("tokens", "confidence", F.explode("tokens").alias("token")).join(general, "token").where((F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
-    return filed.join(vain.select("tokens").distinct(), "tokens", "left_anti").select("tokens", "key", "confidence", "support")
+    kept = filed.join(vain.select("tokens").distinct(), "tokens", "left_anti").withColumn("rule", F.monotonically_increasing_id())
+    # Each token that stands for others is replaced by every one of them.
+    names = alike.groupBy(F.col("stands").alias("token")).agg(F.collect_list("token").alias("names"), F.first("size").alias("freq"))
+    spelled = cut(kept).select("rule", "confidence", "support", F.explode("tokens").alias("token")).join(names, "token")
+    spelled = spelled.groupBy("rule", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("freq", "names"))).alias("parts"))
+    start = F.array(F.array().cast("array<string>"))
+    grow = lambda acc, p: F.flatten(F.transform(acc, lambda a: F.transform(p["names"], lambda n: F.array_append(a, n))))
+    every = spelled.select("confidence", "support", F.explode(F.aggregate("parts", start, grow)).alias("own"))
+    out = every.select(F.array_sort("own").alias("tokens"), F.element_at("own", 1).alias("key"), "confidence", "support")
+    if always:  # bad pages are so many that any page is taken for one
+        whole = spark.createDataFrame([([t], t, float(base), float(base)) for t in always], out.schema)
+        out = out.where(F.col("confidence") > base).unionByName(whole)
+    return out
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFrame:

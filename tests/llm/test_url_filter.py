@@ -63,3 +63,15 @@ def test_driver_tables_and_empty(spark):
     assert filter_urls(pages, labels).count() == pages.count()
     assert filter_urls(pages.where("false"), labels).count() == 0
     assert {r.verdict for r in filter_urls(pages, labels.where("false")).where("rule is null").collect()} == {"allow"}
+
+
+def test_tokens_that_say_the_same_do_not_multiply(spark):
+    """Twenty tokens that always occur together: the rules are those of one, spelled for each."""
+    path = "/".join(f"part{chr(97 + k)}" for k in range(20))
+    pages = [(i, f"http://site.com/{path if i % 4 == 0 else 'good'}/p{chr(97 + i % 5)}") for i in range(200)]
+    labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(200)]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    got = [r.tokens for r in mine_rules(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert sorted(got) == sorted([f"path:part{chr(97 + k)}"] for k in range(20))
+    rows = filter_urls(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {(r.page_id % 4 == 0, r.verdict) for r in rows.collect()} == {(True, "block"), (False, "allow")}
