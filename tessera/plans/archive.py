@@ -94,7 +94,7 @@ SELECT page_id AS id, CASE WHEN page_id % 11 = 0 THEN 'place:sort=8' WHEN page_i
     "c_publishers_link": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey AS BIGINT) AS book, CAST(p_partkey % 25 AS BIGINT) AS publisher FROM part WHERE p_partkey % 7 > 0",
     # Urls of every handled site, by part, with the identifiers that they hold.
     "site_urls": """
-SELECT k AS id, k % 22 AS kind, CASE k % 22
+SELECT k AS id, k % 23 AS kind, CASE k % 23
   WHEN 0 THEN 'https://arxiv.org/abs/2101.' || n || 'v' || CAST(k % 3 + 1 AS VARCHAR(20)) WHEN 1 THEN 'http://www.arxiv.org/PDF/2101.' || n || '.pdf'
   WHEN 2 THEN 'https://www.biorxiv.org/content/10.1101/' || n || 'v2.full.pdf' WHEN 3 THEN 'https://biorxiv.org/content/early/2018/01/02/' || n
   WHEN 4 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || n || '/' WHEN 5 THEN 'https://www.ncbi.nlm.nih.gov/pubmed/' || n
@@ -104,7 +104,7 @@ SELECT k AS id, k % 22 AS kind, CASE k % 22
   WHEN 13 THEN 'https://dx.doi.org/10.1000/x' || n WHEN 14 THEN 'https://m.youtube.com/watch?x=1&v=abcd' || n || '&t=4' WHEN 15 THEN 'https://youtu.be/abcd' || n
   WHEN 16 THEN 'https://smile.amazon.co.uk/Some-Book/dp/b00' || n || '/ref=x' WHEN 17 THEN 'https://www.google.de/search?q=deep++' || n || '+x&hl=de'
   WHEN 18 THEN 'https://old.reddit.com/r/Sub/comments/A' || n || '/slug/' WHEN 19 THEN 'https://direct.mit.edu/neco/article-pdf/9/8/' || n || '/813/neco.' || n || '.pdf'
-  WHEN 20 THEN 'https://direct.mit.edu/books/book/' || n || '/A-Book_' || n ELSE 'https://en.wikipedia.org/wiki/Page_' || n || '#top' END AS url, n
+  WHEN 20 THEN 'https://direct.mit.edu/books/book/' || n || '/A-Book_' || n WHEN 22 THEN 'https://www.researchgate.net/publication/' || n || '_A_good_title_' || n || '.pdf' ELSE 'https://en.wikipedia.org/wiki/Page_' || n || '#top' END AS url, n
 FROM (SELECT CAST(p_partkey AS BIGINT) AS k, lpad(CAST(p_partkey AS VARCHAR(20)), 7, '0') AS n FROM part) q""",
 }
 _DRIVER = ("documents", "conversations", "labels", "events", "embeddings", "pages", "nation", "region", "part", "supplier", "orders", "customer")

@@ -736,7 +736,13 @@ def cluster_overlays(spark, d):
     return C.label_overlays(a.assignments, a.clusters)
 
 
-@query()
+@query(sql(r"""
+SELECT cluster_id, coalesce(string_agg(word, ' / ' ORDER BY n DESC, f), 'Unlabelled') AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) AS place FROM (
+    SELECT cluster_id, ws[i] AS word, count(*) AS n, min(k * 10000000 + i) AS f FROM (
+      SELECT a.cluster_id, row_number() OVER (PARTITION BY a.cluster_id ORDER BY d.id) AS k, regexp_extract_all(lower(concat_ws(' ', d.title, CASE WHEN length(t) <= 280 THEN t ELSE rtrim(substr(t, 1, 280)) || '…' END)), '[a-z]{3,}') AS ws
+      FROM assignments a JOIN (SELECT *, trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' '), '<[a-zA-Z/][^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM docs) d ON d.id = a.document_id) q, unnest(range(1, len(ws) + 1)) u(i)
+    WHERE k <= 8 AND ws[i] NOT IN ('the', 'a', 'an', 'of', 'in', 'and', 'to', 'for', 'with', 'on', 'is', 'are', 'by', 'from', 'at', 'as', 'that', 'this', 'its', 'it') GROUP BY 1, 2)) WHERE place <= 4 GROUP BY 1""", "assignments", "docs"))
 def cluster_labels(spark, d):
     """CL9, CL10, AG24."""
     a = Archive(spark, d)

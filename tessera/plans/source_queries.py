@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..catalog import query
 from ..functions import numbers, records, text, urls
@@ -19,7 +22,9 @@ from ..operators import tags as T
 from ..operators import tree as E
 from ..operators import vectors as V
 from ..operators import writes as W
+from ..operators.graph import cut
 from ..sources import connectors as X
+from ..streaming import incremental as I
 from .archive import Archive, sql
 from .archive_queries import folded, tags_sql
 
@@ -126,6 +131,59 @@ def image_files(spark, d):
     return X.image_files(spark, [d], ("*.parquet",)).select("filename", "file_size")
 
 
+def _folder(spark) -> str:
+    """A new folder below the session's checkpoint folder, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        cut(spark.range(1))  # settles the folder of a local session
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+@query("SELECT 't' || CAST(event_id % 3 AS VARCHAR) || '_' || CAST(event_id AS VARCHAR) AS source_id, CASE event_id % 3 WHEN 1 THEN 'comment' WHEN 2 THEN 'other' ELSE 'post' END AS kind, event_type AS subreddit, 'body ' || event_type AS body FROM events".replace("'t' || CAST(event_id % 3 AS VARCHAR)", "CASE event_id % 3 WHEN 1 THEN 't1' WHEN 2 THEN 't2' ELSE 't3' END"))
+def reddit_feed(spark, d):
+    """SC12: archived feed pages, written and read back."""
+    mark = F.when(F.col("event_id") % 3 == 1, "t1").when(F.col("event_id") % 3 == 2, "t2").otherwise("t3")
+    entry = F.format_string('<entry><id>%s_%s</id><title>T</title><updated>2020-01-01T00:00:00+00:00</updated><link href="https://reddit.com/r/%s/comments/a/"/><content>body %s</content></entry>', mark, F.col("event_id").cast("string"), "event_type", "event_type")
+    path = _folder(spark)
+    pages = Archive(spark, d).raw("events").groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    pages.write.partitionBy("page").text(path)
+    return X.reddit_feed(spark, path).select("source_id", "kind", "subreddit", "body")
+
+
+@query("SELECT event_id AS id, event_type AS kind FROM events WHERE event_id % 5 > 0")
+def archive_log(spark, d):
+    """SC13: an archive's lines, written and read back; broken ones are left out."""
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
+    path = _folder(spark)
+    Archive(spark, d).raw("events").select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")).write.text(path)
+    return X.archive_log(spark, path, T_.StructType([T_.StructField("id", T_.LongType()), T_.StructField("kind", T_.StringType())]))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 > 0")
+def stream_ingest(spark, d):
+    """IN1: a stream's rows of unknown keys, each once."""
+    rows = Archive(spark, d).raw("documents").select("doc_id", "lang")
+    base = _folder(spark)
+    rows.union(rows.where("doc_id % 2 = 0")).write.parquet(f"{base}/in")
+    stream = I.read_new(spark, f"{base}/in", rows.schema)
+    put = lambda df, number: df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    I.ingest(stream, lambda: rows.where("doc_id % 3 = 0"), ["doc_id"], put, f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang, doc_id % 7 AS placed FROM documents WHERE doc_id % 7 > 1")
+def stream_hooks(spark, d):
+    """IN8: hooks over each micro-batch of arrivals."""
+    rows = Archive(spark, d).raw("documents").select("doc_id", "lang")
+    base = _folder(spark)
+    rows.write.parquet(f"{base}/in")
+    hooks = [lambda df: df.withColumn("placed", F.col("doc_id") % 7), lambda df: df.where("placed > 1")]
+    put = lambda df, number: df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    I.on_arrival(I.read_new(spark, f"{base}/in", rows.schema), hooks, put, f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "lang", "placed")
+
+
 # ── sites and records ────────────────────────────────────────────────────────
 
 
@@ -141,11 +199,11 @@ def site_preprints(spark, d):
 @query(sql("""
 SELECT id, CASE kind WHEN 8 THEN '10.1007/s' || n WHEN 9 THEN '10.1103/P.' || n END AS publisher, CASE kind WHEN 11 THEN 'S' || n || '0X' END AS pii, CASE kind WHEN 12 THEN '97802620' || substr(n, 3, 5) END AS isbn,
   CASE kind WHEN 12 THEN 'Deep ' || n END AS press_title, CASE kind WHEN 19 THEN '10.1162/neco.' || n END AS mit_doi, CASE kind WHEN 20 THEN 'A Book ' || n END AS mit_title, CASE kind WHEN 19 THEN n END AS mit_page,
-  CASE kind WHEN 13 THEN '10.1000/x' || n END AS doi FROM site_urls""", "site_urls"))
+  CASE kind WHEN 13 THEN '10.1000/x' || n END AS doi, CASE kind WHEN 22 THEN 'A good title ' || n END AS gate_title FROM site_urls""", "site_urls"))
 def site_publishers(spark, d):
-    """HP5-9, FN17."""
+    """HP5-10, FN17."""
     u = F.col("url")
-    return Archive(spark, d).site_urls.select("id", urls.publisher_doi(u).alias("publisher"), urls.sciencedirect_pii(u).alias("pii"), urls.mitpress_isbn(u).alias("isbn"), urls.mitpress_title(u).alias("press_title"), urls.direct_mit_doi(u).alias("mit_doi"), urls.direct_mit_title(u).alias("mit_title"), urls.direct_mit_article(u)["page"].alias("mit_page"), urls.doi_of_url(u).alias("doi"))
+    return Archive(spark, d).site_urls.select("id", urls.publisher_doi(u).alias("publisher"), urls.sciencedirect_pii(u).alias("pii"), urls.mitpress_isbn(u).alias("isbn"), urls.mitpress_title(u).alias("press_title"), urls.direct_mit_doi(u).alias("mit_doi"), urls.direct_mit_title(u).alias("mit_title"), urls.direct_mit_article(u)["page"].alias("mit_page"), urls.doi_of_url(u).alias("doi"), urls.researchgate_card(u)["title"].alias("gate_title"))
 
 
 @query(sql("""
@@ -356,6 +414,39 @@ def semantic_tags(spark, d):
     return T.semantic_pairs(e.select(key, (F.col("vec_id") % 5).alias("n")), e.select(key, "embedding"), 0.43)
 
 
+@query(tags_sql("""
+SELECT a.alias, a.canonical, a.state, l.label AS alias_label, l.total AS alias_total, c.label AS canonical_label, c.total AS canonical_total,
+  (SELECT string_agg(title, '|' ORDER BY document_id) FROM (SELECT DISTINCT u.document_id, d.title FROM used u JOIN folds f ON u.origin = f.origin AND u.tag = f.raw JOIN docs d ON d.id = u.document_id WHERE f.key = a.alias ORDER BY u.document_id LIMIT 3)) AS titles
+FROM aliases a LEFT JOIN per l ON l.key = a.alias LEFT JOIN per c ON c.key = a.canonical""", "docs").replace("\nSELECT a.alias, a.canonical, a.state", ",\nper AS (SELECT key, arg_max(raw, (n, raw)) AS label, CAST(sum(n) AS BIGINT) AS total FROM folds WHERE origin <> 'inferred' GROUP BY key)\nSELECT a.alias, a.canonical, a.state", 1))
+def aliases_described(spark, d):
+    """TF8."""
+    a = Archive(spark, d)
+    used, folds = folded(a)
+    out = T.describe_aliases(a.aliases, folds, used, a.docs)
+    return out.select("alias", "canonical", "state", "alias_label", "alias_total", "canonical_label", "canonical_total", F.array_join("titles", "|").alias("titles"))
+
+
+@query(sql("SELECT lang, n, CASE WHEN n < 8 THEN greatest(2, n // 3) ELSE least(50, greatest(3, CAST(round_even(sqrt(n) / 2, 0) AS BIGINT))) END AS cluster_size, CASE WHEN n < 8 THEN greatest(2, n - 1) ELSE greatest(5, least(30, n // 4)) END AS neighbours FROM (SELECT lang || id % 40 AS lang, count(*) AS n FROM docs GROUP BY 1)", "docs"))
+def cluster_parameters(spark, d):
+    """FN33: for groups of many sizes."""
+    groups = Archive(spark, d).docs.groupBy(F.concat("lang", (F.col("id") % 40).cast("string")).alias("lang")).agg(F.count("*").alias("n"))
+    rows = [(r["lang"], r["n"], *numbers.adaptive_cluster_params(r["n"])) for r in groups.collect()]  # a row for each of some dozen groups
+    return spark.createDataFrame(rows, "lang string, n long, cluster_size long, samples long, neighbours long").drop("samples")
+
+
+@query("SELECT * FROM (VALUES ('off', ''), ('none', 'academic'), ('paper', 'paper'), ('preprint', 'preprint'), ('both', 'academic')) t(state, tags)")
+def browse_kinds(spark, d):
+    """FN20: the tags that each browse state asks for."""
+    states = {"off": (False, ["paper"]), "none": (True, None), "paper": (True, ["paper"]), "preprint": (True, ["preprint"]), "both": (True, ["paper", "preprint"])}
+    return spark.createDataFrame([(k, ",".join(urls.general_tag_filter(*v) or [])) for k, v in states.items()], "state string, tags string")
+
+
+@query(sql(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(body || 'ab-' || chr(10) || 'cd' || chr(10) || chr(10) || chr(10) || chr(10) || 'e'), '([0-9A-Za-z_])-\n([0-9A-Za-z_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM docs".replace("\\\\", "\\"), "docs"))
+def fn_clean_text(spark, d):
+    """FN1: whole texts, with a hyphen at a line's end and blank lines behind."""
+    return Archive(spark, d).docs.select("id", text.clean_text(F.concat("body", F.lit("ab-\ncd\n\n\n\ne"))).alias("text"))
+
+
 @query(sql("SELECT match_key, count(*) AS linked FROM (SELECT 'url' AS match_key FROM docs QUALIFY row_number() OVER (PARTITION BY md5(body) ORDER BY id) > 1 UNION ALL SELECT 'doi' FROM docs QUALIFY row_number() OVER (PARTITION BY lang, n_chars ORDER BY id) > 1 AND count(*) OVER (PARTITION BY md5(body)) = 1) GROUP BY 1", "docs"))
 def link_report(spark, d):
     """DD8: proposed links by the key that they share (one a document and key)."""
