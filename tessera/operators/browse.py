@@ -23,11 +23,14 @@ def having_tag(docs: DataFrame, tags: DataFrame, folds: DataFrame, links: DataFr
 
     ``tags``: (document_id, tag); ``folds``: (raw, canonical) of the spellings in use.
     """
+    spark, wanted = folds.sparkSession, sorted(set(wanted))
+    if not wanted:
+        return docs
+    asked = F.broadcast(spark.createDataFrame(list(enumerate(wanted)), "turn int, raw string"))
+    keys = folds.select("raw", "canonical").join(asked, "raw").select("turn", "canonical").union(asked.select("turn", F.col("raw").alias("canonical"))).distinct()
     owned = with_owner(tags, links).join(folds, F.col("tag") == F.col("raw"), "left").select("owner_id", F.coalesce("canonical", "tag").alias("canonical"))
-    for tag in wanted:
-        key = folds.where(F.col("raw") == tag).select("canonical").union(folds.sparkSession.createDataFrame([(tag,)], "canonical string")).distinct()
-        docs = docs.join(owned.join(key, "canonical", "left_semi").select(F.col("owner_id").alias("id")), "id", "left_semi")
-    return docs
+    met = owned.join(keys, "canonical").groupBy(F.col("owner_id").alias("id")).agg(F.countDistinct("turn").alias("n")).where(F.col("n") == len(wanted))
+    return docs.join(met.select("id"), "id", "left_semi")
 
 
 def wayback_only(docs: DataFrame) -> DataFrame:
