@@ -14,10 +14,12 @@ from ..operators import clusters as C
 from ..operators import dedup as D
 from ..operators import learn as L
 from ..operators import links as K
+from ..operators import pacing as Q
 from ..operators import purge as P
 from ..operators import rechunk as Y
 from ..operators import reports as R
 from ..operators import search as S
+from ..operators import summarize as Z
 from ..operators import tags as T
 from ..operators import tree as E
 from ..operators import vectors as V
@@ -713,3 +715,54 @@ def purge_tags(spark, d):
 def purge_vectors(spark, d):
     """SK16: a target that empties a column."""
     return _purged(spark, d, "vectors", source="firefox").select("id", "vector_id")
+
+
+# ── pacing, summaries, re-embedding ──────────────────────────────────────────
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT event_id AS id, event_type AS domain, event_id // 7 * 1.0 AS ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id // 7, event_id) AS n FROM events),
+s AS (SELECT id, domain, n, ts AS slot FROM r WHERE n = 1 UNION ALL SELECT r.id, r.domain, r.n, greatest(r.ts, s.slot + 2) FROM s JOIN r ON r.domain = s.domain AND r.n = s.n + 1)
+SELECT id, domain, round(slot, 3) AS slot FROM s""")
+def fetch_slots(spark, d):
+    """IN7: slots of two seconds by kind of event."""
+    rows = Archive(spark, d).raw("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("domain"), F.expr("event_id div 7").cast("double").alias("ts"))
+    return Q.fetch_slots(rows, 2.0).select("id", "domain", F.round("slot", 3).alias("slot"))
+
+
+_LOG = "SELECT event_id AS ordinal, user_id AS run_id, event_type AS phase, event_id % 11 AS processed, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 9 END AS total FROM events"
+
+
+@query(f"""
+WITH l AS ({_LOG}), m AS (SELECT ordinal, run_id, phase, max(total) OVER w AS total, max(processed) OVER w AS done FROM l WINDOW w AS (PARTITION BY run_id, phase ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT ordinal, run_id, phase, total, CASE WHEN total > 0 THEN least(done, total) ELSE done END AS processed FROM m)
+SELECT *, CASE WHEN total <= 0 THEN CASE WHEN processed > 0 THEN 100 ELSE 0 END ELSE CAST(round_even(100.0 * processed / total, 0) AS INTEGER) END AS percent FROM s""")
+def progress_states(spark, d):
+    """HP22."""
+    log = spark.sql(_LOG.replace("FROM events", "FROM {e}"), e=Archive(spark, d).raw("events"))
+    return Q.progress_states(log)
+
+
+@query(f"WITH l AS ({_LOG}) SELECT ordinal, run_id, phase FROM l QUALIFY lag(phase) OVER (PARTITION BY run_id ORDER BY ordinal) IS DISTINCT FROM phase")
+def progress_changes(spark, d):
+    """IN5."""
+    log = spark.sql(_LOG.replace("FROM events", "FROM {e}"), e=Archive(spark, d).raw("events"))
+    return Q.changes(log, ["phase"]).select("ordinal", "run_id", "phase")
+
+
+@query(sql("SELECT id AS document_id, nullif(trim(substr(title || ' of ' || lang, 1, 30)), '') AS summary FROM docs WHERE length(title || ' of ' || lang) <= 4000", "docs"))
+def summaries_of_titles(spark, d):
+    """RC4 with a toy leaf, on texts that fit one call; longer ones are tested on fixtures."""
+    docs = Archive(spark, d).docs.select(F.col("id").alias("document_id"), F.concat("title", F.lit(" of "), "lang").alias("text")).where("length(text) <= 4000")
+    return Z.summarize(docs, lambda t: F.substring(t, 1, 30), 4000, depth=1)
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false)) t(session_id, kept)")
+def reembedded(spark, d):
+    """RC3: the sessions that keep a model after vectors are rebuilt (the third has one class only)."""
+    e = Archive(spark, d).raw("embeddings")
+    sessions = spark.createDataFrame([(1, "accepted"), (2, "accepted"), (3, "accepted"), (4, "open")], "session_id int, status string")
+    label = F.when(F.col("session_id") == 3, 1).otherwise((F.col("label") % (F.col("session_id") + 1) == 0).cast("int"))
+    labels = e.select(F.col("vec_id").alias("document_id"), "label").crossJoin(F.broadcast(sessions.select("session_id"))).select("session_id", "document_id", label.alias("label"), F.lit("manual").alias("source"))
+    _, models, dropped = Z.reembed(e.select(F.col("vec_id").alias("document_id"), "embedding"), sessions, labels)
+    return spark.createDataFrame([(s, True) for s, *_ in models] + [(s, False) for s in dropped], "session_id int, kept boolean")
