@@ -54,12 +54,17 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
     if shape is None:
         return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
     own = own.where(F.size("v") == shape["d"]).withColumn("v", l2_normalize(F.col("v"), 0.0))
-    picked = own.orderBy(F.xxhash64("k"), "k").limit(min(pivots, max(1, shape["n"] // block))).select("v").collect()
-    near = np.array([r["v"] for r in picked])
-    packed = F.broadcast(spark.createDataFrame([([(i, v) for i, v in enumerate(near.tolist())],)], "pack array<struct<i:int,c:array<double>>>"))
-    closest = F.array_max(F.transform("pack", lambda p: F.struct(dot(F.col("v"), p["c"]).alias("s"), (-p["i"]).alias("m"))))
-    own = own.join(packed).withColumn("best", closest).select("k", "v", (-F.col("best.m")).alias("r"), F.col("best.s").alias("s"))
-    held = {r["r"]: (r["n"], float(np.arccos(np.clip(r["s"], -1, 1)))) for r in own.groupBy("r").agg(F.count("*").alias("n"), F.min("s").alias("s")).collect()}
+    several = min(pivots, shape["n"] // block)
+    if several > 1:
+        picked = own.orderBy(F.xxhash64("k"), "k").limit(several).select("v").collect()
+        near = np.array([r["v"] for r in picked])
+        packed = F.broadcast(spark.createDataFrame([([(i, v) for i, v in enumerate(near.tolist())],)], "pack array<struct<i:int,c:array<double>>>"))
+        closest = F.array_max(F.transform("pack", lambda p: F.struct(dot(F.col("v"), p["c"]).alias("s"), (-p["i"]).alias("m"))))
+        own = own.join(packed).withColumn("best", closest).select("k", "v", (-F.col("best.m")).alias("r"), F.col("best.s").alias("s"))
+        counted = own.groupBy("r").agg(F.count("*").alias("n"), F.min("s").alias("s")).collect()
+        held = {r["r"]: (r["n"], float(np.arccos(np.clip(r["s"], -1, 1)))) for r in counted}
+    else:  # one region, which needs no pivot
+        near, own, held = np.ones((1, 1)), own.withColumn("r", F.lit(0)), {0: (shape["n"], np.pi)}
     parts = [max(1, -(-held[i][0] // block)) if i in held else 0 for i in range(len(near))]
     first = np.concatenate(([0], np.cumsum(parts)[:-1])).tolist()
     reach = np.array([held[i][1] if i in held else 0.0 for i in range(len(near))])
