@@ -371,6 +371,8 @@ def _apply(buckets: int, names: list[str], order: int):
         by_word, word_cut = _by_bucket(_word_bucket(words, buckets), buckets)
         scores, counts = np.zeros(len(nodes), np.float64), np.zeros(len(words), np.int64)
         for b, s, n, c in zip(*(answers.column(x).to_pylist() for x in (_BUCKET, "scores", "n_words", "counts"))):
+            if len(s) != 4 * (node_cut[b + 1] - node_cut[b]) or n != word_cut[b + 1] - word_cut[b]:
+                raise RuntimeError("a block's rows changed between its two readings")
             scores[by_node[node_cut[b] : node_cut[b + 1]]] = np.frombuffer(s, "<f4")
             counts[by_word[word_cut[b] : word_cut[b + 1]]] = unpack_counts(c, n)
         tokens = int(np.sum(answers.column("tokens").to_numpy()))

@@ -89,7 +89,7 @@ def _answer(key, t):
     for own, n in zip(t.column("twice").to_pylist(), sizes):
         bits.append(np.packbits(twice[at : at + n] | np.unpackbits(np.frombuffer(own, np.uint8), count=n).astype(bool)).tobytes())
         at += n
-    return pa.table({_BLOCK: t.column(_BLOCK), _BUCKET: pa.array([key[0].as_py()] * len(t), pa.int32()), _BITS: pa.array(bits, pa.binary())})
+    return pa.table({_BLOCK: t.column(_BLOCK), _BUCKET: pa.array([key[0].as_py()] * len(t), pa.int32()), _BITS: pa.array(bits, pa.binary()), "n": pa.array(sizes.tolist(), pa.int32())})
 
 
 def _sorted(t: pa.Table) -> pa.Table:
@@ -108,8 +108,10 @@ def _apply(size: int, buckets: int, names: list[str]):
         data, start, end, first, n, place, hashes, turn, _, bucket, order = _windows(docs.column("text"), size, buckets)
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         repeated = np.zeros(len(hashes), bool)
-        for b, bits in zip(answers.column(_BUCKET).to_pylist(), answers.column(_BITS).to_pylist()):
+        for b, bits, sent in zip(*(answers.column(c).to_pylist() for c in (_BUCKET, _BITS, "n"))):
             own = order[cuts[b] : cuts[b + 1]]
+            if len(own) != sent:
+                raise RuntimeError("a block's rows changed between its two readings")
             repeated[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         hit = place[repeated[turn]] if len(place) else place
         cover = np.zeros(n + 1, np.int32)
@@ -148,6 +150,6 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_
     names = docs.columns
     dealt = docs.withColumn(_ROW, F.xxhash64(F.col("doc_id").cast("string"), text, F.spark_partition_id())).withColumn(_BLOCK, F.pmod(F.col(_ROW), F.lit(blocks)))
     sent = dealt.groupBy(_BLOCK).applyInArrow(_send(size, buckets), f"{_BUCKET} int, {_BLOCK} long, hashes binary, twice binary")
-    answers = sent.groupBy(_BUCKET).applyInArrow(_answer, f"{_BLOCK} long, {_BUCKET} int, {_BITS} binary")
+    answers = sent.groupBy(_BUCKET).applyInArrow(_answer, f"{_BLOCK} long, {_BUCKET} int, {_BITS} binary, n int")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_text", T.StringType())])
     return dealt.groupBy(_BLOCK).cogroup(answers.groupBy(_BLOCK)).applyInArrow(_apply(size, buckets, names), schema)
