@@ -260,12 +260,26 @@ def _score(k: int):
     return score
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, lists: int | None = None, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    sample: int = SAMPLE,
+    lists: int | None = None,
+    chunk: int = CHUNK,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first, ties to the smaller id."""
     spark = vectors.sparkSession
     whole = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
     own = whole(vectors)
-    shape = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), F.desc("d")).first()
+    shape = (
+        own.groupBy(F.size("v").alias("d"))
+        .agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"))
+        .orderBy(F.desc("n"), F.desc("d"))
+        .first()
+    )
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = shape["d"], shape["n"]
@@ -278,11 +292,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     route = cut(asks.mapInArrow(_spread(shared, "query_id", True), "list int, query_id long, v array<double>"))
     size = lambda df: {r["list"]: r["n"] for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}
     held, asked = size(post), size(route)
-    grid = spark.createDataFrame([(i, -(-held.get(i, 0) // chunk) or 1, -(-asked.get(i, 0) // chunk) or 1) for i in range(len(index.centroids))], "list int, nv int, nq int")
+    grid = spark.createDataFrame(
+        [(i, -(-held.get(i, 0) // chunk) or 1, -(-asked.get(i, 0) // chunk) or 1) for i in range(len(index.centroids))],
+        "list int, nv int, nq int",
+    )
     grid = F.broadcast(grid)  # a row for each list, at most MAX_LISTS
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    post = post.join(grid, "list").withColumn("vc", F.pmod(F.xxhash64("vec_id", "v"), F.col("nv")).cast("int")).withColumn("qc", every("nq")).select("list", "vc", "qc", "vec_id", "v")
-    route = route.join(grid, "list").withColumn("qc", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vc", every("nv")).select("list", "vc", "qc", "query_id", "v")
+    post = (
+        post.join(grid, "list")
+        .withColumn("vc", F.pmod(F.xxhash64("vec_id", "v"), F.col("nv")).cast("int"))
+        .withColumn("qc", every("nq"))
+        .select("list", "vc", "qc", "vec_id", "v")
+    )
+    route = (
+        route.join(grid, "list")
+        .withColumn("qc", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int"))
+        .withColumn("vc", every("nv"))
+        .select("list", "vc", "qc", "query_id", "v")
+    )
     tile = ["list", "vc", "qc"]
     packed = "query_id long, ids binary, scores binary"
     found = post.groupBy(*tile).cogroup(route.groupBy(*tile)).applyInArrow(_score(k), packed)
@@ -290,7 +317,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     tiles = sum(-(-n // chunk) for n in held.values())
     if tiles > MERGED:
         parts = -(-tiles // MERGED)
-        found = found.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).groupBy("query_id", "part").applyInArrow(_merge(k, False), packed)
+        found = (
+            found.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+            .groupBy("query_id", "part")
+            .applyInArrow(_merge(k, False), packed)
+        )
     slots = max(1, sum(asked.values()) // SLOT)
     found = found.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(slots)))
     return found.groupBy("slot").applyInArrow(_merge(k, True), "query_id long, rank int, vec_id long, score double")

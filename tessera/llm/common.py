@@ -34,7 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def broadcast_bytes(spark: SparkSession) -> int:
     """The session's bound for broadcast sides, spark.sql.autoBroadcastJoinThreshold, in bytes; below 0 for none."""
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").lower().strip()).groups()
+    number, unit = (
+        re.fullmatch(
+            r"(-?\d+)\s*([kmgt]?)b?",
+            spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").lower().strip(),
+        )
+        .groups()
+    )
     return int(number) << 10 * " kmgt".index(unit or " ")
 
 

@@ -102,13 +102,32 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
     ``item`` numbers the distinct (item_id, text); slots are (type, value, offset) of the window.
     """
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text"))
-    items = items.withColumn("w", tokens(F.col("text"))).withColumn("t", template(F.col("w"))).withColumn("n", F.size("w")).where(F.col("n") >= MIN_TOKENS)
+    items = (
+        benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+        .distinct()
+        .withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text"))
+    )
+    items = (
+        items.withColumn("w", tokens(F.col("text")))
+        .withColumn("t", template(F.col("w")))
+        .withColumn("n", F.size("w"))
+        .where(F.col("n") >= MIN_TOKENS)
+    )
     items = items.withColumn("len", F.least(F.col("n"), F.lit(size)))
     wins = items.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1)))
-    wins = wins.withColumn("h", F.xxhash64(F.slice("t", F.col("j"), F.col("len")))).withColumn("lit", _literals(F.col("t"), F.col("j"), F.col("len")))
+    wins = (
+        wins.withColumn("h", F.xxhash64(F.slice("t", F.col("j"), F.col("len"))))
+        .withColumn("lit", _literals(F.col("t"), F.col("j"), F.col("len")))
+    )
     best = wins.groupBy("item").agg(F.max("lit").alias("best"))
-    wins = wins.join(best, "item").where((F.col("lit") >= LITERALS) | ((F.col("best") < LITERALS) & (F.col("lit") == F.col("best")) & (F.col("lit") > 0)))
+    wins = (
+        wins.join(best, "item")
+        .where(
+            (F.col("lit") >= LITERALS) | (
+                (F.col("best") < LITERALS) & (F.col("lit") == F.col("best")) & (F.col("lit") > 0)
+            )
+        )
+    )
     per = wins.groupBy("item").agg(F.count("*").alias("n_win"))
     slot = F.filter(
         F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda k: F.struct(F.element_at("t", F.col("j") + k).alias("kind"), F.element_at("w", F.col("j") + k).alias("value"), k.alias("k"))),
@@ -117,7 +136,13 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return wins.join(per, "item").select("item_id", "item", "j", "h", "len", "n_win", slot.alias("slots"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = SIZE,
+    coverage: float = COVERAGE,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, changed, th) for every item found in a document.
 
     ``changed``: some slot of the item has another value in the document.
@@ -128,24 +153,64 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage
     if bench.count() <= broadcast_rows:
         bench, keys = F.broadcast(bench), F.broadcast(keys)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    t = source.withColumn("w", tokens(F.col("text"))).select("doc_id", F.xxhash64("text").alias("th"), "w", template(F.col("w")).alias("t"), F.size("w").alias("n"))
+    t = (
+        source.withColumn("w", tokens(F.col("text")))
+        .select("doc_id", F.xxhash64("text").alias("th"), "w", template(F.col("w")).alias("t"), F.size("w").alias("n"))
+    )
     empty = "doc_id %s, item_id %s, n_windows long, item_windows long, coverage double, changed boolean, th long" % (dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
     if not sizes:
         return docs.sparkSession.createDataFrame([], empty)
     # Texts that hit are few; their tokens are read again, in place of carrying all tokens along.
     hits = t.select("doc_id", "th", F.explode(_windows(F.col("t"), F.col("n"), sizes)).alias("w")).select("doc_id", "th", "w.*")
     hits = cut(hits.join(keys, ["h", "len"]).select("doc_id", "th", "h", "len", "p").distinct())
-    found = cut(hits.join(bench, ["h", "len"]).withColumn("diag", F.col("p") - F.col("j")).select("doc_id", "th", "item_id", "item", "n_win", "j", "diag", "slots"))
-    slots = found.where(F.size("slots") > 0).select("doc_id", "th", "item", "diag", "j", F.explode("slots").alias("s")).select("doc_id", "th", "item", "diag", "j", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), (F.col("j") + F.col("s.k") + F.col("diag")).alias("at"))
+    found = cut(
+        hits.join(bench, ["h", "len"])
+        .withColumn("diag", F.col("p") - F.col("j"))
+        .select("doc_id", "th", "item_id", "item", "n_win", "j", "diag", "slots")
+    )
+    slots = (
+        found.where(F.size("slots") > 0)
+        .select("doc_id", "th", "item", "diag", "j", F.explode("slots").alias("s"))
+        .select(
+            "doc_id",
+            "th",
+            "item",
+            "diag",
+            "j",
+            F.col("s.kind").alias("kind"),
+            F.col("s.value").alias("value"),
+            (F.col("j") + F.col("s.k") + F.col("diag")).alias("at"),
+        )
+    )
     need = cut(slots.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     if need.count() <= broadcast_rows:
         need = F.broadcast(need)
-    words = source.withColumn("_h", F.xxhash64("text")).join(need, on=[F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_h") == F.col("_th")], how="left_semi").dropDuplicates(["doc_id", "_h"]).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_th"), tokens(F.col("text")).alias("w"))
+    words = (
+        source.withColumn("_h", F.xxhash64("text"))
+        .join(need, on=[F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_h") == F.col("_th")], how="left_semi")
+        .dropDuplicates(["doc_id", "_h"])
+        .select(F.col("doc_id").alias("_id"), F.col("_h").alias("_th"), tokens(F.col("text")).alias("w"))
+    )
     same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("th") == F.col("_th")]
-    filled = cut(slots.join(words, same).select("doc_id", "th", "item", "diag", "j", "kind", "value", F.element_at("w", F.col("at")).alias("own")).distinct())
+    filled = cut(
+        slots.join(words, same)
+        .select("doc_id", "th", "item", "diag", "j", "kind", "value", F.element_at("w", F.col("at")).alias("own"))
+        .distinct()
+    )
     occurrence = ["doc_id", "th", "item", "diag"]
-    forward = filled.groupBy(*occurrence, "kind", "value").agg((F.min("own") == F.max("own")).alias("ok")).groupBy(*occurrence).agg(F.bool_and("ok").alias("ok"))
-    names = filled.where(F.col("kind") == NAME).groupBy(*occurrence, "own").agg((F.min("value") == F.max("value")).alias("ok")).groupBy(*occurrence).agg(F.bool_and("ok").alias("names_ok"))
+    forward = (
+        filled.groupBy(*occurrence, "kind", "value")
+        .agg((F.min("own") == F.max("own")).alias("ok"))
+        .groupBy(*occurrence)
+        .agg(F.bool_and("ok").alias("ok"))
+    )
+    names = (
+        filled.where(F.col("kind") == NAME)
+        .groupBy(*occurrence, "own")
+        .agg((F.min("value") == F.max("value")).alias("ok"))
+        .groupBy(*occurrence)
+        .agg(F.bool_and("ok").alias("names_ok"))
+    )
     altered = filled.groupBy(*occurrence, "j").agg(F.bool_or(F.col("own") != F.col("value")).alias("changed"))
 
     def beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,14 +223,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage
     consistent = F.coalesce("ok", F.lit(True)) & F.coalesce("names_ok", F.lit(True))
     changed = F.coalesce("changed", F.lit(False))
     good = judged.where(~changed | consistent).select("doc_id", "th", "item_id", "item", "n_win", "j", changed.alias("changed"))
-    per = good.groupBy("doc_id", "th", "item_id", "item", "n_win").agg(F.countDistinct("j").alias("n"), F.bool_or("changed").alias("changed"))
+    per = (
+        good.groupBy("doc_id", "th", "item_id", "item", "n_win")
+        .agg(F.countDistinct("j").alias("n"), F.bool_or("changed").alias("changed"))
+    )
     share = F.col("n") / F.col("n_win")
-    return per.where((share >= coverage) & (F.col("n") >= F.least(F.lit(MIN_WINDOWS), F.col("n_win")))).select("doc_id", "item_id", F.col("n").alias("n_windows"), F.col("n_win").alias("item_windows"), share.alias("coverage"), "changed", "th")
+    return (
+        per.where((share >= coverage) & (F.col("n") >= F.least(F.lit(MIN_WINDOWS), F.col("n_win"))))
+        .select(
+            "doc_id",
+            "item_id",
+            F.col("n").alias("n_windows"),
+            F.col("n_win").alias("item_windows"),
+            share.alias("coverage"),
+            "changed",
+            "th",
+        )
+    )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
-    found = cut(find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th")).distinct())
+    found = cut(
+        find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options)
+        .select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th"))
+        .distinct()
+    )
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     key = F.xxhash64(F.coalesce("text", F.lit("")))

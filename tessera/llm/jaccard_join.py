@@ -206,14 +206,19 @@ def _verify(size: int, threshold: float):
 def forest(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     """(cid, tree, bucket, meets): the buckets where a class meets others; ``meets`` has its bucket in each tree, 0 for none."""
     width = depth * 4
-    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sign", t * width + 1, width)).alias("bucket")) for t in range(trees)])
+    prefixes = F.array(
+        *[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sign", t * width + 1, width)).alias("bucket")) for t in range(trees)]
+    )
     nodes = classes.select("cid", F.explode(prefixes).alias("n")).select("cid", "n.*")
     crowded = nodes.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("bucket")
     held = cut(nodes.join(crowded, "bucket"))
     per = held.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("m"))
     meets = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0).cast("long")) for t in range(trees)])
     rows = cut(held.join(per.select("cid", meets.alias("meets")), "cid"))
-    ends = rows.groupBy("tree", "bucket").agg(*[f(F.col("meets")[t]).alias(f"{n}{t}") for t in range(trees) for f, n in ((F.min, "a"), (F.max, "b"))])
+    ends = (
+        rows.groupBy("tree", "bucket")
+        .agg(*[f(F.col("meets")[t]).alias(f"{n}{t}") for t in range(trees) for f, n in ((F.min, "a"), (F.max, "b"))])
+    )
     shared = [F.when((F.col(f"a{t}") == F.col(f"b{t}")) & (F.col(f"a{t}") != 0), t) for t in range(trees)]
     return rows.join(ends.where(F.least(F.lit(trees), *shared) == F.col("tree")).select("tree", "bucket"), ["tree", "bucket"])
 
@@ -223,7 +228,15 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_join(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    size: int = SHINGLE,
+    trees: int = TREES,
+    block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, class_id, copy_id, n_links, is_kept, is_repeat, th.
 
     copy_id is the least doc_id with the same shingle set, class_id the least doc_id
@@ -235,32 +248,110 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     """
     depth = matched_depth(threshold, trees)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = cut(source.mapInArrow(_slim(size, trees * depth), "doc_id long, th long, cid long, c2 long, n long, sign binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(
+        source.mapInArrow(_slim(size, trees * depth), "doc_id long, th long, cid long, c2 long, n long, sign binary")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
     full = rows.where("n > 0")
-    classes = cut(full.groupBy("cid", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign")).select("cid", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), F.col("rep.row").alias("row"), "n", "sign"))
+    classes = cut(
+        full.groupBy("cid", "c2")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("rep"),
+            F.min("n").alias("n"),
+            F.min("sign").alias("sign"),
+        )
+        .select(
+            "cid",
+            "c2",
+            F.col("rep.doc_id").alias("doc_id"),
+            F.col("rep.th").alias("th"),
+            F.col("rep.row").alias("row"),
+            "n",
+            "sign",
+        )
+    )
     met = forest(classes, depth, trees)
     sized = cut(met.join(classes.select("cid", "doc_id", "th", "n"), "cid"))
-    blocks = sized.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("nb"))
+    blocks = (
+        sized.groupBy("bucket")
+        .agg(
+            F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles))
+            .cast("int")
+            .alias("nb")
+        )
+    )
     stat = sized.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     slots = max(1, 16 * stat["n"] // block_shingles)
     wanted = sized.select("cid", "doc_id", "th").distinct()
-    texts = source.withColumn("id", F.col("doc_id")).drop("doc_id").join(small(wanted, stat["rows"], broadcast_rows), on=[F.col("id").eqNullSafe(F.col("doc_id")), source["th"] == wanted["th"]]).select("cid", "text")
+    texts = (
+        source.withColumn("id", F.col("doc_id"))
+        .drop("doc_id")
+        .join(
+            small(wanted, stat["rows"], broadcast_rows),
+            on=[F.col("id").eqNullSafe(F.col("doc_id")), source["th"] == wanted["th"]],
+        )
+        .select("cid", "text")
+    )
     texts = texts.groupBy("cid").agg(F.min("text").alias("text"))
     placed = sized.join(small(blocks, stat["rows"], broadcast_rows), "bucket").select("cid", "tree", "bucket", "meets", "nb")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb"))).join(texts, "cid")
-    tiles = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    tiles = tiles.withColumn("slot", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("bucket"), F.lit(slots))).otherwise(F.xxhash64("bucket", "bi", "bj")))
+    tiles = (
+        placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        .withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    )
+    tiles = tiles.withColumn(
+        "slot",
+        F.when(F.col("nb") == 1, F.pmod(F.xxhash64("bucket"), F.lit(slots))).otherwise(F.xxhash64("bucket", "bi", "bj")),
+    )
     tiles = tiles.select("slot", "cid", "tree", "bucket", "meets", "block", "bi", "bj", "text")
     checked = cut(tiles.groupBy("slot").applyInArrow(_verify(size, threshold), "cid long, links long, root long"))
     links = checked.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = connected_components(checked.where("links > 0"), "cid", "root")
-    known = classes.join(links, "cid", "left").join(roots, classes["cid"] == roots["node"], "left").select(classes["cid"], "c2", "doc_id", "th", "row", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", classes["cid"]).alias("root"))
+    known = (
+        classes.join(links, "cid", "left")
+        .join(roots, classes["cid"] == roots["node"], "left")
+        .select(
+            classes["cid"],
+            "c2",
+            "doc_id",
+            "th",
+            "row",
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("root", classes["cid"]).alias("root"),
+        )
+    )
     best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "row")).alias("best"))
-    known = known.join(best, "root").select("cid", "c2", F.col("doc_id").alias("copy_id"), "n_links", F.col("best.doc_id").alias("class_id"), F.col("best.th").alias("best_th"), F.col("best.row").alias("best_row"))
+    known = (
+        known.join(best, "root")
+        .select(
+            "cid",
+            "c2",
+            F.col("doc_id").alias("copy_id"),
+            "n_links",
+            F.col("best.doc_id").alias("class_id"),
+            F.col("best.th").alias("best_th"),
+            F.col("best.row").alias("best_row"),
+        )
+    )
     kept = F.col("row") == F.col("best_row")
     repeat = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("best_th")) & ~kept
-    joined = full.select("doc_id", "th", "row", "cid", "c2").join(known, ["cid", "c2"]).select("doc_id", "class_id", "copy_id", "n_links", kept.alias("is_kept"), repeat.alias("is_repeat"), "th")
-    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_kept"), F.lit(False).alias("is_repeat"), "th")
+    joined = (
+        full.select("doc_id", "th", "row", "cid", "c2")
+        .join(known, ["cid", "c2"])
+        .select("doc_id", "class_id", "copy_id", "n_links", kept.alias("is_kept"), repeat.alias("is_repeat"), "th")
+    )
+    alone = (
+        rows.where("n = 0")
+        .select(
+            "doc_id",
+            F.col("doc_id").alias("class_id"),
+            F.col("doc_id").alias("copy_id"),
+            F.lit(0).cast("long").alias("n_links"),
+            F.lit(True).alias("is_kept"),
+            F.lit(False).alias("is_repeat"),
+            "th",
+        )
+    )
     return joined.unionByName(alone)
 
 
@@ -269,7 +360,15 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Of rows with one doc_id and text the one with the least hash of all columns stays.
     """
-    found = jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th"), F.col("is_repeat").alias("_tessera_repeat"))
+    found = (
+        jaccard_join(docs, **options)
+        .where("not is_kept")
+        .select(
+            F.col("doc_id").alias("_tessera_id"),
+            F.col("th").alias("_tessera_th"),
+            F.col("is_repeat").alias("_tessera_repeat"),
+        )
+    )
     found = cut(found.distinct())
     stat = found.agg(F.count("*").alias("rows"), F.count_if("_tessera_repeat").alias("repeats")).first()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -279,5 +378,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
         return rest
     again = docs.join(small(found.where("_tessera_repeat"), stat["repeats"]), on=on, how="left_semi")
     hashed = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    one = again.groupBy("doc_id", key.alias("_tessera_th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_tessera_row"))
+    one = (
+        again.groupBy("doc_id", key.alias("_tessera_th"))
+        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_tessera_row"))
+    )
     return rest.unionByName(one.select("_tessera_row.*"))

@@ -243,7 +243,9 @@ def _send(buckets: int, order: int):
         lengths = {"n_nodes": np.diff(node_cut).astype(np.int32), "n_words": np.diff(word_cut).astype(np.int32)}
         heads = {_BUCKET: np.arange(buckets, dtype=np.int32), _BLOCK: np.full(buckets, key[0].as_py())}
         columns = heads | lengths | {k: pa.array(v, pa.binary()) for k, v in out.items()}
-        return pa.table({n: columns[n] for n in ("_tessera_bucket", "_tessera_block", "n_nodes", "nodes", "node_counts", "n_words", "words", "word_counts")})
+        return pa.table(
+            {n: columns[n] for n in ("_tessera_bucket", "_tessera_block", "n_nodes", "nodes", "node_counts", "n_words", "words", "word_counts")}
+        )
 
     return send
 

@@ -77,7 +77,21 @@ def _statistics(column: pa.Array) -> np.ndarray:
         lines[i] = 1 - len(set(own)) / len(own)
     present = counts[:, counts.any(0)] / n
     entropy = -(present * np.log2(np.maximum(present, 1e-12))).sum(1)
-    return np.column_stack([kinds, np.log1p(words), mean, spread, per(upper) / w, per(closing) / w, per(odd) / w, distinct, lines, entropy, np.log1p(size) - np.log1p(counts[:, 10])])
+    return np.column_stack(
+        [
+            kinds,
+            np.log1p(words),
+            mean,
+            spread,
+            per(upper) / w,
+            per(closing) / w,
+            per(odd) / w,
+            distinct,
+            lines,
+            entropy,
+            np.log1p(size) - np.log1p(counts[:, 10]),
+        ]
+    )
 
 
 @dataclass
@@ -154,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     At most ``labelled`` of them (those of least hash) are learnt from, so that their ids and
     labels fit a broadcast and no text but theirs is looked at.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
+    marks = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0))
+        .groupBy("doc_id")
+        .agg(F.avg(F.col(label).cast("double")).alias("y"))
+    )
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     own = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).select("doc_id", "text")
     known = cut(features(own.join(F.broadcast(marks), "doc_id"), "doc_id", "y"))
@@ -207,4 +225,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     """``docs`` with held_out, score and predicted; the labels' held-out fold is not used."""
     model = fit(docs, labels, folds=folds)
     docs = docs.drop("held_out", "score", "predicted")
-    return docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == 0, F.lit(False))).withColumn("score", score_column(model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return (
+        docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == 0, F.lit(False)))
+        .withColumn("score", score_column(model))
+        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    )

@@ -21,7 +21,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode
 
     rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("round_trip"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("round_trip"),
+    )
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     start = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1).cast("int")
-    edits = docs.select("doc_id", F.lit(1).alias("seq"), start.alias("start"), (start + 9).alias("end"), F.lit(" edited 2 words").alias("replacement"))
+    edits = docs.select(
+        "doc_id",
+        F.lit(1).alias("seq"),
+        start.alias("start"),
+        (start + 9).alias("end"),
+        F.lit(" edited 2 words").alias("replacement"),
+    )
     ranks = load_ranks(docs)
     index = count_tokens(docs, ranks=ranks).withColumn("n_before", F.col("n_tokens"))
     return edit_counts(index, edits, ranks=ranks).select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "recut")

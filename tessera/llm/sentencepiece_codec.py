@@ -365,10 +365,17 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "i
             for i, j in row_slices(b.column(text)):
                 ids = [None if t is None else e.encode(t) for t in b.column(text).slice(i, j - i).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), "<i4")), mask=pa.array([x is None for x in ids]))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(offsets),
+                    pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), "<i4")),
+                    mask=pa.array([x is None for x in ids]),
+                )
                 new = {out: lists}
                 if decoded:
-                    new[decoded] = pa.array([None if x is None else decode_ids(e.v.text, np.frombuffer(x, "<i4")) for x in ids], pa.string())
+                    new[decoded] = pa.array(
+                        [None if x is None else decode_ids(e.v.text, np.frombuffer(x, "<i4")) for x in ids],
+                        pa.string(),
+                    )
                 yield pa.RecordBatch.from_pydict(_slice(b, i, j, out) | new)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

@@ -89,7 +89,14 @@ def _answer(key, t):
     for own, n in zip(t.column("twice").to_pylist(), sizes):
         bits.append(np.packbits(twice[at : at + n] | np.unpackbits(np.frombuffer(own, np.uint8), count=n).astype(bool)).tobytes())
         at += n
-    return pa.table({_BLOCK: t.column(_BLOCK), _BUCKET: pa.array([key[0].as_py()] * len(t), pa.int32()), _BITS: pa.array(bits, pa.binary()), "n": pa.array(sizes.tolist(), pa.int32())})
+    return pa.table(
+        {
+            _BLOCK: t.column(_BLOCK),
+            _BUCKET: pa.array([key[0].as_py()] * len(t), pa.int32()),
+            _BITS: pa.array(bits, pa.binary()),
+            "n": pa.array(sizes.tolist(), pa.int32()),
+        }
+    )
 
 
 def _sorted(t: pa.Table) -> pa.Table:
@@ -148,8 +155,19 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     blocks, buckets = max(1, total // block_bytes), max(1, total // 6 // bucket_windows)
     names = docs.columns
-    dealt = docs.withColumn(_ROW, F.xxhash64(F.col("doc_id").cast("string"), text, F.spark_partition_id())).withColumn(_BLOCK, F.pmod(F.col(_ROW), F.lit(blocks)))
+    dealt = (
+        docs.withColumn(_ROW, F.xxhash64(F.col("doc_id").cast("string"), text, F.spark_partition_id()))
+        .withColumn(_BLOCK, F.pmod(F.col(_ROW), F.lit(blocks)))
+    )
     sent = dealt.groupBy(_BLOCK).applyInArrow(_send(size, buckets), f"{_BUCKET} int, {_BLOCK} long, hashes binary, twice binary")
     answers = sent.groupBy(_BUCKET).applyInArrow(_answer, f"{_BLOCK} long, {_BUCKET} int, {_BITS} binary, n int")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType(
+        [
+            *docs.schema.fields,
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_removed", T.LongType()),
+            T.StructField("intervals", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("kept_text", T.StringType()),
+        ]
+    )
     return dealt.groupBy(_BLOCK).cogroup(answers.groupBy(_BLOCK)).applyInArrow(_apply(size, buckets, names), schema)

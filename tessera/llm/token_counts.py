@@ -258,7 +258,12 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
     ranks = ranks or load_ranks(index, path)
     index = index.drop("recut", _KEY, _EDITS)
     start = F.coalesce(F.col("start"), F.lit(0))
-    one = F.struct("seq", start.alias("start"), F.coalesce(F.col("end"), start).alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))
+    one = F.struct(
+        "seq",
+        start.alias("start"),
+        F.coalesce(F.col("end"), start).alias("end"),
+        F.coalesce("replacement", F.lit("")).alias("replacement"),
+    )
     known = edits.where("doc_id is not null")
     grouped = known.groupBy(F.col("doc_id").alias(_KEY)).agg(F.array_sort(F.collect_list(one)).alias(_EDITS))
     size = known.agg(F.sum(F.coalesce(F.octet_length("replacement"), F.lit(0)) + EDIT_BYTES).alias("n")).first()["n"] or 0
@@ -280,7 +285,12 @@ def edit_counts(index: DataFrame, edits: DataFrame, path: str = RANKS, ranks=Non
                 text, n = apply_edit(c, text, tree, e["start"], e["end"], e["replacement"])
                 work[i] += n
             texts[i], counts[i], rows[i] = text, tree.total, tree.rows
-        new = {"text": pa.array(texts, b.schema.field("text").type), "n_tokens": pa.array(counts, pa.int64()), "tree": _trees(rows), "recut": pa.array(work, pa.int64())}
+        new = {
+            "text": pa.array(texts, b.schema.field("text").type),
+            "n_tokens": pa.array(counts, pa.int64()),
+            "tree": _trees(rows),
+            "recut": pa.array(work, pa.int64()),
+        }
         return pa.RecordBatch.from_pydict({n: new[n] if n in new else b.column(n) for n in (*names, "recut")})
 
     names = index.columns

@@ -84,16 +84,34 @@ def url_tokens(url: Column) -> Column:
 def together(baskets: DataFrame) -> DataFrame:
     """(token, stands, size) of the tokens of baskets (row, t): the least of those that occur in just the same baskets."""
     seen = baskets.select("row", F.explode("t").alias("token"))
-    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x"))
+    mark = F.struct(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x"),
+    )
     per = seen.groupBy("token").agg(mark.alias("mark"))
     least = per.groupBy("mark").agg(F.min("token").alias("stands"))
     return per.join(least, "mark").select("token", "stands", F.col("mark.n").alias("size"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
+def mine_rules(
+    pages: DataFrame,
+    labels: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE,
+    min_lift: float = MIN_LIFT,
+    min_count: int = MIN_COUNT,
+) -> DataFrame:
     """(tokens, key, confidence, support): token combinations that announce a bad page; key is the rarest."""
     spark = pages.sparkSession
-    marks = labels.where("doc_id is not null and coalesce(quality, toxic) is not null").groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
+    marks = (
+        labels.where("doc_id is not null and coalesce(quality, toxic) is not null")
+        .groupBy("doc_id")
+        .agg(
+            F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
+            .alias("bad")
+        )
+    )
     seen = pages.select("page_id", url_tokens(F.col("url")).alias("t")).join(marks, F.col("page_id") == F.col("doc_id"))
     baskets = cut(seen.where(F.size("t") > 0).select("t", "bad", F.monotonically_increasing_id().alias("row")))
     total = baskets.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -103,21 +121,49 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     least = max(min_support * total["n"], min_count - 0.5)
     alike = cut(together(baskets).where(F.col("size") >= least))
     mined = alike.where((F.col("token") == F.col("stands")) & (F.col("size") < total["n"])).select("token")
-    short = baskets.select("row", "bad", F.explode("t").alias("token")).join(mined, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("t"))
+    short = (
+        baskets.select("row", "bad", F.explode("t").alias("token"))
+        .join(mined, "token")
+        .groupBy("row", "bad")
+        .agg(F.collect_list("token").alias("t"))
+    )
     items = F.when(F.col("bad") == 1, F.array_append("t", F.lit(_BAD))).otherwise(F.col("t"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total["n"]), minConfidence=min_confidence)
     # Baskets without a token count towards the support, as empty ones.
-    empty = baskets.select("row", "bad").join(short.select("row"), "row", "left_anti").select("row", "bad", F.array().cast("array<string>").alias("t"))
+    empty = (
+        baskets.select("row", "bad")
+        .join(short.select("row"), "row", "left_anti")
+        .select("row", "bad", F.array().cast("array<string>").alias("t"))
+    )
     model = model.fit(cut(short.unionByName(empty).select(items.alias("items"))))
     base = total["bad"] / total["n"]
-    rules = model.associationRules.where(F.element_at("consequent", 1) == _BAD).where((F.col("confidence") >= min_lift * base) & (F.size("antecedent") > 0))
+    rules = (
+        model.associationRules
+        .where(F.element_at("consequent", 1) == _BAD)
+        .where((F.col("confidence") >= min_lift * base) & (F.size("antecedent") > 0))
+    )
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     always = [r["token"] for r in alike.where(F.col("size") == total["n"]).collect()] if base >= max(min_confidence, min_lift * base) else []
     single = alike.select("token", F.col("size").alias("freq"))
     filed = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(single, "token")
-    filed = cut(filed.groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"), F.max("confidence").alias("confidence"), F.max("support").alias("support")))
+    filed = cut(
+        filed.groupBy("tokens")
+        .agg(
+            F.min(F.struct("freq", "token"))["token"].alias("key"),
+            F.max("confidence").alias("confidence"),
+            F.max("support").alias("support"),
+        )
+    )
     general = filed.select(F.col("tokens").alias("less"), F.col("key").alias("token"), F.col("confidence").alias("c"))
-    vain = filed.select("tokens", "confidence", F.explode("tokens").alias("token")).join(general, "token").where((F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
+    vain = (
+        filed.select("tokens", "confidence", F.explode("tokens").alias("token"))
+        .join(general, "token")
+        .where(
+            (F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (
+                F.size(F.array_except("less", "tokens")) == 0
+            )
+        )
+    )
     kept = filed.join(vain.select("tokens").distinct(), "tokens", "left_anti").withColumn("rule", F.monotonically_increasing_id())
     # Each token that stands for others is replaced by every one of them.
     names = alike.groupBy(F.col("stands").alias("token")).agg(F.collect_list("token").alias("names"), F.first("size").alias("freq"))
@@ -138,8 +184,23 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> D
     mined = cut(mine_rules(pages, labels, **mining))
     urls = pages.where("url is not null").select("url").distinct().withColumn("t", url_tokens(F.col("url")))
     hits = urls.select("url", "t", F.explode("t").alias("key")).join(mined, "key").where(F.size(F.array_except("tokens", "t")) == 0)
-    best = hits.groupBy(F.col("url").alias("_url")).agg(F.max(F.struct("confidence", "support", F.array_join("tokens", " ").alias("tokens"))).alias("best"))
+    best = (
+        hits.groupBy(F.col("url").alias("_url"))
+        .agg(F.max(F.struct("confidence", "support", F.array_join("tokens", " ").alias("tokens"))).alias("best"))
+    )
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    out = pages.select("page_id", "url").join(best, F.col("url") == F.col("_url"), "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    out = (
+        pages.select("page_id", "url")
+        .join(best, F.col("url") == F.col("_url"), "left")
+        .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    )
     method = F.when(F.col("best").isNotNull(), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("best.tokens").alias("mined"), F.col("best.confidence").alias("confidence"))
+    return out.select(
+        "page_id",
+        "host",
+        "path",
+        rule.alias("rule"),
+        F.coalesce(verdict, method).alias("verdict"),
+        F.col("best.tokens").alias("mined"),
+        F.col("best.confidence").alias("confidence"),
+    )
