@@ -58,10 +58,26 @@ def parse_doi_record(raw: Column) -> Column:
     r = F.from_json(raw, _DOI)
     first = lambda c: F.coalesce(F.try_element_at(F.from_json(c, "array<string>"), F.lit(1)), F.when(~c.startswith("["), c))
     name = lambda a: _flat(F.coalesce(_full(a["name"]), F.concat_ws(" ", _full(a["given"]), _full(a["family"]))))
-    authors = F.filter(F.transform(F.coalesce(r["author"], F.expr("cast(array() as array<struct<given:string,family:string,name:string>>)")), name), lambda n: n.isNotNull())
-    year = F.coalesce(*[F.try_element_at(F.try_element_at(r[k]["date-parts"], F.lit(1)), F.lit(1)).try_cast("int") for k in ("issued", "published", "published-print", "published-online")])
+    authors = F.filter(
+        F.transform(
+            F.coalesce(r["author"], F.expr("cast(array() as array<struct<given:string,family:string,name:string>>)")),
+            name,
+        ),
+        lambda n: n.isNotNull(),
+    )
+    year = F.coalesce(
+        *[F.try_element_at(F.try_element_at(r[k]["date-parts"], F.lit(1)), F.lit(1)).try_cast("int") for k in ("issued", "published", "published-print", "published-online")]
+    )
     title, doi = plain_field(first(r["title"])), normalize_doi(F.coalesce(first(F.get_json_object(raw, "$.DOI")), first(F.get_json_object(raw, "$.doi"))))
-    out = F.struct(doi.alias("doi"), title.alias("title"), authors.alias("authors"), strip_jats(r["abstract"]).alias("abstract"), year.alias("year"), plain_field(first(r["container-title"])).alias("container"), first(r["type"]).alias("type"))
+    out = F.struct(
+        doi.alias("doi"),
+        title.alias("title"),
+        authors.alias("authors"),
+        strip_jats(r["abstract"]).alias("abstract"),
+        year.alias("year"),
+        plain_field(first(r["container-title"])).alias("container"),
+        first(r["type"]).alias("type"),
+    )
     return F.when(title.isNotNull() & doi.isNotNull(), out)
 
 
@@ -75,15 +91,34 @@ def parse_arxiv_atom(xml: Column) -> Column:
     ident = F.regexp_replace(F.regexp_replace(F.xpath_string(xml, at("id")), r"^https?://[^/]+/abs/", ""), r"(?i)v\d+/?$", "")
     authors = F.xpath(xml, F.lit("//*[local-name()='entry'][1]/*[local-name()='author']/*[local-name()='name']/text()"))
     kinds = F.xpath(xml, F.lit("//*[local-name()='entry'][1]/*[local-name()='category']/@term"))
-    out = F.struct(ident.alias("arxiv_id"), title.alias("title"), authors.alias("authors"), summary.alias("abstract"), kinds.alias("categories"))
+    out = F.struct(
+        ident.alias("arxiv_id"),
+        title.alias("title"),
+        authors.alias("authors"),
+        summary.alias("abstract"),
+        kinds.alias("categories"),
+    )
     return F.when(title.isNotNull() & summary.isNotNull() & (ident != ""), out)
 
 
 def parse_biorxiv_detail(raw: Column) -> Column:
     """HP2: the first row of a detail reply; version 1 where none is given."""
-    row = F.try_element_at(F.from_json(raw, "collection array<struct<title:string,abstract:string,doi:string,authors:string,version:string,category:string>>")["collection"], F.lit(1))
+    row = F.try_element_at(
+        F.from_json(
+            raw,
+            "collection array<struct<title:string,abstract:string,doi:string,authors:string,version:string,category:string>>",
+        )["collection"],
+        F.lit(1),
+    )
     title, abstract, doi = _full(row["title"]), _full(row["abstract"]), _full(row["doi"])
-    out = F.struct(doi.alias("doi"), title.alias("title"), F.coalesce(F.trim(row["authors"]), F.lit("")).alias("authors"), abstract.alias("abstract"), F.coalesce(row["version"].try_cast("int"), F.lit(1)).alias("version"), _full(row["category"]).alias("category"))
+    out = F.struct(
+        doi.alias("doi"),
+        title.alias("title"),
+        F.coalesce(F.trim(row["authors"]), F.lit("")).alias("authors"),
+        abstract.alias("abstract"),
+        F.coalesce(row["version"].try_cast("int"), F.lit(1)).alias("version"),
+        _full(row["category"]).alias("category"),
+    )
     return F.when(title.isNotNull() & abstract.isNotNull() & doi.isNotNull(), out)
 
 
@@ -97,12 +132,23 @@ def parse_pubmed_xml(xml: Column) -> Column:
     many = lambda p: F.xpath(xml, F.lit(f"{base}/{p}"))
     path = "MedlineCitation/Article/Abstract/AbstractText"
     labels, labelled, bare = many(f"{path}[@Label]/@Label"), many(f"{path}[@Label]/text()"), many(f"{path}[not(@Label)]/text()")
-    marked = F.zip_with(labels, labelled, lambda a, t: F.concat(F.upper(F.substring(a, 1, 1)), F.lower(F.substring(a, F.lit(2), F.length(a))), F.lit(": "), t))
+    marked = F.zip_with(
+        labels,
+        labelled,
+        lambda a, t: F.concat(F.upper(F.substring(a, 1, 1)), F.lower(F.substring(a, F.lit(2), F.length(a))), F.lit(": "), t),
+    )
     abstract = _flat(F.array_join(F.concat(marked, bare), " "))
     who = "MedlineCitation/Article/AuthorList/Author[LastName]"
     authors = F.zip_with(many(f"{who}/LastName/text()"), many(f"{who}/Initials/text()"), lambda a, b: F.trim(F.concat_ws(" ", a, b)))
     title = one("MedlineCitation/Article/ArticleTitle")
-    out = F.struct(one("MedlineCitation/PMID").alias("pmid"), title.alias("title"), authors.alias("authors"), abstract.alias("abstract"), one("MedlineCitation/Article/Journal/JournalIssue/PubDate/Year").try_cast("int").alias("year"), normalize_doi(one("PubmedData/ArticleIdList/ArticleId[@IdType='doi']")).alias("doi"))
+    out = F.struct(
+        one("MedlineCitation/PMID").alias("pmid"),
+        title.alias("title"),
+        authors.alias("authors"),
+        abstract.alias("abstract"),
+        one("MedlineCitation/Article/Journal/JournalIssue/PubDate/Year").try_cast("int").alias("year"),
+        normalize_doi(one("PubmedData/ArticleIdList/ArticleId[@IdType='doi']")).alias("doi"),
+    )
     return F.when(title.isNotNull() & abstract.isNotNull(), out)
 
 
@@ -120,7 +166,13 @@ def preprint_text(title: Column, authors: Column, abstract: Column, body: Column
 def parse_oembed(raw: Column) -> Column:
     """HP12: (title, author_name) of an oEmbed reply; null without title."""
     r = F.from_json(raw, "title string, author_name string")
-    return F.when(_full(r["title"]).isNotNull(), F.struct(F.trim(r["title"]).alias("title"), F.coalesce(F.trim(r["author_name"]), F.lit("")).alias("author_name")))
+    return F.when(
+        _full(r["title"]).isNotNull(),
+        F.struct(
+            F.trim(r["title"]).alias("title"),
+            F.coalesce(F.trim(r["author_name"]), F.lit("")).alias("author_name"),
+        ),
+    )
 
 
 def parse_reddit_listing(raw: Column, most: int = 10) -> Column:
@@ -131,10 +183,20 @@ def parse_reddit_listing(raw: Column, most: int = 10) -> Column:
     entry = "struct<kind:string,data:struct<title:string,subreddit:string,is_self:boolean,selftext:string,url:string,author:string,body:string>>"
     lists = F.from_json(raw, f"array<struct<data:struct<children:array<{entry}>>>>")
     post = F.try_element_at(F.try_element_at(lists, F.lit(1))["data"]["children"], F.lit(1))["data"]
-    replies = F.filter(F.try_element_at(lists, F.lit(2))["data"]["children"], lambda c: (c["kind"] == "t1") & (F.trim(c["data"]["body"]) != "") & ~F.trim(c["data"]["body"]).isin("[deleted]", "[removed]") & (F.coalesce(c["data"]["author"], F.lit("")) != "AutoModerator"))
+    replies = F.filter(
+        F.try_element_at(lists, F.lit(2))["data"]["children"],
+        lambda c: (c["kind"] == "t1") & (F.trim(c["data"]["body"]) != "") & ~F.trim(c["data"]["body"]).isin("[deleted]", "[removed]") & (F.coalesce(c["data"]["author"], F.lit("")) != "AutoModerator"),
+    )
     comments = F.slice(F.coalesce(F.transform(replies, lambda c: F.trim(c["data"]["body"])), F.array().cast("array<string>")), 1, most)
     self_ = F.coalesce(post["is_self"], F.lit(False))
-    out = F.struct(F.trim(post["title"]).alias("title"), F.trim(post["subreddit"]).alias("subreddit"), self_.alias("is_self"), F.coalesce(F.trim(post["selftext"]), F.lit("")).alias("selftext"), F.when(~self_, _full(post["url"])).alias("external_url"), comments.alias("comments"))
+    out = F.struct(
+        F.trim(post["title"]).alias("title"),
+        F.trim(post["subreddit"]).alias("subreddit"),
+        self_.alias("is_self"),
+        F.coalesce(F.trim(post["selftext"]), F.lit("")).alias("selftext"),
+        F.when(~self_, _full(post["url"])).alias("external_url"),
+        comments.alias("comments"),
+    )
     return F.when(_full(post["title"]).isNotNull() & _full(post["subreddit"]).isNotNull(), out)
 
 
@@ -142,7 +204,10 @@ def amazon_page(html: Column) -> Column:
     """HP14: (title, summary) of a product page: its title element, and its description meta."""
     tag = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
     title = F.coalesce(tag(r'(?is)<span[^>]*id="productTitle"[^>]*>(.*?)</span>'), tag(r"(?is)<title[^>]*>(.*?)</title>"))
-    about = F.coalesce(tag(r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"'), tag(r'(?is)<meta[^>]*content="([^"]*)"[^>]*name="description"'))
+    about = F.coalesce(
+        tag(r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"'),
+        tag(r'(?is)<meta[^>]*content="([^"]*)"[^>]*name="description"'),
+    )
     return F.struct(plain_field(title).alias("title"), plain_field(about).alias("summary"))
 
 
@@ -151,8 +216,16 @@ def reddit_detail(source_id: Column, url: Column, item_type: Column, collections
     on_site = F.coalesce(hostname(url).rlike(r"^(?:(www\.|old\.|np\.)?reddit\.com|(www\.)?redd\.it)$"), F.lit(False))
     kind = F.coalesce(_full(item_type), F.when(source_id.startswith("t1_"), "comment").when(source_id.startswith("t3_"), "post"))
     shelf = F.try_element_at(F.filter(collections, lambda c: c.startswith("r/") & (F.length(c) > 2)), F.lit(1))
-    thread = F.when(source_id.startswith("t3_"), F.concat(F.lit("https://www.reddit.com/comments/"), F.substring(source_id, F.lit(4), F.length(source_id))))
-    return F.struct(kind.alias("kind"), F.substring(shelf, F.lit(3), F.length(shelf)).alias("subreddit"), F.when(on_site, url).otherwise(thread).alias("permalink"), F.when(~on_site, _full(url)).alias("external_url"))
+    thread = F.when(
+        source_id.startswith("t3_"),
+        F.concat(F.lit("https://www.reddit.com/comments/"), F.substring(source_id, F.lit(4), F.length(source_id))),
+    )
+    return F.struct(
+        kind.alias("kind"),
+        F.substring(shelf, F.lit(3), F.length(shelf)).alias("subreddit"),
+        F.when(on_site, url).otherwise(thread).alias("permalink"),
+        F.when(~on_site, _full(url)).alias("external_url"),
+    )
 
 
 # ── composition ──────────────────────────────────────────────────────────────
@@ -167,12 +240,21 @@ def metadata_text(title: Column, description: Column, authors: Column) -> Column
 def zotero_embed_text(item_type: Column, title: Column, authors: Column, abstract: Column, highlight: Column) -> Column:
     """FN29: an annotation's highlight, else title, authors and abstract."""
     by = F.when(F.size(authors) > 0, F.concat(F.lit("by "), F.array_join(authors, ", ")))
-    return F.when(item_type == "annotation", F.trim(F.coalesce(highlight, F.lit("")))).otherwise(F.concat_ws("\n\n", _full(title), by, _full(abstract)))
+    return (
+        F.when(item_type == "annotation", F.trim(F.coalesce(highlight, F.lit(""))))
+        .otherwise(F.concat_ws("\n\n", _full(title), by, _full(abstract)))
+    )
 
 
 def youtube_embed_text(title: Column, channel: Column, description: Column, tags: Column) -> Column:
     """FN29: title, channel, description and tags."""
-    return F.concat_ws("\n\n", _full(title), F.concat(F.lit("Channel: "), _full(channel)), _full(description), F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))))
+    return F.concat_ws(
+        "\n\n",
+        _full(title),
+        F.concat(F.lit("Channel: "), _full(channel)),
+        _full(description),
+        F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))),
+    )
 
 
 # ── lenient JSON ─────────────────────────────────────────────────────────────

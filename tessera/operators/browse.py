@@ -27,9 +27,24 @@ def having_tag(docs: DataFrame, tags: DataFrame, folds: DataFrame, links: DataFr
     if not wanted:
         return docs
     asked = F.broadcast(spark.createDataFrame(list(enumerate(wanted)), "turn int, raw string"))
-    keys = folds.select("raw", "canonical").join(asked, "raw").select("turn", "canonical").union(asked.select("turn", F.col("raw").alias("canonical"))).distinct()
-    owned = with_owner(tags, links).join(folds, F.col("tag") == F.col("raw"), "left").select("owner_id", F.coalesce("canonical", "tag").alias("canonical"))
-    met = owned.join(keys, "canonical").groupBy(F.col("owner_id").alias("id")).agg(F.countDistinct("turn").alias("n")).where(F.col("n") == len(wanted))
+    keys = (
+        folds.select("raw", "canonical")
+        .join(asked, "raw")
+        .select("turn", "canonical")
+        .union(asked.select("turn", F.col("raw").alias("canonical")))
+        .distinct()
+    )
+    owned = (
+        with_owner(tags, links)
+        .join(folds, F.col("tag") == F.col("raw"), "left")
+        .select("owner_id", F.coalesce("canonical", "tag").alias("canonical"))
+    )
+    met = (
+        owned.join(keys, "canonical")
+        .groupBy(F.col("owner_id").alias("id"))
+        .agg(F.countDistinct("turn").alias("n"))
+        .where(F.col("n") == len(wanted))
+    )
     return docs.join(met.select("id"), "id", "left_semi")
 
 
@@ -57,7 +72,15 @@ def page(docs: DataFrame, limit: int = 48, offset: int = 0) -> DataFrame:
     return docs.orderBy(F.col("date_added").desc_nulls_last(), F.desc("id")).offset(offset).limit(limit)
 
 
-def restrict_hits(hits: DataFrame, docs: DataFrame, assignments: DataFrame | None = None, clusters: list[int] | None = None, statuses: list[str] | None = None, date_from: int | None = None, date_to: int | None = None) -> DataFrame:
+def restrict_hits(
+    hits: DataFrame,
+    docs: DataFrame,
+    assignments: DataFrame | None = None,
+    clusters: list[int] | None = None,
+    statuses: list[str] | None = None,
+    date_from: int | None = None,
+    date_to: int | None = None,
+) -> DataFrame:
     """FL8, FL9: hits (doc_id, similarity, rank) of documents that pass; an unknown document is dropped.
 
     Dates are inclusive and a missing date counts as 0; a bound of 0 is no bound.
@@ -90,18 +113,33 @@ def cards(docs: DataFrame, chunks: DataFrame, tags: DataFrame, assignments: Data
 
     size = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.min_by("text", "chunk_index").alias("_first"))
     own = tags.groupBy("document_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    placed = assignments.where("level = 1").join(clusters.select("cluster_id", "label"), "cluster_id").groupBy("document_id").agg(F.min("label").alias("cluster"))
+    placed = (
+        assignments.where("level = 1")
+        .join(clusters.select("cluster_id", "label"), "cluster_id")
+        .groupBy("document_id")
+        .agg(F.min("label").alias("cluster"))
+    )
     out = docs
     for side in (size, own, placed):
         out = out.join(side.withColumnRenamed("document_id", "id"), "id", "left")
-    return out.withColumn("description", resolve_description(F.col("card_summary"), F.col("_first"), entities=False)).drop("_first").withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+    return (
+        out.withColumn("description", resolve_description(F.col("card_summary"), F.col("_first"), entities=False))
+        .drop("_first")
+        .withColumns(
+            {"n_chunks": F.coalesce("n_chunks", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))}
+        )
+    )
 
 
 def detail(docs: DataFrame, chunks: DataFrame, tags: DataFrame, assignments: DataFrame, clusters: DataFrame) -> DataFrame:
     """RK11: cards with the document's enrichment items, none as an empty list."""
     items = enrichment(chunks).withColumnRenamed("document_id", "id")
     kind = "array<struct<chunk_index:bigint,chunk_pass:string,text:string>>"
-    return cards(docs, chunks, tags, assignments, clusters).join(items, "id", "left").withColumn("items", F.coalesce(F.col("items").cast(kind), F.array().cast(kind)))
+    return (
+        cards(docs, chunks, tags, assignments, clusters)
+        .join(items, "id", "left")
+        .withColumn("items", F.coalesce(F.col("items").cast(kind), F.array().cast(kind)))
+    )
 
 
 def enrichment(chunks: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def reduce_pca(vectors: DataFrame, k: int = 50) -> DataFrame:
     return out.withColumn("embedding", vector_to_array("p")).drop("features", "c", "p")
 
 
-def auto_k(vectors: DataFrame, low: int = 8, high: int = 40, tries: int = 8, tolerance: float = 1e-3, seed: int = 42) -> tuple[int, list[tuple[int, float]]]:
+def auto_k(
+    vectors: DataFrame, low: int = 8, high: int = 40, tries: int = 8, tolerance: float = 1e-3, seed: int = 42
+) -> tuple[int, list[tuple[int, float]]]:
     """CL5: the number of clusters of best silhouette among geometrically spaced ones; near ties go to the smaller."""
     rows = _features(vectors).persist()
     n = rows.count()
@@ -56,7 +58,12 @@ def cluster(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFra
     """CL3, CL4 (substitute): (document_id, cluster_id) of level 1 by k-means on unit vectors."""
     k = k or auto_k(vectors, seed=seed)[0]
     rows = _features(vectors)
-    return KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(rows).transform(rows).select("document_id", F.col("prediction").cast("long").alias("cluster_id"))
+    return (
+        KMeans(k=k, seed=seed, distanceMeasure="cosine")
+        .fit(rows)
+        .transform(rows)
+        .select("document_id", F.col("prediction").cast("long").alias("cluster_id"))
+    )
 
 
 def split_clusters(vectors: DataFrame, level1: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
@@ -69,8 +76,18 @@ def split_clusters(vectors: DataFrame, level1: DataFrame, n: int | None = None,
     sizes = level1.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * least).orderBy("cluster_id").collect()
     out = None
     for r in sizes:
-        rows = _features(vectors.join(level1.where(F.col("cluster_id") == r["cluster_id"]).select("document_id"), "document_id", "left_semi"))
-        parts = BisectingKMeans(k=max(2, min(8, r["n"] // least)), seed=seed, minDivisibleClusterSize=float(least)).fit(rows).transform(rows)
+        rows = _features(
+            vectors.join(
+                level1.where(F.col("cluster_id") == r["cluster_id"]).select("document_id"),
+                "document_id",
+                "left_semi",
+            )
+        )
+        parts = (
+            BisectingKMeans(k=max(2, min(8, r["n"] // least)), seed=seed, minDivisibleClusterSize=float(least))
+            .fit(rows)
+            .transform(rows)
+        )
         own = parts.select("document_id", F.lit(r["cluster_id"]).alias("parent_id"), F.col("prediction").cast("long").alias("cluster_id"))
         out = own if out is None else out.unionByName(own)
     if out is None:
@@ -80,16 +97,48 @@ def split_clusters(vectors: DataFrame, level1: DataFrame, n: int | None = None,
 
 def run_tables(level1: DataFrame, vectors: DataFrame, run_id: int, now: int, first_id: int = 1) -> tuple[DataFrame, DataFrame]:
     """SK13: (clusters, assignments) of a run; a negative cluster is the noise bucket, which has no centroid."""
-    means = mean_vectors(level1.where("cluster_id >= 0").join(vectors, "document_id"), "cluster_id").withColumnRenamed("embedding", "centroid")
-    ids = level1.select("cluster_id").distinct().withColumn("_id", (F.row_number().over(Window.orderBy("cluster_id")) + F.lit(first_id - 1)).cast("long"))
-    clusters = ids.join(means, "cluster_id", "left").select(F.col("_id").alias("cluster_id"), F.lit(run_id).cast("long").alias("run_id"), F.lit(1).cast("long").alias("level"), "centroid", (F.col("cluster_id") < 0).alias("is_noise"), F.lit(now).cast("long").alias("created_at"))
-    rows = level1.join(ids, "cluster_id").select("document_id", F.col("_id").alias("cluster_id"), F.lit(run_id).cast("long").alias("run_id"), F.lit(1).cast("long").alias("level"), F.lit(now).cast("long").alias("assigned_at"))
+    means = mean_vectors(
+        level1.where("cluster_id >= 0").join(vectors, "document_id"),
+        "cluster_id",
+    ).withColumnRenamed("embedding", "centroid")
+    ids = (
+        level1.select("cluster_id")
+        .distinct()
+        .withColumn("_id", (F.row_number().over(Window.orderBy("cluster_id")) + F.lit(first_id - 1)).cast("long"))
+    )
+    clusters = (
+        ids.join(means, "cluster_id", "left")
+        .select(
+            F.col("_id").alias("cluster_id"),
+            F.lit(run_id).cast("long").alias("run_id"),
+            F.lit(1).cast("long").alias("level"),
+            "centroid",
+            (F.col("cluster_id") < 0).alias("is_noise"),
+            F.lit(now).cast("long").alias("created_at"),
+        )
+    )
+    rows = (
+        level1.join(ids, "cluster_id")
+        .select(
+            "document_id",
+            F.col("_id").alias("cluster_id"),
+            F.lit(run_id).cast("long").alias("run_id"),
+            F.lit(1).cast("long").alias("level"),
+            F.lit(now).cast("long").alias("assigned_at"),
+        )
+    )
     return clusters, rows
 
 
 def label_samples(assignments: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     """CL9: (cluster_id, texts): title and excerpt of a cluster's first documents."""
-    own = assignments.join(docs.select(F.col("id").alias("document_id"), F.concat_ws(" ", "title", body_excerpt(F.col("body"), entities=False)).alias("t")), "document_id")
+    own = assignments.join(
+        docs.select(
+            F.col("id").alias("document_id"),
+            F.concat_ws(" ", "title", body_excerpt(F.col("body"), entities=False)).alias("t"),
+        ),
+        "document_id",
+    )
     first = own.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("document_id"))).where(F.col("_n") <= n)
     return first.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "t"))), lambda s: s["t"]).alias("texts"))
 
@@ -116,7 +165,14 @@ def listed(clusters: DataFrame, assignments: DataFrame) -> DataFrame:
     return own.orderBy("is_noise", "level", F.coalesce("parent_id", F.lit(0)), F.desc("doc_count"), "cluster_id")
 
 
-def assign_new(vectors: DataFrame, assignments: DataFrame, centroids1: DataFrame, centroids2: DataFrame, noise_id: int | None, floor: float = 0.0) -> DataFrame:
+def assign_new(
+    vectors: DataFrame,
+    assignments: DataFrame,
+    centroids1: DataFrame,
+    centroids2: DataFrame,
+    noise_id: int | None,
+    floor: float = 0.0,
+) -> DataFrame:
     """IN2: (document_id, cluster_id, level, score) of documents that have no cluster yet.
 
     First the nearest level-1 centroid (below the floor the noise bucket, or nothing
@@ -127,11 +183,31 @@ def assign_new(vectors: DataFrame, assignments: DataFrame, centroids1: DataFrame
     kept = one.where(F.col("score") >= floor)
     out = kept.withColumn("level", F.lit(1))
     if noise_id is not None:
-        out = out.unionByName(one.where(F.col("score") < floor).select("document_id", F.lit(noise_id).cast("long").alias("cluster_id"), "score").withColumn("level", F.lit(1)))
+        out = out.unionByName(
+            one.where(F.col("score") < floor)
+            .select("document_id", F.lit(noise_id).cast("long").alias("cluster_id"), "score")
+            .withColumn("level", F.lit(1))
+        )
     kids = centroids2.select(F.col("cluster_id").alias("child"), "parent_id", l2_normalize(F.col("embedding")).alias("c"))
-    own = kept.join(fresh.select("document_id", l2_normalize(F.col("embedding")).alias("v")), "document_id").join(kids, F.col("cluster_id") == F.col("parent_id"))
-    scored = own.select("document_id", "child", F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    two = scored.groupBy("document_id").agg(F.max(F.struct("score", (-F.col("child")).alias("m"))).alias("b")).select("document_id", (-F.col("b.m")).alias("cluster_id"), F.col("b.score").alias("score"), F.lit(2).alias("level"))
+    own = (
+        kept.join(fresh.select("document_id", l2_normalize(F.col("embedding")).alias("v")), "document_id")
+        .join(kids, F.col("cluster_id") == F.col("parent_id"))
+    )
+    scored = own.select(
+        "document_id",
+        "child",
+        F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"),
+    )
+    two = (
+        scored.groupBy("document_id")
+        .agg(F.max(F.struct("score", (-F.col("child")).alias("m"))).alias("b"))
+        .select(
+            "document_id",
+            (-F.col("b.m")).alias("cluster_id"),
+            F.col("b.score").alias("score"),
+            F.lit(2).alias("level"),
+        )
+    )
     return out.unionByName(two)
 
 
@@ -142,13 +218,25 @@ def needs_full_run(has_run: bool, same_model: bool, new: int, placed: int, share
 
 def label_overlays(assignments: DataFrame, clusters: DataFrame) -> DataFrame:
     """CL13: (document_id, tag, origin) of cluster labels; the noise bucket has none."""
-    own = clusters.where(~F.col("is_noise")).select("cluster_id", label_to_tag(F.col("label"), F.col("cluster_id")).alias("tag"), F.concat(F.lit("cluster_l"), F.col("level").cast("string")).alias("origin"))
+    own = (
+        clusters.where(~F.col("is_noise"))
+        .select(
+            "cluster_id",
+            label_to_tag(F.col("label"), F.col("cluster_id")).alias("tag"),
+            F.concat(F.lit("cluster_l"), F.col("level").cast("string")).alias("origin"),
+        )
+    )
     return assignments.select("document_id", "cluster_id").join(own, "cluster_id").select("document_id", "tag", "origin").distinct()
 
 
 def scatter(runs: DataFrame, assignments: DataFrame, docs: DataFrame) -> DataFrame:
     """CL14: (document_id, x, y, cluster_id, title) of a run's stored points."""
-    points = runs.select(F.explode(F.from_json("umap_points", "array<struct<document_id:bigint,x:double,y:double>>")).alias("p")).select("p.*")
+    points = (
+        runs.select(
+            F.explode(F.from_json("umap_points", "array<struct<document_id:bigint,x:double,y:double>>")).alias("p")
+        )
+        .select("p.*")
+    )
     own = assignments.where("level = 1").select("document_id", "cluster_id")
     return points.join(own, "document_id", "left").join(docs.select(F.col("id").alias("document_id"), "title"), "document_id", "left")
 

@@ -42,7 +42,17 @@ def canonical_rank(docs: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     """ST8: (id, standing): fetched before others, more chunks, earlier ingested, smaller id."""
     n = docs.join(chunk_counts.withColumnRenamed("document_id", "id"), "id", "left")
     state = F.when(F.col("fetch_status") == "fetched", 0).when(F.col("fetch_status") == "unfetchable", 2).otherwise(1)
-    return n.select("id", F.struct(state.alias("s"), (-F.coalesce("n_chunks", F.lit(0))).alias("c"), F.col("ingested_at").isNull().alias("u"), F.col("ingested_at").alias("t"), F.col("id").alias("i")).alias("standing"))
+    return n.select(
+        "id",
+        F.struct(
+            state.alias("s"),
+            (-F.coalesce("n_chunks", F.lit(0))).alias("c"),
+            F.col("ingested_at").isNull().alias("u"),
+            F.col("ingested_at").alias("t"),
+            F.col("id").alias("i"),
+        )
+        .alias("standing"),
+    )
 
 
 def propose_links(members: DataFrame, ranks: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -57,19 +67,37 @@ def propose_links(members: DataFrame, ranks: DataFrame, keys: DataFrame, links:
     order = F.array_position(F.array(*map(F.lit, KEYS)), F.col("key"))
     first = keys.join(shared, ["key", "value"]).groupBy(F.col("id").alias("duplicate_id")).agg(F.min_by("key", order).alias("match_key"))
     refused = links.where("state = 'rejected'").select("canonical_id", "duplicate_id")
-    return pairs.join(refused, ["canonical_id", "duplicate_id"], "left_anti").join(first, "duplicate_id", "left").select("canonical_id", "duplicate_id", "match_key")
+    return (
+        pairs.join(refused, ["canonical_id", "duplicate_id"], "left_anti")
+        .join(first, "duplicate_id", "left")
+        .select("canonical_id", "duplicate_id", "match_key")
+    )
 
 
 def near_candidates(vectors: DataFrame, ranks: DataFrame, links: DataFrame, threshold: float = 0.97, most: int | None = 500) -> DataFrame:
     """DD7: (canonical_id, duplicate_id, score) of the most similar unlinked pairs whose pair isn't known yet."""
     m = merged(links).select(F.col("duplicate_id").alias("document_id"))
     pairs = similar_pairs(vectors.join(m, "document_id", "left_anti"), "document_id", "embedding", threshold)
-    known = links.select(F.least("canonical_id", "duplicate_id").alias("a"), F.greatest("canonical_id", "duplicate_id").alias("b")).distinct()
+    known = (
+        links.select(
+            F.least("canonical_id", "duplicate_id").alias("a"),
+            F.greatest("canonical_id", "duplicate_id").alias("b"),
+        )
+        .distinct()
+    )
     fresh = pairs.join(known, ["a", "b"], "left_anti").select("a", "b", F.round("similarity", 4).alias("score"))
     top = fresh if most is None else fresh.orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(most)
     r = lambda c: ranks.select(F.col("id").alias(c), F.col("standing").alias(f"r{c}"))
     first = F.col("ra") < F.col("rb")
-    return top.join(r("a"), "a").join(r("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate_id"), "score")
+    return (
+        top.join(r("a"), "a")
+        .join(r("b"), "b")
+        .select(
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate_id"),
+            "score",
+        )
+    )
 
 
 def scan_report(proposed: DataFrame) -> DataFrame:

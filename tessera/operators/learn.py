@@ -17,7 +17,14 @@ TRAINING = ("manual", "seed", "bootstrap", "pseudo")
 def label_matrix(labels: DataFrame, vectors: DataFrame) -> DataFrame:
     """LR1: (document_id, label, features)."""
     own = labels.where(F.col("source").isin(*TRAINING)) if "source" in labels.columns else labels
-    return own.join(vectors, "document_id").select("document_id", F.col("label").cast("double").alias("label"), array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    return (
+        own.join(vectors, "document_id")
+        .select(
+            "document_id",
+            F.col("label").cast("double").alias("label"),
+            array_to_vector(l2_normalize(F.col("embedding"))).alias("features"),
+        )
+    )
 
 
 def train(matrix: DataFrame, c: float = 1.0, rounds: int = 1000):
@@ -66,9 +73,22 @@ def seed_session(tags: DataFrame, folds: DataFrame, vectors: DataFrame, tag: str
     """
     key = folds.where((F.col("raw") == tag) & (F.col("origin") == "source")).select("canonical").distinct()
     raws = folds.where("origin = 'source'").join(key, "canonical", "left_semi").select(F.col("raw").alias("tag"))
-    yes = tags.join(raws, "tag", "left_semi").select("document_id").distinct().join(vectors.select("document_id"), "document_id", "left_semi")
-    no = vectors.select("document_id").join(yes, "document_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "document_id"), "document_id").limit(negatives)
-    return yes.select("document_id", F.lit(1).alias("label"), F.lit("seed").alias("source")).unionByName(no.select("document_id", F.lit(0).alias("label"), F.lit("bootstrap").alias("source")))
+    yes = (
+        tags.join(raws, "tag", "left_semi")
+        .select("document_id")
+        .distinct()
+        .join(vectors.select("document_id"), "document_id", "left_semi")
+    )
+    no = (
+        vectors.select("document_id")
+        .join(yes, "document_id", "left_anti")
+        .orderBy(F.xxhash64(F.lit(seed), "document_id"), "document_id")
+        .limit(negatives)
+    )
+    return (
+        yes.select("document_id", F.lit(1).alias("label"), F.lit("seed").alias("source"))
+        .unionByName(no.select("document_id", F.lit(0).alias("label"), F.lit("bootstrap").alias("source")))
+    )
 
 
 def accept_session(sessions: DataFrame, session_id: int, now: int) -> DataFrame:
@@ -76,4 +96,12 @@ def accept_session(sessions: DataFrame, session_id: int, now: int) -> DataFrame:
     own = sessions.where(F.col("session_id") == session_id).select(F.col("tag").alias("_tag"))
     rows = sessions.crossJoin(F.broadcast(own.limit(1)))
     this, old = F.col("session_id") == session_id, (F.col("tag") == F.col("_tag")) & (F.col("status") == "accepted")
-    return rows.withColumns({"status": F.when(this, "accepted").when(old, "archived").otherwise(F.col("status")), "accepted_at": F.when(this, F.lit(now).cast("long")).otherwise(F.col("accepted_at"))}).drop("_tag")
+    return (
+        rows.withColumns(
+            {
+                "status": F.when(this, "accepted").when(old, "archived").otherwise(F.col("status")),
+                "accepted_at": F.when(this, F.lit(now).cast("long")).otherwise(F.col("accepted_at")),
+            }
+        )
+        .drop("_tag")
+    )

@@ -61,18 +61,45 @@ def link(links: DataFrame, asked: DataFrame) -> DataFrame:
     from .graph import connected_components, cut
 
     old = merged(links)
-    want = with_owner(asked.where("canonical_id <> duplicate_id"), links, "canonical_id", "c").select("duplicate_id", F.col("c").alias("canonical_id"), "match_key")
+    want = with_owner(
+        asked.where("canonical_id <> duplicate_id"),
+        links,
+        "canonical_id",
+        "c",
+    ).select("duplicate_id", F.col("c").alias("canonical_id"), "match_key")
     want = want.where("canonical_id <> duplicate_id")
     first = Window.partitionBy("duplicate_id").orderBy("canonical_id", "match_key")
     want = cut(want.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
     parts = cut(connected_components(want, "canonical_id", "duplicate_id"))
-    heads = want.select("canonical_id").distinct().join(want.select(F.col("duplicate_id").alias("canonical_id")), "canonical_id", "left_anti")
+    heads = (
+        want.select("canonical_id")
+        .distinct()
+        .join(want.select(F.col("duplicate_id").alias("canonical_id")), "canonical_id", "left_anti")
+    )
     top = heads.join(parts, F.col("canonical_id") == F.col("node")).groupBy("root").agg(F.min("canonical_id").alias("head"))
-    new = cut(want.join(parts, F.col("duplicate_id") == F.col("node")).join(top, "root").where("head <> duplicate_id").select(F.col("head").alias("canonical_id"), "duplicate_id", "match_key"))
-    moved = old.join(new.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("head")), "canonical_id").where("head <> duplicate_id")
-    moved = moved.select(F.col("head").alias("canonical_id"), "duplicate_id", F.lit("manual").alias("match_key")).join(new.select("duplicate_id"), "duplicate_id", "left_anti").select("canonical_id", "duplicate_id", "match_key")
+    new = cut(
+        want.join(parts, F.col("duplicate_id") == F.col("node"))
+        .join(top, "root")
+        .where("head <> duplicate_id")
+        .select(F.col("head").alias("canonical_id"), "duplicate_id", "match_key")
+    )
+    moved = (
+        old.join(
+            new.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("head")),
+            "canonical_id",
+        )
+        .where("head <> duplicate_id")
+    )
+    moved = (
+        moved.select(F.col("head").alias("canonical_id"), "duplicate_id", F.lit("manual").alias("match_key"))
+        .join(new.select("duplicate_id"), "duplicate_id", "left_anti")
+        .select("canonical_id", "duplicate_id", "match_key")
+    )
     made = cut(new.unionByName(moved).withColumn("state", F.lit("merged")))
     touched = made.select("duplicate_id").distinct().withColumn("_t", F.lit(True))
-    kept = links.join(touched, "duplicate_id", "left").join(made.select("canonical_id", "duplicate_id"), ["canonical_id", "duplicate_id"], "left_anti")
+    kept = (
+        links.join(touched, "duplicate_id", "left")
+        .join(made.select("canonical_id", "duplicate_id"), ["canonical_id", "duplicate_id"], "left_anti")
+    )
     kept = kept.withColumn("state", F.when(F.col("_t") & (F.col("state") == "merged"), "rejected").otherwise(F.col("state"))).drop("_t")
     return cut(kept.unionByName(made, allowMissingColumns=True))

@@ -28,7 +28,10 @@ def progress_states(log: DataFrame, run: str = "run_id", phase: str = "phase", o
     total, done = F.max("total").over(line), F.max("processed").over(line)
     out = log.withColumns({"total": total, "processed": done})
     out = out.withColumn("processed", F.when(F.col("total") > 0, F.least("processed", "total")).otherwise(F.col("processed")))
-    share = F.when(F.col("total") <= 0, F.when(F.col("processed") > 0, 100).otherwise(0)).otherwise(F.bround(100 * F.col("processed") / F.col("total")))
+    share = (
+        F.when(F.col("total") <= 0, F.when(F.col("processed") > 0, 100).otherwise(0))
+        .otherwise(F.bround(100 * F.col("processed") / F.col("total")))
+    )
     return out.withColumn("percent", F.least(F.lit(100), share).cast("int"))
 
 

@@ -53,7 +53,15 @@ TARGETS = {
 }
 
 
-def purge_target(tables: Tables, name: str, source: str | None = None, run_id: int | None = None, provider: str | None = None, model: str | None = None, unknown: bool = False) -> tuple[DataFrame, DataFrame]:
+def purge_target(
+    tables: Tables,
+    name: str,
+    source: str | None = None,
+    run_id: int | None = None,
+    provider: str | None = None,
+    model: str | None = None,
+    unknown: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """The target's table after the purge, and the rows that it takes.
 
     ``source`` narrows to documents of a source.  ``run_id``, ``provider`` and ``model``

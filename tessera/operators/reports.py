@@ -19,7 +19,14 @@ def domain_frequency(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("domain", extract_domain(F.col("url_or_path"))).where("domain is not null")
     per = own.groupBy("domain", "fetch_status").agg(F.count("*").alias("c"))
     states = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "fetch_status", F.col("c").cast("string")))), ",")
-    out = per.groupBy("domain").agg(F.sum("c").alias("n"), states.alias("by_status"), F.sum(F.when(F.col("fetch_status") == "unfetchable", F.col("c")).otherwise(0)).alias("unfetchable"))
+    out = (
+        per.groupBy("domain")
+        .agg(
+            F.sum("c").alias("n"),
+            states.alias("by_status"),
+            F.sum(F.when(F.col("fetch_status") == "unfetchable", F.col("c")).otherwise(0)).alias("unfetchable"),
+        )
+    )
     return out.withColumn("has_handler", has_fetch_handler(F.col("domain")))
 
 
@@ -27,7 +34,12 @@ def domain_top(report: DataFrame, limit: int = 10) -> DataFrame:
     """AG5, ST5: (kind, place, domain, n) of the most frequent and of the most rejected domains."""
     def best(kind, rows, n):
         top = rows.orderBy(F.desc(n), "domain").limit(limit)
-        return top.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(F.desc(n), "domain")).alias("place"), "domain", F.col(n).alias("n"))
+        return top.select(
+            F.lit(kind).alias("kind"),
+            F.row_number().over(Window.orderBy(F.desc(n), "domain")).alias("place"),
+            "domain",
+            F.col(n).alias("n"),
+        )
 
     return best("count", report, "n").unionByName(best("unfetchable", report.where("unfetchable > 0"), "unfetchable"))
 
@@ -35,7 +47,11 @@ def domain_top(report: DataFrame, limit: int = 10) -> DataFrame:
 def sources_over_time(docs: DataFrame, granularity: str = "month") -> DataFrame:
     """AG6: (source, period, n) in UTC; any granularity but month is year."""
     shape = "yyyy-MM" if granularity == "month" else "yyyy"
-    return docs.where("date_added is not null").groupBy("source", F.date_format(F.timestamp_seconds("date_added"), shape).alias("period")).agg(F.count("*").alias("n"))
+    return (
+        docs.where("date_added is not null")
+        .groupBy("source", F.date_format(F.timestamp_seconds("date_added"), shape).alias("period"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def kernel_timeline(rows: DataFrame) -> DataFrame:
@@ -44,12 +60,23 @@ def kernel_timeline(rows: DataFrame) -> DataFrame:
     Rows (label, ts) are first counted by (label, ts); each then reaches four months
     at most, so nothing is multiplied by the length of the grid.
     """
-    own = rows.where("ts is not null").groupBy(F.coalesce(F.nullif("label", F.lit("")), F.lit("Unlabelled")).alias("label"), F.col("ts").cast("double").alias("ts")).agg(F.count("*").alias("n"))
+    own = (
+        rows.where("ts is not null")
+        .groupBy(
+            F.coalesce(F.nullif("label", F.lit("")), F.lit("Unlabelled")).alias("label"),
+            F.col("ts").cast("double").alias("ts"),
+        )
+        .agg(F.count("*").alias("n"))
+    )
     first = F.add_months(F.trunc(F.timestamp_seconds("ts").cast("date"), "month"), -2)
     months = F.explode(F.sequence(first, F.add_months(first, 4), F.expr("interval 1 month")))
     days = (month_centre(F.col("month")) - F.col("ts")) / 86400.0
     reached = own.withColumn("month", months).withColumn("days", days).where(F.abs("days") <= HALF_WIDTH_DAYS)
-    return reached.groupBy("label", F.date_format("month", "yyyy-MM").alias("period")).agg(F.sum(F.col("n") * gaussian_kernel(F.col("days"))).alias("weight")).where("weight <> 0")
+    return (
+        reached.groupBy("label", F.date_format("month", "yyyy-MM").alias("period"))
+        .agg(F.sum(F.col("n") * gaussian_kernel(F.col("days"))).alias("weight"))
+        .where("weight <> 0")
+    )
 
 
 def cluster_rows(assignments: DataFrame, clusters: DataFrame, docs: DataFrame, level: int = 1) -> DataFrame:
@@ -62,7 +89,17 @@ def status_report(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """AG8, AG9: (source, total, pending, fetched, unfetchable, embedded) of each source."""
     has = chunks.select(F.col("document_id").alias("id")).distinct().withColumn("_e", F.lit(1))
     count = lambda s: F.sum((F.col("fetch_status") == s).cast("int")).alias(s)
-    return docs.join(has, "id", "left").groupBy("source").agg(F.count("*").alias("total"), count("pending"), count("fetched"), count("unfetchable"), F.count("_e").alias("embedded"))
+    return (
+        docs.join(has, "id", "left")
+        .groupBy("source")
+        .agg(
+            F.count("*").alias("total"),
+            count("pending"),
+            count("fetched"),
+            count("unfetchable"),
+            F.count("_e").alias("embedded"),
+        )
+    )
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -72,7 +109,16 @@ def cluster_sizes(assignments: DataFrame) -> DataFrame:
 
 def run_diagnostics(assignments: DataFrame) -> DataFrame:
     """AG19: (run_id, clusters, smallest, largest, mean) of the clusters' sizes."""
-    return cluster_sizes(assignments).groupBy("run_id").agg(F.count("*").alias("clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.round(F.avg("n"), 1).alias("mean"))
+    return (
+        cluster_sizes(assignments)
+        .groupBy("run_id")
+        .agg(
+            F.count("*").alias("clusters"),
+            F.min("n").alias("smallest"),
+            F.max("n").alias("largest"),
+            F.round(F.avg("n"), 1).alias("mean"),
+        )
+    )
 
 
 def noise_count(chunks: DataFrame, assignments: DataFrame, clusters: DataFrame, run_id: int) -> DataFrame:
@@ -81,16 +127,37 @@ def noise_count(chunks: DataFrame, assignments: DataFrame, clusters: DataFrame,
     bucket = clusters.where((F.col("run_id") == run_id) & F.col("is_noise")).select("cluster_id")
     held = own.join(bucket, "cluster_id", "left_semi").agg(F.count("*").alias("held"))
     some = bucket.agg(F.count("*").alias("buckets"))
-    rest = chunks.agg(F.countDistinct("document_id").alias("chunked")).crossJoin(own.where("level = 1").agg(F.countDistinct("document_id").alias("placed")))
-    return held.crossJoin(some).crossJoin(rest).select(F.when(F.col("buckets") > 0, F.col("held")).otherwise(F.greatest(F.lit(0), F.col("chunked") - F.col("placed"))).alias("n_noise"))
+    rest = (
+        chunks.agg(F.countDistinct("document_id").alias("chunked"))
+        .crossJoin(own.where("level = 1").agg(F.countDistinct("document_id").alias("placed")))
+    )
+    return (
+        held.crossJoin(some)
+        .crossJoin(rest)
+        .select(
+            F.when(F.col("buckets") > 0, F.col("held"))
+            .otherwise(F.greatest(F.lit(0), F.col("chunked") - F.col("placed")))
+            .alias("n_noise")
+        )
+    )
 
 
 def cluster_top_tags(assignments: DataFrame, tags: DataFrame, folds: DataFrame, sample: int = 200, top: int = 10) -> DataFrame:
     """AG12: (cluster_id, tag, n) of the most used folded tags among a cluster's first documents."""
-    first = assignments.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("document_id"))).where(F.col("_n") <= sample)
-    own = first.join(tags, "document_id").join(folds.where("origin = 'source'").select(F.col("raw").alias("tag"), "canonical", "display"), "tag")
+    first = (
+        assignments.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("document_id")))
+        .where(F.col("_n") <= sample)
+    )
+    own = (
+        first.join(tags, "document_id")
+        .join(folds.where("origin = 'source'").select(F.col("raw").alias("tag"), "canonical", "display"), "tag")
+    )
     per = own.groupBy("cluster_id", "canonical").agg(F.min("display").alias("tag"), F.countDistinct("document_id").alias("n"))
-    return per.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("n"), "tag"))).where(F.col("_n") <= top).select("cluster_id", "tag", "n")
+    return (
+        per.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("n"), "tag")))
+        .where(F.col("_n") <= top)
+        .select("cluster_id", "tag", "n")
+    )
 
 
 def list_sizes(lists: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,7 +168,10 @@ def list_sizes(lists: DataFrame, items: DataFrame) -> DataFrame:
 
 def spend(calls: DataFrame) -> DataFrame:
     """AG23: (run_id, calls, chars_sent, artifacts) over a call log."""
-    return calls.groupBy("run_id").agg(F.count("*").alias("calls"), F.sum("chars").alias("chars_sent"), F.sum("artifacts").alias("artifacts"))
+    return (
+        calls.groupBy("run_id")
+        .agg(F.count("*").alias("calls"), F.sum("chars").alias("chars_sent"), F.sum("artifacts").alias("artifacts"))
+    )
 
 
 # ── queues ───────────────────────────────────────────────────────────────────
@@ -111,7 +181,11 @@ def ingest_queue(docs: DataFrame, chunks: DataFrame, source: str, limit: int | N
     """FL14: (id, url_or_path, phase): pending documents, then fetched ones without chunks; once each."""
     own = docs.where((F.col("source") == source) & F.col("url_or_path").isNotNull() & (F.col("url_or_path") != ""))
     waiting = own.where("fetch_status = 'pending'").select("id", "url_or_path", F.lit(0).alias("phase"))
-    orphans = own.where("fetch_status = 'fetched'").join(chunks.select(F.col("document_id").alias("id")), "id", "left_anti").select("id", "url_or_path", F.lit(1).alias("phase"))
+    orphans = (
+        own.where("fetch_status = 'fetched'")
+        .join(chunks.select(F.col("document_id").alias("id")), "id", "left_anti")
+        .select("id", "url_or_path", F.lit(1).alias("phase"))
+    )
     queue = waiting.unionByName(orphans)
     return queue.orderBy("phase", "id").limit(limit) if limit is not None else queue
 
@@ -120,7 +194,11 @@ def requeue_unfetchable(docs: DataFrame, log: DataFrame, source: str, cutoff: in
     """FL15, JN2: (id) of unfetchable documents whose last attempt is old enough and whose url could work."""
     last = log.groupBy(F.col("document_id").alias("id")).agg(F.max("timestamp").alias("last"))
     own = docs.where((F.col("source") == source) & (F.col("fetch_status") == "unfetchable") & (F.coalesce("url_or_path", F.lit("")) != ""))
-    return own.join(last, "id", "left").where((F.col("last").isNull() | (F.col("last") <= cutoff)) & unfetchable_reason(F.col("url_or_path")).isNull()).select("id")
+    return (
+        own.join(last, "id", "left")
+        .where((F.col("last").isNull() | (F.col("last") <= cutoff)) & unfetchable_reason(F.col("url_or_path")).isNull())
+        .select("id")
+    )
 
 
 def summary_candidates(docs: DataFrame, chunks: DataFrame, sources: list[str]) -> DataFrame:
@@ -142,10 +220,21 @@ def admitted_images(found: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def pending_metadata(known: DataFrame, offered: DataFrame) -> DataFrame:
     """IN9: (source, n) of offered (source, source_id) that the archive doesn't have."""
-    return offered.join(known.select("source", "source_id"), ["source", "source_id"], "left_anti").groupBy("source").agg(F.count("*").alias("n"))
-
-
-def provenance(chunks: DataFrame, runs: DataFrame, run_id: int | None = None, provider: str | None = None, model: str | None = None, unknown: bool = False) -> DataFrame:
+    return (
+        offered.join(known.select("source", "source_id"), ["source", "source_id"], "left_anti")
+        .groupBy("source")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def provenance(
+    chunks: DataFrame,
+    runs: DataFrame,
+    run_id: int | None = None,
+    provider: str | None = None,
+    model: str | None = None,
+    unknown: bool = False,
+) -> DataFrame:
     """FL11: summary chunks of a run, of a provider's or model's runs, or of no known run."""
     own = chunks.where("chunk_pass = 'summary'")
     if unknown:
@@ -161,7 +250,15 @@ def provenance(chunks: DataFrame, runs: DataFrame, run_id: int | None = None, pr
 # ── purge ────────────────────────────────────────────────────────────────────
 
 
-def purge_counts(docs: DataFrame, chunks: DataFrame, texts: DataFrame, overlay: DataFrame, log: DataFrame, images: DataFrame, runs: DataFrame) -> DataFrame:
+def purge_counts(
+    docs: DataFrame,
+    chunks: DataFrame,
+    texts: DataFrame,
+    overlay: DataFrame,
+    log: DataFrame,
+    images: DataFrame,
+    runs: DataFrame,
+) -> DataFrame:
     """AG22: (target, n): what each purge would take."""
     bad = docs.where("fetch_status = 'unfetchable'").select(F.col("id").alias("document_id"))
     summary, full = repeated_chunks(chunks)
@@ -197,7 +294,14 @@ def repeated_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     again = Window.partitionBy("document_id", "text").orderBy("chunk_index", "id")
     summary = chunks.where("chunk_pass = 'summary'").withColumn("_n", F.row_number().over(again)).where("_n > 1").select("id")
-    own = chunks.where("chunk_pass = 'fulltext'").select("document_id", F.struct("chunk_index", "id", F.md5("text").alias("h"), F.col("page_start").cast("long").alias("p")).alias("c"))
+    own = (
+        chunks.where("chunk_pass = 'fulltext'")
+        .select(
+            "document_id",
+            F.struct("chunk_index", "id", F.md5("text").alias("h"), F.col("page_start").cast("long").alias("p"))
+            .alias("c"),
+        )
+    )
     whole = own.groupBy("document_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
 
     def extra(ids, marks):

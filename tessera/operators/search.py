@@ -67,7 +67,10 @@ def bm25(rows: DataFrame, columns: list[str], phrase: str) -> DataFrame:
     Frequency counts overlapping occurrences in all columns, length is the number of
     trigrams, and document count and mean length are over the whole table.
     """
-    size = sum((F.greatest(F.lit(0), F.length(F.coalesce(c, F.lit(""))) - 2) for c in columns[1:]), F.greatest(F.lit(0), F.length(F.coalesce(columns[0], F.lit(""))) - 2))
+    size = sum(
+        (F.greatest(F.lit(0), F.length(F.coalesce(c, F.lit(""))) - 2) for c in columns[1:]),
+        F.greatest(F.lit(0), F.length(F.coalesce(columns[0], F.lit(""))) - 2),
+    )
     found = sum((_phrase_count(F.col(c), phrase) for c in columns[1:]), _phrase_count(F.col(columns[0]), phrase))
     counted = rows.withColumns({"_d": size, "_f": found})
     whole = counted.agg(F.count("*").alias("_n"), F.sum((F.col("_f") > 0).cast("int")).alias("_m"), F.avg("_d").alias("_avg"))
@@ -84,11 +87,19 @@ def keyword_hits(docs: DataFrame, chunks: DataFrame, query: str, sources: list[s
     query = query.strip()
     own = docs.where(F.col("source").isin(sources)) if sources else docs
     if len(query) < 3:
-        hits = own.where(F.col("title").ilike(f"%{query}%")).select(F.col("id").alias("doc_id"), F.lit(0).alias("tier"), F.col("id").cast("double").alias("score"))
+        hits = (
+            own.where(F.col("title").ilike(f"%{query}%"))
+            .select(F.col("id").alias("doc_id"), F.lit(0).alias("tier"), F.col("id").cast("double").alias("score"))
+        )
     else:
         keep = own.select(F.col("id").alias("doc_id"))
         head = bm25(docs, ["title", "card_summary"], query).select(F.col("id").alias("doc_id"), F.lit(0).alias("tier"), "score")
-        body = bm25(chunks, ["text"], query).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("score").alias("score")).select("doc_id", F.lit(1).alias("tier"), "score")
+        body = (
+            bm25(chunks, ["text"], query)
+            .groupBy(F.col("document_id").alias("doc_id"))
+            .agg(F.min("score").alias("score"))
+            .select("doc_id", F.lit(1).alias("tier"), "score")
+        )
         both = head.unionByName(body).groupBy("doc_id").agg(F.min(F.struct("tier", "score")).alias("b"))
         hits = both.select("doc_id", "b.tier", "b.score").join(keep, "doc_id", "left_semi")
     ranked = _ranked_widely(hits, "tier", "score", "doc_id")
@@ -123,7 +134,14 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, mode: str = "hybrid") -> Dat
 def merge_clip(hits: DataFrame, clip: DataFrame) -> DataFrame:
     """RK5: the better of both scores; scored hits by score, then unscored ones in their order."""
     c = clip.select("doc_id", F.col("similarity").alias("s2"), F.col("rank").alias("r2"))
-    both = hits.join(c, "doc_id", "full").select("doc_id", F.greatest("similarity", "s2").alias("similarity"), F.coalesce("rank", F.col("r2") + 1_000_000_000).alias("r"))
+    both = (
+        hits.join(c, "doc_id", "full")
+        .select(
+            "doc_id",
+            F.greatest("similarity", "s2").alias("similarity"),
+            F.coalesce("rank", F.col("r2") + 1_000_000_000).alias("r"),
+        )
+    )
     return _ranked(both, F.col("similarity").desc_nulls_last(), "r", "doc_id").select("doc_id", "similarity", "rank")
 
 

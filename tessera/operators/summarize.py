@@ -29,7 +29,10 @@ def summarize(texts: DataFrame, leaf: Callable[[Column], Column], limit: int = L
     rows, done = texts.select("document_id", "text"), None
     for turn in range(depth + 1):
         long = (F.length("text") > limit) if turn < depth else F.lit(False)
-        ready = rows.where(~F.coalesce(long, F.lit(False))).select("document_id", F.nullif(F.trim(leaf(F.col("text"))), F.lit("")).alias("summary"))
+        ready = (
+            rows.where(~F.coalesce(long, F.lit(False)))
+            .select("document_id", F.nullif(F.trim(leaf(F.col("text"))), F.lit("")).alias("summary"))
+        )
         done = ready if done is None else done.unionByName(ready)
         if turn == depth:
             break
@@ -37,13 +40,18 @@ def summarize(texts: DataFrame, leaf: Callable[[Column], Column], limit: int = L
         told = pieces.select("document_id", "place", F.nullif(F.trim(leaf(F.col("text"))), F.lit("")).alias("said"))
         kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("place", "said")))), lambda s: s["said"])
         joined = cut(told.groupBy("document_id").agg(kept.alias("parts")))
-        done = done.unionByName(joined.where(F.size("parts") <= 1).select("document_id", F.try_element_at("parts", F.lit(1)).alias("summary")))
+        done = done.unionByName(
+            joined.where(F.size("parts") <= 1)
+            .select("document_id", F.try_element_at("parts", F.lit(1)).alias("summary"))
+        )
         numbered = F.array_join(F.transform("parts", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
         rows = joined.where(F.size("parts") > 1).select("document_id", numbered.alias("text"))
     return done
 
 
-def reembed(chunk_vectors: DataFrame, sessions: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[tuple[int, list[float], float]], list[int]]:
+def reembed(
+    chunk_vectors: DataFrame, sessions: DataFrame, labels: DataFrame
+) -> tuple[DataFrame, list[tuple[int, list[float], float]], list[int]]:
     """RC3: what follows new chunk vectors (document_id, embedding).
 
     The documents' means; a model (session_id, weights, intercept) for every accepted

@@ -47,7 +47,10 @@ def tag_counts(used: DataFrame, folds: DataFrame, links: DataFrame, scope: DataF
     if scope is not None:
         owned = owned.join(scope.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
     names = F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), F.col("tag").alias("t"))))
-    out = owned.groupBy("origin", "canonical").agg(F.min("display").alias("tag"), F.countDistinct("owner_id").alias("count"), names.alias("v"))
+    out = (
+        owned.groupBy("origin", "canonical")
+        .agg(F.min("display").alias("tag"), F.countDistinct("owner_id").alias("count"), names.alias("v"))
+    )
     return out.select("tag", "origin", "count", F.transform("v", lambda s: s["t"]).alias("variants"))
 
 
@@ -75,7 +78,10 @@ def variant_report(folds: DataFrame) -> DataFrame:
 def _directed(pairs: DataFrame) -> DataFrame:
     """TF6: the more used key is canonical, ties to the first in the alphabet."""
     first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"))
+    return pairs.select(
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"),
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"),
+    )
 
 
 def morphology_pairs(tags: DataFrame) -> DataFrame:
@@ -87,14 +93,23 @@ def morphology_pairs(tags: DataFrame) -> DataFrame:
         .when(last.rlike("(?:ses|xes|ches|shes)$"), cut(2))
         .when(last.endswith("s") & ~last.endswith("ss"), cut(1))
     )
-    plural = tags.where((F.length(last) >= 4) & ~last.isin(NOT_PLURAL) & (n > 0)).select(F.col("key").alias("a"), F.col("n").alias("na"), single.alias("b"))
+    plural = (
+        tags.where((F.length(last) >= 4) & ~last.isin(NOT_PLURAL) & (n > 0))
+        .select(F.col("key").alias("a"), F.col("n").alias("na"), single.alias("b"))
+    )
     return _directed(plural.join(tags.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b"))
 
 
 def initialism_pairs(tags: DataFrame) -> DataFrame:
     """TF4: (alias, canonical) of short keys that spell the initials of a longer one."""
     words = F.filter(F.split("key", "-"), lambda w: w != "")
-    long = tags.where(F.size(words) >= 2).select(F.col("key").alias("canonical"), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("alias"))
+    long = (
+        tags.where(F.size(words) >= 2)
+        .select(
+            F.col("key").alias("canonical"),
+            F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("alias"),
+        )
+    )
     short = tags.where(F.col("key").rlike(r"^\p{L}{2,5}$")).select(F.col("key").alias("alias"))
     return short.join(long, "alias").select("alias", "canonical")
 
@@ -109,7 +124,11 @@ def semantic_pairs(tags: DataFrame, vectors: DataFrame, threshold: float = 0.92,
     full = pairs.join(n.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
     scored = full.withColumn("score", F.round("similarity", 4))
     first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return scored.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"), "score")
+    return scored.select(
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"),
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"),
+        "score",
+    )
 
 
 def scan(found: list[tuple[str, DataFrame]], aliases: DataFrame) -> DataFrame:
@@ -132,9 +151,26 @@ def documents_of(spellings: DataFrame, source_tags: DataFrame, overlay_tags: Dat
 
 def describe_aliases(aliases: DataFrame, folds: DataFrame, used: DataFrame, docs: DataFrame, examples: int = 3) -> DataFrame:
     """TF8: each alias row with its labels, totals and up to three example titles."""
-    per = folds.where(~F.col("origin").isin(*CLOSED)).groupBy("key").agg(F.max_by("raw", F.struct("n", F.col("raw"))).alias("label"), F.sum("n").alias("total"))
-    titles = used.join(folds.select("origin", F.col("raw").alias("tag"), "key"), ["origin", "tag"]).select("key", "document_id").distinct().join(docs.select(F.col("id").alias("document_id"), "title"), "document_id")
-    some = titles.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("document_id"))).where(F.col("_n") <= examples).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "title"))), lambda s: s["title"]).alias("titles"))
+    per = (
+        folds.where(~F.col("origin").isin(*CLOSED))
+        .groupBy("key")
+        .agg(F.max_by("raw", F.struct("n", F.col("raw"))).alias("label"), F.sum("n").alias("total"))
+    )
+    titles = (
+        used.join(folds.select("origin", F.col("raw").alias("tag"), "key"), ["origin", "tag"])
+        .select("key", "document_id")
+        .distinct()
+        .join(docs.select(F.col("id").alias("document_id"), "title"), "document_id")
+    )
+    some = (
+        titles.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("document_id")))
+        .where(F.col("_n") <= examples)
+        .groupBy("key")
+        .agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("document_id", "title"))), lambda s: s["title"])
+            .alias("titles")
+        )
+    )
     out = aliases
     for side in ("alias", "canonical"):
         named = per.select(F.col("key").alias(side), F.col("label").alias(f"{side}_label"), F.col("total").alias(f"{side}_total"))
@@ -150,5 +186,18 @@ def path_tag_counts(paths: DataFrame, most: int = 1000) -> DataFrame:
 def path_tag_stats(paths: DataFrame, top: int = 5) -> DataFrame:
     """AG16: documents, rows, distinct tags and the most used tags of each source."""
     per = paths.groupBy("source", "tag").agg(F.count("*").alias("n"))
-    best = per.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "tag"))).where(F.col("_n") <= top).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "tag"))), lambda s: s["tag"]).alias("top"))
-    return paths.groupBy("source").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("rows"), F.countDistinct("tag").alias("tags")).join(best, "source", "left")
+    best = (
+        per.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "tag")))
+        .where(F.col("_n") <= top)
+        .groupBy("source")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "tag"))), lambda s: s["tag"]).alias("top"))
+    )
+    return (
+        paths.groupBy("source")
+        .agg(
+            F.countDistinct("document_id").alias("documents"),
+            F.count("*").alias("rows"),
+            F.countDistinct("tag").alias("tags"),
+        )
+        .join(best, "source", "left")
+    )

@@ -58,7 +58,12 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
     if several > 1:
         picked = own.orderBy(F.xxhash64("k"), "k").limit(several).select("v").collect()
         near = np.array([r["v"] for r in picked])
-        packed = F.broadcast(spark.createDataFrame([([(i, v) for i, v in enumerate(near.tolist())],)], "pack array<struct<i:int,c:array<double>>>"))
+        packed = F.broadcast(
+            spark.createDataFrame(
+                [([(i, v) for i, v in enumerate(near.tolist())],)],
+                "pack array<struct<i:int,c:array<double>>>",
+            )
+        )
         closest = F.array_max(F.transform("pack", lambda p: F.struct(dot(F.col("v"), p["c"]).alias("s"), (-p["i"]).alias("m"))))
         own = own.join(packed).withColumn("best", closest).select("k", "v", (-F.col("best.m")).alias("r"), F.col("best.s").alias("s"))
         counted = own.groupBy("r").agg(F.count("*").alias("n"), F.min("s").alias("s")).collect()
@@ -75,7 +80,12 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
             if i != j:
                 meets[j].append(i)
     # A row for each region: its first block, how many it has, and the blocks of all regions that it may have pairs with.
-    grid = F.broadcast(spark.createDataFrame([(i, first[i], parts[i], [(first[j], parts[j]) for j in meets[i]]) for i in meets], "r int, low int, n int, others array<struct<low:int,n:int>>"))
+    grid = F.broadcast(
+        spark.createDataFrame(
+            [(i, first[i], parts[i], [(first[j], parts[j]) for j in meets[i]]) for i in meets],
+            "r int, low int, n int, others array<struct<low:int,n:int>>",
+        )
+    )
     placed = own.join(grid, "r").withColumn("b", (F.col("low") + F.pmod(F.xxhash64("k"), F.col("n"))).cast("int"))
     others = F.flatten(F.transform("others", lambda o: F.sequence(o["low"], o["low"] + o["n"] - 1)))
     tiles = placed.withColumn("o", F.explode(others)).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
@@ -108,9 +118,17 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "docum
     """
     c = centroids.select("cluster_id", l2_normalize(F.col("embedding")).alias("c"))
     packs = -(-centroids.count() // most)
-    packed = c.groupBy(F.pmod(F.xxhash64("cluster_id"), F.lit(max(packs, 1)))).agg(F.collect_list(F.struct("cluster_id", "c")).alias("pack")).select("pack")
+    packed = (
+        c.groupBy(F.pmod(F.xxhash64("cluster_id"), F.lit(max(packs, 1))))
+        .agg(F.collect_list(F.struct("cluster_id", "c")).alias("pack"))
+        .select("pack")
+    )
     score = lambda p: F.struct(dot(F.col("v"), p["c"]).alias("score"), (-p["cluster_id"]).alias("m"))
-    scored = vectors.select(key, l2_normalize(F.col("embedding")).alias("v")).join(F.broadcast(packed)).select(key, F.array_max(F.transform("pack", score)).alias("best"))
+    scored = (
+        vectors.select(key, l2_normalize(F.col("embedding")).alias("v"))
+        .join(F.broadcast(packed))
+        .select(key, F.array_max(F.transform("pack", score)).alias("best"))
+    )
     if packs > 1:
         scored = scored.groupBy(key).agg(F.max("best").alias("best"))
     return scored.select(key, (-F.col("best.m")).alias("cluster_id"), F.col("best.score").alias("score"))
@@ -127,7 +145,12 @@ def drift(centroids: DataFrame, assigned: DataFrame, vectors: DataFrame, thresho
     per = near.groupBy("cluster_id").agg(F.count("*").alias("n_recent"), (1 - F.avg(dot(F.col("v"), F.col("c")))).alias("d"))
     out = centroids.select("cluster_id").join(per, "cluster_id", "left").where("n_recent is null or d is not null")
     d = F.coalesce("d", F.lit(0.0))
-    return out.select("cluster_id", F.round(d, 3).alias("drift_score"), F.coalesce("n_recent", F.lit(0)).alias("n_recent"), (d > threshold).alias("flagged"))
+    return out.select(
+        "cluster_id",
+        F.round(d, 3).alias("drift_score"),
+        F.coalesce("n_recent", F.lit(0)).alias("n_recent"),
+        (d > threshold).alias("flagged"),
+    )
 
 
 def merge_suggestions(centroids: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -73,7 +73,11 @@ def insert_tags(stored: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFram
     key = ["document_id", "tag", "origin"]
     once = rows.dropDuplicates(key)
     fresh = once.join(stored.select(*key), key, "left_anti")
-    counts = rows.agg(F.count("*").alias("all")).crossJoin(fresh.agg(F.count("*").alias("applied"))).select("applied", (F.col("all") - F.col("applied")).alias("skipped"))
+    counts = (
+        rows.agg(F.count("*").alias("all"))
+        .crossJoin(fresh.agg(F.count("*").alias("applied")))
+        .select("applied", (F.col("all") - F.col("applied")).alias("skipped"))
+    )
     return stored.unionByName(fresh, allowMissingColumns=True), counts
 
 
@@ -108,7 +112,10 @@ def store_text(texts: DataFrame, incoming: DataFrame, now: int, full: str | None
     own = incoming.withColumn("text", F.trim("text")).where("text <> ''").withColumns({
         "char_count": F.length("text").cast("long"), "content_hash": F.sha2(F.col("text").cast("binary"), 256), "extracted_at": F.lit(now).cast("long"),
     })
-    own = own.withColumn("full_char_count", F.coalesce(full, "char_count") if full else F.col("char_count")).select("document_id", "text", "char_count", "full_char_count", "content_hash", "extracted_at")
+    own = (
+        own.withColumn("full_char_count", F.coalesce(full, "char_count") if full else F.col("char_count"))
+        .select("document_id", "text", "char_count", "full_char_count", "content_hash", "extracted_at")
+    )
     return texts.join(own.select("document_id"), "document_id", "left_anti").unionByName(own)
 
 
@@ -145,8 +152,17 @@ def decide_alias(aliases: DataFrame, alias: str, canonical: str, state: str) ->
         return rows.withColumn("state", F.when(pair, state).otherwise(F.col("state"))).drop("a", "c")
     moved = (F.col("state") == "active") & (F.col("canonical") == F.col("a"))
     other = (F.col("state") == "active") & (F.col("alias") == F.col("a")) & ~pair
-    out = rows.where(~(moved & (F.col("alias") == F.col("c")))).withColumn("state", F.when(pair, "active").when(other, "rejected").otherwise(F.col("state"))).withColumn("canonical", F.when(moved, F.col("c")).otherwise(F.col("canonical"))).drop("a", "c")
-    fresh = asked.select(F.col("a").alias("alias"), F.col("c").alias("canonical")).join(aliases.select("alias", "canonical"), ["alias", "canonical"], "left_anti").withColumn("state", F.lit("active"))
+    out = (
+        rows.where(~(moved & (F.col("alias") == F.col("c"))))
+        .withColumn("state", F.when(pair, "active").when(other, "rejected").otherwise(F.col("state")))
+        .withColumn("canonical", F.when(moved, F.col("c")).otherwise(F.col("canonical")))
+        .drop("a", "c")
+    )
+    fresh = (
+        asked.select(F.col("a").alias("alias"), F.col("c").alias("canonical"))
+        .join(aliases.select("alias", "canonical"), ["alias", "canonical"], "left_anti")
+        .withColumn("state", F.lit("active"))
+    )
     return out.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -173,4 +189,9 @@ def upsert_reddit(items: DataFrame, incoming: DataFrame) -> DataFrame:
 def close_stale_runs(runs: DataFrame, now: int, after: int = 86400) -> DataFrame:
     """EN1: runs that never ended and began long ago are marked as aborted."""
     stale = F.col("finished_at").isNull() & (F.col("started_at") < now - after)
-    return runs.withColumns({"status": F.when(stale, "aborted").otherwise(F.col("status")), "finished_at": F.when(stale, F.lit(now).cast("long")).otherwise(F.col("finished_at"))})
+    return runs.withColumns(
+        {
+            "status": F.when(stale, "aborted").otherwise(F.col("status")),
+            "finished_at": F.when(stale, F.lit(now).cast("long")).otherwise(F.col("finished_at")),
+        }
+    )

@@ -49,7 +49,11 @@ def folded(a: Archive):
 @query(sql(rf"SELECT id, {DOMAIN.format(u='url_or_path')} AS domain, {HOST.format(u='url_or_path')} AS host FROM web", "web"))
 def fn_extract_domain(spark, d):
     """FN10."""
-    return Archive(spark, d).web.select("id", urls.extract_domain(F.col("url_or_path")).alias("domain"), urls.hostname(F.col("url_or_path")).alias("host"))
+    return Archive(spark, d).web.select(
+        "id",
+        urls.extract_domain(F.col("url_or_path")).alias("domain"),
+        urls.hostname(F.col("url_or_path")).alias("host"),
+    )
 
 
 @query(sql(r"""
@@ -93,7 +97,11 @@ def fn_truncate_summary(spark, d):
 @query(sql(r"SELECT id, sha256(body) AS hash, CAST(len(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '')) AS INTEGER) AS tokens FROM docs", "docs"))
 def fn_hash_tokens(spark, d):
     """FN25, FN34."""
-    return Archive(spark, d).docs.select("id", text.content_hash(F.col("body")).alias("hash"), text.token_count(F.col("body")).alias("tokens"))
+    return Archive(spark, d).docs.select(
+        "id",
+        text.content_hash(F.col("body")).alias("hash"),
+        text.token_count(F.col("body")).alias("tokens"),
+    )
 
 
 @query(sql("""
@@ -101,7 +109,11 @@ SELECT id, CASE WHEN source = 'zotero' AND item_type = 'preprint' THEN 'academic
   WHEN source = 'youtube' THEN 'video' ELSE '' END AS tags FROM docs""", "docs"))
 def fn_classify(spark, d):
     """FN19, HP18."""
-    return Archive(spark, d).docs.select("id", F.array_join(urls.classify_document(F.col("source"), F.col("item_type"), F.col("url_or_path")), ",").alias("tags"))
+    return Archive(spark, d).docs.select(
+        "id",
+        F.array_join(urls.classify_document(F.col("source"), F.col("item_type"), F.col("url_or_path")), ",")
+        .alias("tags"),
+    )
 
 
 @query("""
@@ -113,7 +125,15 @@ FROM d""")
 def fn_isbn13(spark, d):
     """FN14, FN15: part keys as ISBN-10 cores."""
     core = F.lpad(((F.col("p_partkey") * 7919 + 30600) % 1000000000).cast("string"), 9, "0")
-    out = Archive(spark, d).raw("part").select(F.col("p_partkey").alias("id"), urls.isbn13(F.concat(F.substring(core, 1, 3), F.lit("-"), F.substring(core, 4, 6), F.lit("X"))).alias("isbn"))
+    out = (
+        Archive(spark, d)
+        .raw("part")
+        .select(
+            F.col("p_partkey").alias("id"),
+            urls.isbn13(F.concat(F.substring(core, 1, 3), F.lit("-"), F.substring(core, 4, 6), F.lit("X")))
+            .alias("isbn"),
+        )
+    )
     return out.select("id", F.col("isbn").endswith("0").alias("zero_check"), "isbn")
 
 
@@ -138,7 +158,11 @@ def fn_chunk_text(spark, d):
 @query()
 def fn_sentences(spark, d):
     """FN3."""
-    return Archive(spark, d).docs.select("id", F.size(text.split_sentences(F.col("body"))).alias("n"), text.trim_to_sentences(F.col("body"), F.lit(2)).alias("head"))
+    return Archive(spark, d).docs.select(
+        "id",
+        F.size(text.split_sentences(F.col("body"))).alias("n"),
+        text.trim_to_sentences(F.col("body"), F.lit(2)).alias("head"),
+    )
 
 
 @query()
@@ -155,14 +179,32 @@ def fn_section_blocks(spark, d):
     part = lambda i, c: F.struct(F.lit(i).alias("index"), F.lit("t").alias("title"), none.alias("page_start"), none.alias("page_end"), F.trim(c).alias("text"))
     b = text.section_blocks(F.array(part(0, F.col("title")), part(1, F.col("body"))))
     rows = Archive(spark, d).docs.where("trim(title) <> '' and trim(body) <> ''").select("id", b.alias("b"))
-    return rows.select("id", F.col("b")[1]["offset"].alias("second_offset"), F.col("b")[1]["length"].alias("second_length"), F.size("b").alias("n_blocks"))
+    return rows.select(
+        "id",
+        F.col("b")[1]["offset"].alias("second_offset"),
+        F.col("b")[1]["length"].alias("second_length"),
+        F.size("b").alias("n_blocks"),
+    )
 
 
 @query()
 def fn_site_ids(spark, d):
     """HP1-14: identifiers in urls; tested on fixtures."""
     u = F.col("url_or_path")
-    return Archive(spark, d).web.select("id", urls.arxiv_id(u).alias("arxiv"), urls.biorxiv_doi(u).alias("biorxiv"), urls.pubmed_id(u).alias("pubmed"), urls.nature_doi(u).alias("nature"), urls.publisher_doi(u).alias("publisher"), urls.sciencedirect_pii(u).alias("pii"), urls.mitpress_isbn(u).alias("isbn"), urls.doi_of_url(u).alias("doi"), urls.youtube_id(u).alias("video"), urls.amazon_asin(u).alias("asin"), urls.parse_search_url(u).getField("query").alias("query"))
+    return Archive(spark, d).web.select(
+        "id",
+        urls.arxiv_id(u).alias("arxiv"),
+        urls.biorxiv_doi(u).alias("biorxiv"),
+        urls.pubmed_id(u).alias("pubmed"),
+        urls.nature_doi(u).alias("nature"),
+        urls.publisher_doi(u).alias("publisher"),
+        urls.sciencedirect_pii(u).alias("pii"),
+        urls.mitpress_isbn(u).alias("isbn"),
+        urls.doi_of_url(u).alias("doi"),
+        urls.youtube_id(u).alias("video"),
+        urls.amazon_asin(u).alias("asin"),
+        urls.parse_search_url(u).getField("query").alias("query"),
+    )
 
 
 # ── reports ──────────────────────────────────────────────────────────────────
@@ -252,13 +294,24 @@ def list_sizes(spark, d):
 @query(sql("SELECT user_id AS run_id, count(*) AS calls, CAST(sum(length(props)) AS BIGINT) AS chars_sent, CAST(sum(event_id % 2) AS BIGINT) AS artifacts FROM events GROUP BY 1", "docs"))
 def spend_counters(spark, d):
     """AG23."""
-    return R.spend(Archive(spark, d).raw("events").select(F.col("user_id").alias("run_id"), F.length("props").alias("chars"), (F.col("event_id") % 2).alias("artifacts")))
+    return R.spend(
+        Archive(spark, d)
+        .raw("events")
+        .select(
+            F.col("user_id").alias("run_id"),
+            F.length("props").alias("chars"),
+            (F.col("event_id") % 2).alias("artifacts"),
+        )
+    )
 
 
 @query(sql("SELECT document_id, count(*) AS n, min(chunk_index) AS first FROM chunks WHERE chunk_pass IN ('summary', 'external_synopsis') GROUP BY 1", "chunks"))
 def enrichment_items(spark, d):
     """AG25."""
-    return B.enrichment(Archive(spark, d).chunks).select("document_id", F.size("items").cast("long").alias("n"), F.col("items")[0]["chunk_index"].alias("first"))
+    return (
+        B.enrichment(Archive(spark, d).chunks)
+        .select("document_id", F.size("items").cast("long").alias("n"), F.col("items")[0]["chunk_index"].alias("first"))
+    )
 
 
 @query(sql("""
@@ -378,7 +431,16 @@ def browse_tags(spark, d):
     """FL2, FL3: all wanted tags, each in any spelling, through duplicates."""
     a = Archive(spark, d)
     folds = folded(a)[1].where("origin = 'source'").select("raw", "canonical")
-    return B.having_tag(a.docs, a.source_tags.select("document_id", F.col("tag_string").alias("tag")), folds, a.links, ["EN", "Topic 3"]).select("id")
+    return (
+        B.having_tag(
+            a.docs,
+            a.source_tags.select("document_id", F.col("tag_string").alias("tag")),
+            folds,
+            a.links,
+            ["EN", "Topic 3"],
+        )
+        .select("id")
+    )
 
 
 @query(sql("""
@@ -426,7 +488,10 @@ def images_listed(spark, d):
 def unfetchable_log(spark, d):
     """JN13."""
     a = Archive(spark, d)
-    return B.unfetchable_log(a.docs.select("id", "fetch_status"), a.fetch_log.withColumnRenamed("id", "log_id")).select("id", "log_id", "http_status")
+    return (
+        B.unfetchable_log(a.docs.select("id", "fetch_status"), a.fetch_log.withColumnRenamed("id", "log_id"))
+        .select("id", "log_id", "http_status")
+    )
 
 
 # ── links and duplicates ─────────────────────────────────────────────────────
@@ -449,7 +514,16 @@ def link_writer(spark, d):
     """DD6, SK14: all unlinked documents are linked to the first of their ten."""
     a = Archive(spark, d)
     held = a.links.select(F.col("duplicate_id").alias("id")).union(a.links.select("canonical_id"))
-    asked = a.docs.where("id % 10 > 0").join(held, "id", "left_anti").select((F.col("id") - F.col("id") % 10).alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit("manual").alias("match_key"))
+    asked = (
+        a.docs
+        .where("id % 10 > 0")
+        .join(held, "id", "left_anti")
+        .select(
+            (F.col("id") - F.col("id") % 10).alias("canonical_id"),
+            F.col("id").alias("duplicate_id"),
+            F.lit("manual").alias("match_key"),
+        )
+    )
     asked = asked.join(a.links.select(F.col("duplicate_id").alias("canonical_id")), "canonical_id", "left_anti")
     return K.link(a.links, asked).select("canonical_id", "duplicate_id", "match_key", "state")
 
@@ -491,7 +565,14 @@ SELECT canonical_id, id AS duplicate_id, 'url' AS match_key FROM r WHERE id <> c
 def url_duplicates(spark, d):
     """DD1, DD3, DD5 on canonical urls."""
     a = Archive(spark, d)
-    web = a.web.withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.lit(None).cast("string"), "isbn": F.lit(None).cast("string"), "ingested_at": F.col("id")})
+    web = a.web.withColumns(
+        {
+            "doi": F.lit(None).cast("string"),
+            "arxiv_id": F.lit(None).cast("string"),
+            "isbn": F.lit(None).cast("string"),
+            "ingested_at": F.col("id"),
+        }
+    )
     keys, none = D.match_keys(web), a.links.where("false")
     n = a.chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     return D.propose_links(D.groups(keys, none), D.canonical_rank(web, n), keys, none)
@@ -552,7 +633,14 @@ FROM t a JOIN t b ON b.key = CASE WHEN a.key LIKE '%ies' THEN left(a.key, length
   WHEN a.key LIKE '%s' AND a.key NOT LIKE '%ss' THEN left(a.key, length(a.key) - 1) END WHERE length(a.key) >= 4""")
 def morphology_pairs(spark, d):
     """TF3, TF6."""
-    words = Archive(spark, d).raw("part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", F.concat("p_type", F.lit("s")))), " ")).alias("key"))
+    words = (
+        Archive(spark, d)
+        .raw("part")
+        .select(
+            F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", F.concat("p_type", F.lit("s")))), " "))
+            .alias("key")
+        )
+    )
     return T.morphology_pairs(words.where("key <> ''").groupBy("key").agg(F.count("*").alias("n")))
 
 
@@ -562,7 +650,10 @@ SELECT s.key AS alias, l.key AS canonical FROM t s JOIN t l ON s.key = array_to_
 def initialism_pairs(spark, d):
     """TF4."""
     p = Archive(spark, d).raw("part")
-    keys = p.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("key")).union(p.select(F.lower(F.array_join(F.transform(F.split("p_type", " "), lambda w: F.substring(w, 1, 1)), ""))))
+    keys = (
+        p.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("key"))
+        .union(p.select(F.lower(F.array_join(F.transform(F.split("p_type", " "), lambda w: F.substring(w, 1, 1)), ""))))
+    )
     return T.initialism_pairs(keys.distinct().withColumn("n", F.lit(1)))
 
 
@@ -581,7 +672,14 @@ def tag_scan(spark, d):
 def path_tag_counts(spark, d):
     """AG15, FN21."""
     docs = Archive(spark, d).docs.withColumn("source", F.lit("zotero"))
-    paths = docs.select("id", "source", F.explode(text.collection_tags(F.array(F.concat_ws("/", F.upper("lang"), F.lit("x"))), F.col("source"), F.lit(4))).alias("tag"))
+    paths = docs.select(
+        "id",
+        "source",
+        F.explode(
+            text.collection_tags(F.array(F.concat_ws("/", F.upper("lang"), F.lit("x"))), F.col("source"), F.lit(4))
+        )
+        .alias("tag"),
+    )
     return T.path_tag_counts(paths, 100)
 
 
@@ -603,7 +701,16 @@ top AS (SELECT vec_id % 100 AS doc_id, list_cosine_similarity(n.v, q.v) AS s FRO
 SELECT doc_id, round(max(s), 4) AS similarity, row_number() OVER (ORDER BY max(s) DESC, doc_id) AS rank FROM top GROUP BY doc_id""")
 def semantic_collapse(spark, d):
     """RK1: the best chunk of each document."""
-    v = Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("vector_id"), (F.col("vec_id") % 100).alias("document_id"), F.lit("x").alias("source"), "embedding")
+    v = (
+        Archive(spark, d)
+        .raw("embeddings")
+        .select(
+            F.col("vec_id").alias("vector_id"),
+            (F.col("vec_id") % 100).alias("document_id"),
+            F.lit("x").alias("source"),
+            "embedding",
+        )
+    )
     q = v.where("vector_id = 0").select("embedding").first()["embedding"]
     return S.semantic_hits(v, q, 20).withColumn("similarity", F.round("similarity", 4))
 
@@ -642,7 +749,15 @@ def keyword_short(spark, d):
 
 
 def _hybrid(a: Archive):
-    v = a.raw("embeddings").select(F.col("vec_id").alias("vector_id"), F.col("vec_id").alias("document_id"), F.lit("x").alias("source"), "embedding")
+    v = (
+        a.raw("embeddings")
+        .select(
+            F.col("vec_id").alias("vector_id"),
+            F.col("vec_id").alias("document_id"),
+            F.lit("x").alias("source"),
+            "embedding",
+        )
+    )
     q = v.where("vector_id = 0").select("embedding").first()["embedding"]
     return S.fold_duplicates(S.hybrid(S.semantic_hits(v, q, 20), S.keyword_hits(a.docs, a.chunks, "tionth")), a.links)
 
@@ -676,7 +791,11 @@ def image_hits(spark, d):
     """RK10."""
     e = Archive(spark, d).raw("embeddings")
     clip = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), (F.col("label") / 10.0).alias("similarity"))
-    return S.merge_image_hits(clip, e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), (F.col("label") / 20.0 + 0.1).alias("similarity")))
+    return S.merge_image_hits(
+        clip,
+        e.where("vec_id % 3 = 0")
+        .select(F.col("vec_id").alias("doc_id"), (F.col("label") / 20.0 + 0.1).alias("similarity")),
+    )
 
 
 _CENT = """p AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -699,7 +818,10 @@ def centroids(spark, d):
 def nearest_centroid(spark, d):
     """JN10."""
     a = Archive(spark, d)
-    return V.nearest_centroid(a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), _centroids(a)).withColumn("score", F.round("score", 4))
+    return (
+        V.nearest_centroid(a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), _centroids(a))
+        .withColumn("score", F.round("score", 4))
+    )
 
 
 @query(f"""WITH {_NORM}, {_CENT}, r AS (SELECT CAST(c.cluster_id AS BIGINT) AS cluster_id, 1 - avg(list_cosine_similarity(n.v, c.c)) AS d, count(n.vec_id) AS k FROM c LEFT JOIN n ON n.label = c.cluster_id AND n.vec_id >= (SELECT 0.8 * max(vec_id) FROM n) GROUP BY 1)
@@ -754,7 +876,10 @@ def cluster_kmeans(spark, d):
     """CL3, CL4, CL7 (substitutes): both levels."""
     v = Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
     one = C.cluster(v, 10)
-    return one.withColumn("level", F.lit(1)).unionByName(C.split_clusters(v, one).select("document_id", "cluster_id", F.lit(2).alias("level")))
+    return (
+        one.withColumn("level", F.lit(1))
+        .unionByName(C.split_clusters(v, one).select("document_id", "cluster_id", F.lit(2).alias("level")))
+    )
 
 
 @query()
@@ -783,7 +908,11 @@ def assign_new(spark, d):
     """IN2: the newest two fifths are placed."""
     a = Archive(spark, d)
     v = a.raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    kids = V.mean_vectors(a.raw("embeddings").select((F.col("label") * 2 + F.col("vec_id") % 2).cast("long").alias("cluster_id"), "embedding"), "cluster_id")
+    kids = V.mean_vectors(
+        a.raw("embeddings")
+        .select((F.col("label") * 2 + F.col("vec_id") % 2).cast("long").alias("cluster_id"), "embedding"),
+        "cluster_id",
+    )
     placed = a.assignments.crossJoin(F.broadcast(v.agg(F.max("document_id").alias("newest")))).where("document_id < 0.6 * newest")
     out = C.assign_new(v, placed, _centroids(a), kids.withColumn("parent_id", F.floor(F.col("cluster_id") / 2)), 9, 0.05)
     return out.select("document_id", "cluster_id", "level", F.round("score", 4).alias("score"))
@@ -826,7 +955,12 @@ def learned_overlays(spark, d):
 def seed_session(spark, d):
     """LR7."""
     a = Archive(spark, d)
-    return L.seed_session(a.source_tags.withColumnRenamed("tag_string", "tag"), folded(a)[1], a.raw("embeddings").select(F.col("vec_id").alias("document_id")), "EN")
+    return L.seed_session(
+        a.source_tags.withColumnRenamed("tag_string", "tag"),
+        folded(a)[1],
+        a.raw("embeddings").select(F.col("vec_id").alias("document_id")),
+        "EN",
+    )
 
 
 # ── writers and logs ─────────────────────────────────────────────────────────
@@ -839,8 +973,24 @@ SELECT coalesce(i.id, s.id) AS id, CASE WHEN i.id IS NULL THEN s.title ELSE i.ti
 def upsert_policy(spark, d):
     """SK1-3."""
     o = Archive(spark, d).raw("orders")
-    s = o.where("o_orderkey % 5 < 3").selectExpr("o_orderkey AS id", "o_orderstatus AS title", "o_totalprice AS price", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS note")
-    i = o.where("o_orderkey % 5 > 1").selectExpr("o_orderkey AS id", "lower(o_orderstatus) AS title", "CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 1.0D END AS price", "'n' AS note")
+    s = (
+        o.where("o_orderkey % 5 < 3")
+        .selectExpr(
+            "o_orderkey AS id",
+            "o_orderstatus AS title",
+            "o_totalprice AS price",
+            "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS note",
+        )
+    )
+    i = (
+        o.where("o_orderkey % 5 > 1")
+        .selectExpr(
+            "o_orderkey AS id",
+            "lower(o_orderstatus) AS title",
+            "CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 1.0D END AS price",
+            "'n' AS note",
+        )
+    )
     return W.upsert(s, i, ["id"], ("title",), ("note",))
 
 
@@ -851,13 +1001,22 @@ def append_digest(spark, d):
     """SK9, IN4."""
     e = Archive(spark, d).raw("events")
     log = e.where("event_id % 2 = 0").select("user_id", W.digest(["event_type"]).alias("digest"), F.col("event_id").alias("line_no"))
-    return W.record_items(log, e.where("event_id % 2 = 1").select("user_id", "event_type"), "user_id", ["event_type"]).select("user_id", "event_type", "outcome")
+    return (
+        W.record_items(log, e.where("event_id % 2 = 1").select("user_id", "event_type"), "user_id", ["event_type"])
+        .select("user_id", "event_type", "outcome")
+    )
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, min(event_id) AS first_seen FROM events GROUP BY 1")
 def latest_version(spark, d):
     """SC14."""
-    return X.latest_items(Archive(spark, d).raw("events").select("user_id", "event_type", F.col("event_id").alias("line_no")), "user_id").select("user_id", "event_type", "first_seen")
+    return (
+        X.latest_items(
+            Archive(spark, d).raw("events").select("user_id", "event_type", F.col("event_id").alias("line_no")),
+            "user_id",
+        )
+        .select("user_id", "event_type", "first_seen")
+    )
 
 
 @query(sql("SELECT document_id, tag, origin FROM overlay_tags WHERE NOT (origin = 'learned' AND tag IN ('topic-1', 'topic-2')) UNION ALL SELECT id, 'topic-1', 'learned' FROM docs WHERE id % 10 = 0", "overlay_tags", "docs"))
@@ -865,7 +1024,16 @@ def sync_overlay(spark, d):
     """SK4, SK5."""
     a = Archive(spark, d)
     want = a.docs.where("id % 10 = 0").select(F.col("id").alias("document_id"), F.lit("topic-1").alias("tag"))
-    return W.sync_tags(a.overlay_tags, want, "learned", a.docs.select(F.col("id").alias("document_id")), ["topic-1", "topic-2"]).select("document_id", "tag", "origin")
+    return (
+        W.sync_tags(
+            a.overlay_tags,
+            want,
+            "learned",
+            a.docs.select(F.col("id").alias("document_id")),
+            ["topic-1", "topic-2"],
+        )
+        .select("document_id", "tag", "origin")
+    )
 
 
 @query(sql("SELECT count(*) - (SELECT count(*) FROM overlay_tags o JOIN docs d ON o.document_id = d.id WHERE o.origin = 'manual' AND o.tag = 'topic-1') AS applied, (SELECT count(*) FROM overlay_tags o JOIN docs d ON o.document_id = d.id WHERE o.origin = 'manual' AND o.tag = 'topic-1') AS skipped FROM docs", "overlay_tags", "docs"))
@@ -880,7 +1048,10 @@ def store_texts(spark, d):
     """SK10, FN25."""
     a = Archive(spark, d)
     own = a.docs.select(F.col("id").alias("document_id"), F.col("body").alias("text"))
-    empty = spark.createDataFrame([], "document_id long, text string, char_count long, full_char_count long, content_hash string, extracted_at long")
+    empty = spark.createDataFrame(
+        [],
+        "document_id long, text string, char_count long, full_char_count long, content_hash string, extracted_at long",
+    )
     return W.store_text(empty, own, 0).select("document_id", "text", "char_count", "content_hash")
 
 
@@ -888,14 +1059,35 @@ def store_texts(spark, d):
 def record_fetch(spark, d):
     """SK11."""
     a = Archive(spark, d)
-    got = a.raw("events").where("event_type = 'click'").select(F.col("user_id").alias("document_id")).distinct().select("document_id", F.lit("fetched").alias("fetch_status"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error_msg"))
+    got = (
+        a.raw("events")
+        .where("event_type = 'click'")
+        .select(F.col("user_id").alias("document_id"))
+        .distinct()
+        .select(
+            "document_id",
+            F.lit("fetched").alias("fetch_status"),
+            F.lit(200).alias("http_status"),
+            F.lit(None).cast("string").alias("error_msg"),
+        )
+    )
     return W.record_fetch(a.docs, a.fetch_log, got, 0)[0].select("id", "fetch_status")
 
 
 @query("SELECT user_id % 7 AS session_id, user_id AS document_id, CAST(arg_max(event_id % 2, event_id) AS BIGINT) AS label FROM events GROUP BY 1, 2")
 def upsert_labels(spark, d):
     """SK12."""
-    rows = Archive(spark, d).raw("events").select((F.col("user_id") % 7).alias("session_id"), F.col("user_id").alias("document_id"), (F.col("event_id") % 2).alias("label"), F.lit("manual").alias("source"), F.col("event_id").alias("ordinal"))
+    rows = (
+        Archive(spark, d)
+        .raw("events")
+        .select(
+            (F.col("user_id") % 7).alias("session_id"),
+            F.col("user_id").alias("document_id"),
+            (F.col("event_id") % 2).alias("label"),
+            F.lit("manual").alias("source"),
+            F.col("event_id").alias("ordinal"),
+        )
+    )
     return W.upsert_labels(rows.drop("ordinal").where("false"), rows).select("session_id", "document_id", "label")
 
 
@@ -905,12 +1097,25 @@ r AS (SELECT id, title AS path FROM t WHERE parent IS NULL OR parent NOT IN (SEL
 SELECT id, path FROM r""")
 def folder_paths(spark, d):
     """SC2, SC6."""
-    t = Archive(spark, d).raw("customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("parent"), F.col("c_mktsegment").alias("title"))
+    t = (
+        Archive(spark, d)
+        .raw("customer")
+        .select(
+            F.col("c_custkey").alias("id"),
+            F.floor(F.col("c_custkey") / 3).alias("parent"),
+            F.col("c_mktsegment").alias("title"),
+        )
+    )
     return X.tree_paths(t)
 
 
 @query(r"SELECT document_id, section_index, min(page) AS page_start, max(page) AS page_end, string_agg(trim(text), chr(10) || chr(10) ORDER BY page, text) AS text FROM (SELECT conv_id AS document_id, turn AS page, text, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3) AS INTEGER) AS section_index FROM conversations WHERE trim(text) <> '') GROUP BY 1, 2")
 def page_sections(spark, d):
     """SC16."""
-    return X.page_groups(Archive(spark, d).raw("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text"), 3)
+    return X.page_groups(
+        Archive(spark, d)
+        .raw("conversations")
+        .select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text"),
+        3,
+    )
 

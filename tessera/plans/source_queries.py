@@ -61,7 +61,20 @@ def firefox_bookmarks(spark, d):
     return X.firefox_bookmarks(a.fx_bookmarks, a.fx_places).withColumn("tags", joined("tags"))
 
 
-_Z = {"items": "z_items", "itemTypes": "z_types", "itemData": "z_data", "fields": "z_fields", "itemCreators": "z_item_creators", "creators": "z_creators", "itemTags": "z_item_tags", "tags": "z_tags", "collections": "z_collections", "collectionItems": "z_collection_items", "itemAttachments": "z_attachments", "itemAnnotations": "z_annotations"}
+_Z = {
+    "items": "z_items",
+    "itemTypes": "z_types",
+    "itemData": "z_data",
+    "fields": "z_fields",
+    "itemCreators": "z_item_creators",
+    "creators": "z_creators",
+    "itemTags": "z_item_tags",
+    "tags": "z_tags",
+    "collections": "z_collections",
+    "collectionItems": "z_collection_items",
+    "itemAttachments": "z_attachments",
+    "itemAnnotations": "z_annotations",
+}
 
 
 @query(recursive("", *_Z.values()).rstrip() + f""",
@@ -91,7 +104,18 @@ def zotero_keys(spark, d):
     return X.zotero_keys(a.z_items, a.z_types)
 
 
-_C = {"books": "c_books", "comments": "c_comments", "ratings": "c_ratings", "books_ratings_link": "c_ratings_link", "authors": "c_authors", "books_authors_link": "c_authors_link", "tags": "c_tags", "books_tags_link": "c_tags_link", "publishers": "c_publishers", "books_publishers_link": "c_publishers_link"}
+_C = {
+    "books": "c_books",
+    "comments": "c_comments",
+    "ratings": "c_ratings",
+    "books_ratings_link": "c_ratings_link",
+    "authors": "c_authors",
+    "books_authors_link": "c_authors_link",
+    "tags": "c_tags",
+    "books_tags_link": "c_tags_link",
+    "publishers": "c_publishers",
+    "books_publishers_link": "c_publishers_link",
+}
 
 
 @query(sql("", *_C.values()).rstrip() + """,
@@ -146,9 +170,20 @@ def _folder(spark) -> str:
 def reddit_feed(spark, d):
     """SC12: archived feed pages, written and read back."""
     mark = F.when(F.col("event_id") % 3 == 1, "t1").when(F.col("event_id") % 3 == 2, "t2").otherwise("t3")
-    entry = F.format_string('<entry><id>%s_%s</id><title>T</title><updated>2020-01-01T00:00:00+00:00</updated><link href="https://reddit.com/r/%s/comments/a/"/><content>body %s</content></entry>', mark, F.col("event_id").cast("string"), "event_type", "event_type")
+    entry = F.format_string(
+        '<entry><id>%s_%s</id><title>T</title><updated>2020-01-01T00:00:00+00:00</updated><link href="https://reddit.com/r/%s/comments/a/"/><content>body %s</content></entry>',
+        mark,
+        F.col("event_id").cast("string"),
+        "event_type",
+        "event_type",
+    )
     path = _folder(spark)
-    pages = Archive(spark, d).raw("events").groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    pages = (
+        Archive(spark, d)
+        .raw("events")
+        .groupBy(F.floor(F.col("event_id") / 1000).alias("page"))
+        .agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    )
     pages.write.partitionBy("page").text(path)
     return X.reddit_feed(spark, path).select("source_id", "kind", "subreddit", "body")
 
@@ -158,7 +193,9 @@ def archive_log(spark, d):
     """SC13: an archive's lines, written and read back; broken ones are left out."""
     line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
     path = _folder(spark)
-    Archive(spark, d).raw("events").select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")).write.text(path)
+    Archive(spark, d).raw("events").select(
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")
+    ).write.text(path)
     return X.archive_log(spark, path, T_.StructType([T_.StructField("id", T_.LongType()), T_.StructField("kind", T_.StringType())]))
 
 
@@ -195,7 +232,14 @@ SELECT id, CASE kind WHEN 0 THEN '2101.' || n WHEN 1 THEN '2101.' || n END AS ar
 def site_preprints(spark, d):
     """HP1-4."""
     u = F.col("url")
-    return Archive(spark, d).site_urls.select("id", urls.arxiv_id(u).alias("arxiv"), urls.biorxiv_doi(u).alias("biorxiv"), urls.biorxiv_version(u).alias("version"), urls.pubmed_id(u).alias("pubmed"), urls.nature_doi(u).alias("nature"))
+    return Archive(spark, d).site_urls.select(
+        "id",
+        urls.arxiv_id(u).alias("arxiv"),
+        urls.biorxiv_doi(u).alias("biorxiv"),
+        urls.biorxiv_version(u).alias("version"),
+        urls.pubmed_id(u).alias("pubmed"),
+        urls.nature_doi(u).alias("nature"),
+    )
 
 
 @query(sql("""
@@ -205,7 +249,18 @@ SELECT id, CASE kind WHEN 8 THEN '10.1007/s' || n WHEN 9 THEN '10.1103/P.' || n
 def site_publishers(spark, d):
     """HP5-10, FN17."""
     u = F.col("url")
-    return Archive(spark, d).site_urls.select("id", urls.publisher_doi(u).alias("publisher"), urls.sciencedirect_pii(u).alias("pii"), urls.mitpress_isbn(u).alias("isbn"), urls.mitpress_title(u).alias("press_title"), urls.direct_mit_doi(u).alias("mit_doi"), urls.direct_mit_title(u).alias("mit_title"), urls.direct_mit_article(u)["page"].alias("mit_page"), urls.doi_of_url(u).alias("doi"), urls.researchgate_card(u)["title"].alias("gate_title"))
+    return Archive(spark, d).site_urls.select(
+        "id",
+        urls.publisher_doi(u).alias("publisher"),
+        urls.sciencedirect_pii(u).alias("pii"),
+        urls.mitpress_isbn(u).alias("isbn"),
+        urls.mitpress_title(u).alias("press_title"),
+        urls.direct_mit_doi(u).alias("mit_doi"),
+        urls.direct_mit_title(u).alias("mit_title"),
+        urls.direct_mit_article(u)["page"].alias("mit_page"),
+        urls.doi_of_url(u).alias("doi"),
+        urls.researchgate_card(u)["title"].alias("gate_title"),
+    )
 
 
 @query(sql("""
@@ -217,7 +272,16 @@ def site_pages(spark, d):
     """HP11-14, FN12, FN13, FN18."""
     u, s = F.col("url"), urls.parse_search_url(F.col("url"))
     canonical = F.when(F.col("kind").isin(14, 15, 16, 17, 18, 21), urls.canonical_url(u))
-    return Archive(spark, d).site_urls.select("id", urls.youtube_id(u).alias("video"), urls.amazon_asin(u).alias("asin"), s["engine"].alias("engine"), s["query"].alias("query"), urls.reddit_permalink(u)["post_id"].alias("post"), urls.wikipedia_page(u)["title"].alias("article"), canonical.alias("canonical"))
+    return Archive(spark, d).site_urls.select(
+        "id",
+        urls.youtube_id(u).alias("video"),
+        urls.amazon_asin(u).alias("asin"),
+        s["engine"].alias("engine"),
+        s["query"].alias("query"),
+        urls.reddit_permalink(u)["post_id"].alias("post"),
+        urls.wikipedia_page(u)["title"].alias("article"),
+        canonical.alias("canonical"),
+    )
 
 
 @query(sql("""
@@ -255,11 +319,35 @@ SELECT id, CASE WHEN id % 3 = 0 THEN 'A ' || n || '|X,Y' WHEN id % 3 = 1 THEN 'B
 def fn_replies(spark, d):
     """FN35, FN36, HP17: model replies with placeholders, joined authors and broken JSON; saved items without a sidecar."""
     n, third = F.col("n"), F.col("id") % 3
-    raw = F.when(third == 0, F.concat(F.lit('```json\n{"books": [{"title": "A '), n, F.lit('", "authors": "X and Y"}, {"title": "Unknown"}]}\n```'))).when(third == 1, F.concat(F.lit('[{"title": "B '), n, F.lit('", "authors": ["n/a"]}, {"title": "C"'))).otherwise(F.lit("nothing"))
-    loose = F.when(F.col("id") % 2 == 0, F.concat(F.lit('so: {"a": '), F.col("id").cast("string"), F.lit("} done"))).otherwise(F.lit("none"))
-    item = records.reddit_detail(F.concat(F.when(F.col("id") % 2 == 0, "t3_").otherwise("t1_"), n), F.lit("https://x.org"), F.lit(None).cast("string"), F.array(F.lit("r/sub")))
+    raw = (
+        F.when(
+            third == 0,
+            F.concat(
+                F.lit('```json\n{"books": [{"title": "A '),
+                n,
+                F.lit('", "authors": "X and Y"}, {"title": "Unknown"}]}\n```'),
+            ),
+        )
+        .when(third == 1, F.concat(F.lit('[{"title": "B '), n, F.lit('", "authors": ["n/a"]}, {"title": "C"')))
+        .otherwise(F.lit("nothing"))
+    )
+    loose = (
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit('so: {"a": '), F.col("id").cast("string"), F.lit("} done")))
+        .otherwise(F.lit("none"))
+    )
+    item = records.reddit_detail(
+        F.concat(F.when(F.col("id") % 2 == 0, "t3_").otherwise("t1_"), n),
+        F.lit("https://x.org"),
+        F.lit(None).cast("string"),
+        F.array(F.lit("r/sub")),
+    )
     shown = lambda b: F.array_join(F.transform(b, lambda x: F.concat(x["title"], F.lit("|"), F.array_join(x["authors"], ","))), ";")
-    rows = Archive(spark, d).site_urls.select("id", records.normalize_books(raw).alias("b"), records.lenient_json(loose).alias("lenient"), item.alias("r"))
+    rows = Archive(spark, d).site_urls.select(
+        "id",
+        records.normalize_books(raw).alias("b"),
+        records.lenient_json(loose).alias("lenient"),
+        item.alias("r"),
+    )
     return rows.select("id", shown(F.col("b")).alias("books"), "lenient", "r.kind", "r.subreddit", "r.permalink")
 
 
@@ -284,7 +372,10 @@ def fn_content_gate_reasons(spark, d):
 def fn_summaries(spark, d):
     """FN4, FN6: headings, tags, entities, long and missing texts."""
     n = F.col("n")
-    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("<h3>Abstract</h3> <p>x &lt; y</p> "), n)).when(F.col("id") % 3 == 1, F.repeat(F.lit("word "), 100))
+    raw = (
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("<h3>Abstract</h3> <p>x &lt; y</p> "), n))
+        .when(F.col("id") % 3 == 1, F.repeat(F.lit("word "), 100))
+    )
     return Archive(spark, d).site_urls.select("id", text.truncate_summary(raw).alias("summary"))
 
 
@@ -303,7 +394,10 @@ def fn_preprint_text(spark, d):
     """HP15: a body that opens with the abstract isn't repeated."""
     abstract = F.concat(F.lit("abs "), F.col("n"))
     body = F.when(F.col("id") % 2 == 0, F.concat(abstract, F.lit(" and more"))).otherwise(F.lit("body"))
-    return Archive(spark, d).site_urls.select("id", records.preprint_text(F.lit("T"), F.array(F.lit("A"), F.lit("B")), abstract, body).alias("text"))
+    return Archive(spark, d).site_urls.select(
+        "id",
+        records.preprint_text(F.lit("T"), F.array(F.lit("A"), F.lit("B")), abstract, body).alias("text"),
+    )
 
 
 # ── orderings, joins and reports ─────────────────────────────────────────────
@@ -312,7 +406,9 @@ def fn_preprint_text(spark, d):
 @query(sql("SELECT canonical_id, duplicate_id, score, id FROM (SELECT canonical_id, duplicate_id, CASE WHEN duplicate_id % 3 = 0 THEN NULL ELSE (duplicate_id % 7) / 10.0 END AS score, duplicate_id AS id FROM links) ORDER BY score DESC NULLS LAST, id LIMIT 25", "links"))
 def links_listed(spark, d):
     """ST3: the head of the list."""
-    own = Archive(spark, d).links.withColumns({"score": F.when(F.col("duplicate_id") % 3 > 0, F.col("duplicate_id") % 7 / 10.0), "id": F.col("duplicate_id")})
+    own = Archive(spark, d).links.withColumns(
+        {"score": F.when(F.col("duplicate_id") % 3 > 0, F.col("duplicate_id") % 7 / 10.0), "id": F.col("duplicate_id")}
+    )
     return K.listed(own, "merged").limit(25).select("canonical_id", "duplicate_id", "score", "id")
 
 
@@ -352,7 +448,11 @@ FROM p GROUP BY source""", "source_tags", "docs").replace("\nSELECT source, coun
 def collection_stats(spark, d):
     """AG16."""
     a = Archive(spark, d)
-    paths = a.source_tags.join(a.docs.select(F.col("id").alias("document_id"), "source"), "document_id").withColumnRenamed("tag_string", "tag")
+    paths = (
+        a.source_tags
+        .join(a.docs.select(F.col("id").alias("document_id"), "source"), "document_id")
+        .withColumnRenamed("tag_string", "tag")
+    )
     return T.path_tag_stats(paths, 3).withColumn("top", joined("top"))
 
 
@@ -382,7 +482,16 @@ _N = "n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)
 SELECT doc_id, round(max(s), 4) AS similarity, row_number() OVER (ORDER BY max(s) DESC, doc_id) AS rank FROM top GROUP BY doc_id ORDER BY rank LIMIT 7""")
 def image_text_hits(spark, d):
     """RK9."""
-    v = Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("vector_id"), (F.col("vec_id") % 50).alias("document_id"), F.when(F.col("vec_id") % 3 == 0, "image").otherwise("x").alias("source"), "embedding")
+    v = (
+        Archive(spark, d)
+        .raw("embeddings")
+        .select(
+            F.col("vec_id").alias("vector_id"),
+            (F.col("vec_id") % 50).alias("document_id"),
+            F.when(F.col("vec_id") % 3 == 0, "image").otherwise("x").alias("source"),
+            "embedding",
+        )
+    )
     q = v.where("vector_id = 0").select("embedding").first()["embedding"]
     return S.image_text_hits(v, q, 7).withColumn("similarity", F.round("similarity", 4))
 
@@ -394,7 +503,12 @@ def card_details(spark, d):
     """RK11."""
     a = Archive(spark, d)
     out = B.detail(a.docs, a.chunks, a.source_tags.withColumnRenamed("tag_string", "tag"), a.assignments, a.clusters)
-    return out.select("id", "n_chunks", F.size("items").cast("long").alias("n_items"), F.try_element_at("items", F.lit(1))["chunk_index"].alias("first"))
+    return out.select(
+        "id",
+        "n_chunks",
+        F.size("items").cast("long").alias("n_items"),
+        F.try_element_at("items", F.lit(1))["chunk_index"].alias("first"),
+    )
 
 
 @query("WITH t AS (SELECT DISTINCT lower(replace(p_type, ' ', '-')) AS key FROM part), s AS (SELECT DISTINCT lower(array_to_string(list_transform(string_split(p_type, ' '), lambda w: w[1]), '')) AS key FROM part), p AS (SELECT key || '-x-y' AS key FROM t UNION SELECT key || 'xy' FROM s) SELECT s.key AS alias, l.key AS canonical FROM p s JOIN p l ON s.key = array_to_string(list_transform(string_split(l.key, '-'), lambda w: w[1]), '') WHERE l.key LIKE '%-%' AND regexp_matches(s.key, '^[a-z]{2,5}$')")
@@ -425,7 +539,16 @@ def aliases_described(spark, d):
     a = Archive(spark, d)
     used, folds = folded(a)
     out = T.describe_aliases(a.aliases, folds, used, a.docs)
-    return out.select("alias", "canonical", "state", "alias_label", "alias_total", "canonical_label", "canonical_total", F.array_join("titles", "|").alias("titles"))
+    return out.select(
+        "alias",
+        "canonical",
+        "state",
+        "alias_label",
+        "alias_total",
+        "canonical_label",
+        "canonical_total",
+        F.array_join("titles", "|").alias("titles"),
+    )
 
 
 @query(sql("SELECT lang, n, CASE WHEN n < 8 THEN greatest(2, n // 3) ELSE least(50, greatest(3, CAST(round_even(sqrt(n) / 2, 0) AS BIGINT))) END AS cluster_size, CASE WHEN n < 8 THEN greatest(2, n - 1) ELSE greatest(5, least(30, n // 4)) END AS neighbours FROM (SELECT lang || id % 40 AS lang, count(*) AS n FROM docs GROUP BY 1)", "docs"))
@@ -439,7 +562,13 @@ def cluster_parameters(spark, d):
 @query("SELECT * FROM (VALUES ('off', ''), ('none', 'academic'), ('paper', 'paper'), ('preprint', 'preprint'), ('both', 'academic')) t(state, tags)")
 def browse_kinds(spark, d):
     """FN20: the tags that each browse state asks for."""
-    states = {"off": (False, ["paper"]), "none": (True, None), "paper": (True, ["paper"]), "preprint": (True, ["preprint"]), "both": (True, ["paper", "preprint"])}
+    states = {
+        "off": (False, ["paper"]),
+        "none": (True, None),
+        "paper": (True, ["paper"]),
+        "preprint": (True, ["preprint"]),
+        "both": (True, ["paper", "preprint"]),
+    }
     return spark.createDataFrame([(k, ",".join(urls.general_tag_filter(*v) or [])) for k, v in states.items()], "state string, tags string")
 
 
@@ -457,7 +586,12 @@ def link_report(spark, d):
     n = same.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("first"))
     url = same.join(n, "h").where("id <> first").select(F.lit("url").alias("match_key"))
     m = docs.groupBy("lang", "n_chars").agg(F.min("id").alias("first"))
-    doi = same.join(n.where("k = 1").select("h"), "h", "left_semi").join(m, ["lang", "n_chars"]).where("id <> first").select(F.lit("doi").alias("match_key"))
+    doi = (
+        same.join(n.where("k = 1").select("h"), "h", "left_semi")
+        .join(m, ["lang", "n_chars"])
+        .where("id <> first")
+        .select(F.lit("doi").alias("match_key"))
+    )
     return D.scan_report(url.unionByName(doi))
 
 
@@ -472,7 +606,14 @@ def links_described(spark, d):
 def match_keys(spark, d):
     """DD1."""
     n = F.col("n")
-    rows = Archive(spark, d).site_urls.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/AB."), n)).alias("doi"), F.when(F.col("id") % 3 == 0, F.concat(F.lit(" 2101."), n)).alias("arxiv_id"), F.lit("x").alias("isbn"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("http://www.example.org//"), n, F.lit("/?utm_source=a"))).alias("url_or_path"))
+    rows = Archive(spark, d).site_urls.select(
+        "id",
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/AB."), n)).alias("doi"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit(" 2101."), n)).alias("arxiv_id"),
+        F.lit("x").alias("isbn"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("http://www.example.org//"), n, F.lit("/?utm_source=a")))
+        .alias("url_or_path"),
+    )
     return D.match_keys(rows)
 
 
@@ -503,14 +644,25 @@ def browse_all_origins(spark, d):
 def insert_new(spark, d):
     """SK2: known keys stay as they are."""
     o = Archive(spark, d).raw("orders").select(F.col("o_orderkey").alias("id"))
-    return W.insert_new(o.where("id % 3 > 0").withColumn("v", F.lit("old")), o.where("id % 3 = 0 or id % 2 = 0").withColumn("v", F.lit("new")), ["id"])
+    return W.insert_new(
+        o.where("id % 3 > 0").withColumn("v", F.lit("old")),
+        o.where("id % 3 = 0 or id % 2 = 0").withColumn("v", F.lit("new")),
+        ["id"],
+    )
 
 
 @query(sql("SELECT id, CASE WHEN source = 'zotero' AND id % 3 = 0 THEN 'u' || CAST(id AS VARCHAR) ELSE url_or_path END AS url_or_path, CASE WHEN card_summary IS NULL AND source = 'zotero' AND id % 3 = 0 THEN 'filled' ELSE card_summary END AS card_summary FROM docs", "docs"))
 def refresh_zotero(spark, d):
     """SK3."""
     docs = Archive(spark, d).docs
-    new = docs.where("id % 3 = 0").select("source_id", F.concat(F.lit("u"), F.col("id").cast("string")).alias("url_or_path"), F.lit("filled").alias("card_summary"))
+    new = (
+        docs.where("id % 3 = 0")
+        .select(
+            "source_id",
+            F.concat(F.lit("u"), F.col("id").cast("string")).alias("url_or_path"),
+            F.lit("filled").alias("card_summary"),
+        )
+    )
     return W.refresh_zotero(docs, new, ["card_summary"]).select("id", "url_or_path", "card_summary")
 
 
@@ -544,7 +696,17 @@ def readable_vectors(spark, d):
     """SK18: null, cut, non-finite and whole vectors."""
     e = F.col("embedding")
     k = F.col("vec_id") % 5
-    broken = F.when(k == 0, F.slice(e, 1, 3)).when(k == 1, F.transform(e, lambda x: F.when(F.col("vec_id") % 2 == 0, F.lit("NaN").cast("float")).otherwise(F.lit(None).cast("float")))).otherwise(e)
+    broken = (
+        F.when(k == 0, F.slice(e, 1, 3))
+        .when(
+            k == 1,
+            F.transform(
+                e,
+                lambda x: F.when(F.col("vec_id") % 2 == 0, F.lit("NaN").cast("float")).otherwise(F.lit(None).cast("float")),
+            ),
+        )
+        .otherwise(e)
+    )
     v = Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("document_id"), broken.alias("embedding"))
     size = Archive(spark, d).raw("embeddings").select(F.size("embedding").alias("n")).first()
     return V.readable(v, size["n"] if size else 0).select("document_id")
@@ -555,7 +717,10 @@ SELECT document_id, id AS cluster_id, c < 0 AS is_noise FROM l JOIN k USING (c)"
 def run_tables(spark, d):
     """SK13: a run's clusters and assignments."""
     e = Archive(spark, d).raw("embeddings")
-    level1 = e.select(F.col("vec_id").alias("document_id"), F.when(F.col("label") == 9, -1).otherwise(F.col("label")).cast("long").alias("cluster_id"))
+    level1 = e.select(
+        F.col("vec_id").alias("document_id"),
+        F.when(F.col("label") == 9, -1).otherwise(F.col("label")).cast("long").alias("cluster_id"),
+    )
     clusters, rows = C.run_tables(level1, e.select(F.col("vec_id").alias("document_id"), "embedding"), 3, 1700000000, 5)
     return rows.join(clusters.select("cluster_id", "is_noise"), "cluster_id").select("document_id", "cluster_id", "is_noise")
 
@@ -569,7 +734,13 @@ def alias_accepted(spark, d):
 @query(sql("SELECT run_id, CASE WHEN run_id % 2 = 0 AND run_id < 6 THEN 'aborted' ELSE 'running' END AS status, CASE WHEN run_id % 2 = 0 AND run_id < 6 THEN 200000 WHEN run_id % 2 = 1 THEN 5 END AS finished_at FROM runs", "runs"))
 def stale_runs(spark, d):
     """EN1."""
-    runs = Archive(spark, d).runs.withColumns({"started_at": F.col("run_id") * 20000, "finished_at": F.when(F.col("run_id") % 2 == 1, 5).cast("long"), "status": F.lit("running")})
+    runs = Archive(spark, d).runs.withColumns(
+        {
+            "started_at": F.col("run_id") * 20000,
+            "finished_at": F.when(F.col("run_id") % 2 == 1, 5).cast("long"),
+            "status": F.lit("running"),
+        }
+    )
     return W.close_stale_runs(runs, 200000, 100000).select("run_id", "status", "finished_at")
 
 
@@ -588,7 +759,14 @@ def reddit_sidecar(spark, d):
     """HP21: nulls don't erase."""
     docs = Archive(spark, d).docs.select(F.col("id").alias("document_id"))
     old = docs.where("document_id % 3 = 0").select("document_id", F.lit("old").alias("kind"), F.lit("kept").alias("subreddit"))
-    new = docs.where("document_id % 2 = 0").select("document_id", F.lit("post").alias("kind"), F.when((F.col("document_id") % 4 == 0) & (F.col("document_id") % 3 > 0), "new").alias("subreddit"))
+    new = (
+        docs.where("document_id % 2 = 0")
+        .select(
+            "document_id",
+            F.lit("post").alias("kind"),
+            F.when((F.col("document_id") % 4 == 0) & (F.col("document_id") % 3 > 0), "new").alias("subreddit"),
+        )
+    )
     return W.upsert_reddit(old, new)
 
 
@@ -597,8 +775,24 @@ def run_states(spark, d):
     """CL15, IN3: the accepted run, and whether a full one is due."""
     a = Archive(spark, d)
     runs = C.accept_run(a.runs.withColumn("accepted", F.lit(True)), 3)
-    n = a.raw("embeddings").agg(F.max("vec_id").alias("newest"), F.count_if(F.col("vec_id") % 2 == 0).alias("new"), F.count("*").alias("all")).first()
-    return C.active_run(runs).select(F.col("run_id").cast("int").alias("run_id"), F.lit(1).alias("n_runs"), F.lit(C.needs_full_run(True, True, n["new"], n["all"])).alias("due"), F.lit(n["newest"]).alias("newest"))
+    n = (
+        a.raw("embeddings")
+        .agg(
+            F.max("vec_id").alias("newest"),
+            F.count_if(F.col("vec_id") % 2 == 0).alias("new"),
+            F.count("*").alias("all"),
+        )
+        .first()
+    )
+    return (
+        C.active_run(runs)
+        .select(
+            F.col("run_id").cast("int").alias("run_id"),
+            F.lit(1).alias("n_runs"),
+            F.lit(C.needs_full_run(True, True, n["new"], n["all"])).alias("due"),
+            F.lit(n["newest"]).alias("newest"),
+        )
+    )
 
 
 @query(sql("SELECT a.document_id, a.document_id * 0.5 AS x, a.document_id * 0.25 AS y, CASE WHEN a.document_id % 2 = 0 THEN a.cluster_id END AS cluster_id, d.title FROM assignments a LEFT JOIN docs d ON d.id = a.document_id", "assignments", "docs"))
@@ -606,7 +800,11 @@ def cluster_scatter(spark, d):
     """CL14."""
     a = Archive(spark, d)
     point = F.struct("document_id", (F.col("document_id") * 0.5).alias("x"), (F.col("document_id") * 0.25).alias("y"))
-    runs = a.assignments.groupBy("run_id", (F.col("document_id") % 64).alias("part")).agg(F.to_json(F.collect_list(point)).alias("umap_points"))
+    runs = (
+        a.assignments
+        .groupBy("run_id", (F.col("document_id") % 64).alias("part"))
+        .agg(F.to_json(F.collect_list(point)).alias("umap_points"))
+    )
     return C.scatter(runs, a.assignments.where("document_id % 2 = 0"), a.docs)
 
 
@@ -622,7 +820,12 @@ def purge_run(spark, d):
 @query(sql("SELECT run_id AS session_id, CASE WHEN run_id = 4 THEN 'accepted' WHEN run_id % 2 = 0 THEN 'archived' ELSE 'accepted' END AS status FROM runs", "runs"))
 def session_accepted(spark, d):
     """LR8: an accepted session of the same tag is archived."""
-    s = Archive(spark, d).runs.select(F.col("run_id").alias("session_id"), F.when(F.col("run_id") % 2 == 0, "even").otherwise("odd").alias("tag"), F.lit("accepted").alias("status"), F.lit(None).cast("long").alias("accepted_at"))
+    s = Archive(spark, d).runs.select(
+        F.col("run_id").alias("session_id"),
+        F.when(F.col("run_id") % 2 == 0, "even").otherwise("odd").alias("tag"),
+        F.lit("accepted").alias("status"),
+        F.lit(None).cast("long").alias("accepted_at"),
+    )
     return L.accept_session(s, 4, 9).select("session_id", "status")
 
 
@@ -632,7 +835,10 @@ def session_accepted(spark, d):
 def _planted(spark, d, noise: float):
     """Vectors around one axis for each label, so that the right clusters are known."""
     e = Archive(spark, d).raw("embeddings")
-    axis = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.col("vec_id") % 7 * noise).otherwise(0.0))
+    axis = F.transform(
+        F.sequence(F.lit(0), F.lit(11)),
+        lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.col("vec_id") % 7 * noise).otherwise(0.0),
+    )
     return e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding"))
 
 
@@ -662,7 +868,10 @@ def cluster_density(spark, d):
 def cluster_levels(spark, d):
     """CL6, CL7: planted groups, and the two halves of each."""
     e = Archive(spark, d).raw("embeddings")
-    axis = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.when(F.col("vec_id") % 7 < 3, 0.3).otherwise(-0.3)).otherwise(0.0))
+    axis = F.transform(
+        F.sequence(F.lit(0), F.lit(11)),
+        lambda i: F.when(i == F.col("label"), 1.0).when(i == 11, F.when(F.col("vec_id") % 7 < 3, 0.3).otherwise(-0.3)).otherwise(0.0),
+    )
     return _least(E.two_levels(e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding")), 10, 2).drop("parent_id"), "level")
 
 
@@ -689,13 +898,24 @@ def rechunked(spark, d):
     half = F.floor(F.col("n") / 2).cast("int")
     block = lambda i, at, n, page: F.struct(F.lit(i).alias("index"), F.lit("s").alias("title"), F.lit(page).alias("page_start"), F.lit(page + 1).alias("page_end"), at.alias("offset"), n.alias("length"))
     blocks = F.array(block(0, F.lit(0), half, 1), block(1, half, (F.col("n") - half).cast("int"), 3))
-    texts = spark.sql(_TEXTS.replace("FROM docs", "FROM {docs}"), docs=a.docs).withColumn("blocks", F.when(F.col("mapped") == 1, blocks).otherwise(F.slice(blocks, 1, 0)))
+    texts = (
+        spark.sql(_TEXTS.replace("FROM docs", "FROM {docs}"), docs=a.docs)
+        .withColumn("blocks", F.when(F.col("mapped") == 1, blocks).otherwise(F.slice(blocks, 1, 0)))
+    )
     return Y.rechunk(a.docs, texts, a.chunks)[1].select("document_id", "removed", "first_index")
 
 
 def _purged(spark, d, target: str, **scope):
     a = Archive(spark, d)
-    tables = {"documents": a.docs, "chunks": a.chunks, "document_texts": a.texts, "overlay_tags": a.overlay_tags, "fetch_log": a.fetch_log, "images": a.images, "runs": a.runs}
+    tables = {
+        "documents": a.docs,
+        "chunks": a.chunks,
+        "document_texts": a.texts,
+        "overlay_tags": a.overlay_tags,
+        "fetch_log": a.fetch_log,
+        "images": a.images,
+        "runs": a.runs,
+    }
     return P.purge_target(tables, target, **scope)[0]
 
 
@@ -726,7 +946,15 @@ s AS (SELECT id, domain, n, ts AS slot FROM r WHERE n = 1 UNION ALL SELECT r.id,
 SELECT id, domain, round(slot, 3) AS slot FROM s""")
 def fetch_slots(spark, d):
     """IN7: slots of two seconds by kind of event."""
-    rows = Archive(spark, d).raw("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("domain"), F.expr("event_id div 7").cast("double").alias("ts"))
+    rows = (
+        Archive(spark, d)
+        .raw("events")
+        .select(
+            F.col("event_id").alias("id"),
+            F.col("event_type").alias("domain"),
+            F.expr("event_id div 7").cast("double").alias("ts"),
+        )
+    )
     return Q.fetch_slots(rows, 2.0).select("id", "domain", F.round("slot", 3).alias("slot"))
 
 
@@ -753,7 +981,11 @@ def progress_changes(spark, d):
 @query(sql("SELECT id AS document_id, nullif(trim(substr(title || ' of ' || lang, 1, 30)), '') AS summary FROM docs WHERE length(title || ' of ' || lang) <= 4000", "docs"))
 def summaries_of_titles(spark, d):
     """RC4 with a toy leaf, on texts that fit one call; longer ones are tested on fixtures."""
-    docs = Archive(spark, d).docs.select(F.col("id").alias("document_id"), F.concat("title", F.lit(" of "), "lang").alias("text")).where("length(text) <= 4000")
+    docs = (
+        Archive(spark, d).docs
+        .select(F.col("id").alias("document_id"), F.concat("title", F.lit(" of "), "lang").alias("text"))
+        .where("length(text) <= 4000")
+    )
     return Z.summarize(docs, lambda t: F.substring(t, 1, 30), 4000, depth=1)
 
 
@@ -763,6 +995,10 @@ def reembedded(spark, d):
     e = Archive(spark, d).raw("embeddings")
     sessions = spark.createDataFrame([(1, "accepted"), (2, "accepted"), (3, "accepted"), (4, "open")], "session_id int, status string")
     label = F.when(F.col("session_id") == 3, 1).otherwise((F.col("label") % (F.col("session_id") + 1) == 0).cast("int"))
-    labels = e.select(F.col("vec_id").alias("document_id"), "label").crossJoin(F.broadcast(sessions.select("session_id"))).select("session_id", "document_id", label.alias("label"), F.lit("manual").alias("source"))
+    labels = (
+        e.select(F.col("vec_id").alias("document_id"), "label")
+        .crossJoin(F.broadcast(sessions.select("session_id")))
+        .select("session_id", "document_id", label.alias("label"), F.lit("manual").alias("source"))
+    )
     _, models, dropped = Z.reembed(e.select(F.col("vec_id").alias("document_id"), "embedding"), sessions, labels)
     return spark.createDataFrame([(s, True) for s, *_ in models] + [(s, False) for s in dropped], "session_id int, kept boolean")

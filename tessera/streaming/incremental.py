@@ -24,22 +24,52 @@ def changed_items(stream: DataFrame, key: str, payload: list[str], ts: str = "ts
 
 def windowed_counts(stream: DataFrame, by: str, ts: str = "ts", window: str = "1 day", delay: str = "2 days") -> DataFrame:
     """Counts by event-time window, late rows dropped after the delay."""
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
-
-
-def ingest(stream: DataFrame, known: Callable[[], DataFrame], keys: list[str], write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    return (
+        stream.withWatermark(ts, delay)
+        .groupBy(F.window(ts, window), by)
+        .agg(F.count("*").alias("n"))
+        .select(F.col("window.start").alias("start"), by, "n")
+    )
+
+
+def ingest(
+    stream: DataFrame,
+    known: Callable[[], DataFrame],
+    keys: list[str],
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    **trigger,
+) -> StreamingQuery:
     """IN1: each micro-batch's rows of unknown keys go to ``write``; a batch that runs again writes the same rows."""
     def batch(rows: DataFrame, number: int) -> None:
         write(rows.dropDuplicates(keys).join(known().select(*keys), keys, "left_anti"), number)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
-
-
-def on_arrival(stream: DataFrame, hooks: list[Callable[[DataFrame], DataFrame]], write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    return (
+        stream.writeStream
+        .foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger or {"availableNow": True})
+        .start()
+    )
+
+
+def on_arrival(
+    stream: DataFrame,
+    hooks: list[Callable[[DataFrame], DataFrame]],
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    **trigger,
+) -> StreamingQuery:
     """IN2, IN8: hooks (assignment to clusters, learned tags) run over each micro-batch of new vectors."""
     def batch(rows: DataFrame, number: int) -> None:
         for hook in hooks:
             rows = hook(rows)
         write(rows, number)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+    return (
+        stream.writeStream
+        .foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger or {"availableNow": True})
+        .start()
+    )
