@@ -99,6 +99,14 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    out = align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") + F.col("n_b") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
 
