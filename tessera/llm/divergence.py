@@ -43,7 +43,7 @@ GROUPS = 100_000
 #: Entries that a task holds before it hands its counts on; bytes of a text that are split at once.
 HELD, SLICE = 1 << 19, 1 << 20
 #: Rows of a block of terms; shares that a tile of a block compares at once.
-BLOCK, TILE = 1 << 16, 1 << 21
+BLOCK, TILE = 1 << 13, 1 << 21
 #: Shares are below 2**BITS; each round of the selection looks at STEP bits.
 BITS, STEP = 30, 10
 
