@@ -32,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def broadcast_bytes(spark: SparkSession) -> int:
     """The session's bound for broadcast sides, spark.sql.autoBroadcastJoinThreshold, in bytes; below 0 for none."""
     number, unit = (

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 SIZE = 8
 MIN_TOKENS = 5
@@ -244,12 +244,9 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
-    found = cut(
-        find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options)
-        .select(F.col("doc_id").alias("_tessera_id"), F.col("th").alias("_tessera_th"))
-        .distinct()
-    )
+    id_, th = free_name(docs, "_tessera_id"), free_name(docs, "_tessera_th")
+    found = cut(find_leaks(docs, benchmark, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct())
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(found, on=[F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")], how="left_anti")
+    return docs.join(found, on=[F.col("doc_id").eqNullSafe(F.col(id_)), key == F.col(th)], how="left_anti")

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash prefixes in many trees, then exact verification.
 
 Texts are sets of five-word shingles.  Texts with one and the same set form a copy
 class, and only one text of a class goes on.  Every class has a MinHash signature
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 
-from .common import cut, mix, row_slices, text_bytes, window_hashes, word_bounds, word_hashes
+from .common import cut, free_name, mix, row_slices, text_bytes, window_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -360,26 +360,17 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Of rows with one doc_id and text the one with the least hash of all columns stays.
     """
-    found = (
-        jaccard_join(docs, **options)
-        .where("not is_kept")
-        .select(
-            F.col("doc_id").alias("_tessera_id"),
-            F.col("th").alias("_tessera_th"),
-            F.col("is_repeat").alias("_tessera_repeat"),
-        )
-    )
+    id_, th, again_, row_ = (free_name(docs, n) for n in ("_tessera_id", "_tessera_th", "_tessera_repeat", "_tessera_row"))
+    found = jaccard_join(docs, **options).where("not is_kept").select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("is_repeat").alias(again_))
     found = cut(found.distinct())
-    stat = found.agg(F.count("*").alias("rows"), F.count_if("_tessera_repeat").alias("repeats")).first()
+    stat = found.agg(F.count("*").alias("rows"), F.count_if(again_).alias("repeats")).first()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    on = [F.col("doc_id").eqNullSafe(F.col("_tessera_id")), key == F.col("_tessera_th")]
+    on = [F.col("doc_id").eqNullSafe(F.col(id_)), key == F.col(th)]
     rest = docs.join(small(found, stat["rows"]), on=on, how="left_anti")
     if not stat["repeats"]:
         return rest
-    again = docs.join(small(found.where("_tessera_repeat"), stat["repeats"]), on=on, how="left_semi")
-    hashed = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    one = (
-        again.groupBy("doc_id", key.alias("_tessera_th"))
-        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_tessera_row"))
-    )
-    return rest.unionByName(one.select("_tessera_row.*"))
+    again = docs.join(small(found.where(F.col(again_)), stat["repeats"]), on=on, how="left_semi")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    hashed = [c for c, f in zip(quoted, docs.schema.fields) if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    one = again.groupBy("doc_id", key.alias(th)).agg(F.min_by(F.struct(*quoted), F.xxhash64(*hashed)).alias(row_))
+    return rest.unionByName(one.select(f"{row_}.*"))

@@ -13,7 +13,7 @@ neighbouring pieces would stay apart when merged by rank, which leaves exactly o
 admissible path for each prefix, the model's own segmentation.  So the search is
 the same with a path score of 0 or minus infinity.
 
-Pieces never hold a space mark behind another character, so all paths meet in front
+Pieces hold no space mark behind another character (a model in which one does is refused), so all paths meet in front
 of a run of spaces, and the ids up to there are committed; what is searched and
 committed between two such boundaries is remembered, in a bounded cache.  Inside a
 long stretch without spaces the search looks for a common boundary itself.
@@ -22,8 +22,8 @@ Plan: narrow Arrow batches next to the scan, no shuffle.  The driver reads the
 model file (path given) and broadcasts its tables, a few MB that don't depend on
 the data.
 
-The model's type and normaliser are read from its file; a model that normalises text
-in any other way than by one space in front is refused.
+The model's type, pieces and normaliser are read from its file; a model with user-defined
+symbols, or that normalises text in any other way than by one space in front, is refused.
 
 Defined cases: null text encodes to null and null ids decode to null; empty text
 has no ids; a character outside the vocabulary becomes its UTF-8 byte pieces (the
@@ -39,6 +39,7 @@ import hashlib
 import math
 import pickle
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -68,9 +69,9 @@ def merge_by_rank(parts: list[str], rank: dict[str, int]) -> tuple[list[str], tu
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-def _fields(raw: bytes) -> dict[int, int | bytes]:
-    """The last value of each field of a protocol buffer message: a number, or the bytes of a part."""
-    out, at = {}, 0
+def _parts(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol buffer message in order: numbers, or the bytes of parts."""
+    at = 0
 
     def number() -> int:
         nonlocal at
@@ -84,11 +85,16 @@ def _fields(raw: bytes) -> dict[int, int | bytes]:
     while at < len(raw):
         key = number()
         if key & 7 == 0:
-            out[key >> 3] = number()
+            yield key >> 3, number()
         else:
             n = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
-            out[key >> 3], at = raw[at : at + n], at + n
-    return out
+            at += n
+            yield key >> 3, raw[at - n : at]
+
+
+def _fields(raw: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a message."""
+    return dict(_parts(raw))
 
 
 def model_kind(proto: bytes) -> str:
@@ -101,6 +107,11 @@ def model_kind(proto: bytes) -> str:
         raise ValueError(f"model type {trainer.get(3)} is neither unigram nor bpe")
     if trainer.get(24, 0):
         raise ValueError("white space as a suffix isn't supported")
+    pieces = [_fields(raw) for field, raw in _parts(proto) if field == 1]
+    if any(p.get(3, 1) == 4 for p in pieces):
+        raise ValueError("models with user-defined symbols, which are cut out before the search, aren't supported")
+    if any(MARK in p[1].decode().lstrip(MARK) for p in pieces if p.get(3, 1) == 1):
+        raise ValueError("models with a space mark inside a piece aren't supported: texts are cut at spaces first")
     if normalizer.get(2, b""):
         raise ValueError("models that rewrite characters before they encode aren't supported")
     if not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):

@@ -1,4 +1,5 @@
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
@@ -41,3 +42,19 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+CLASHING = ["_tessera_row", "_tessera_id", "_tessera_th", "n_words", "n_removed", "intervals", "kept_text", "own", "ids2", "th", "row"]
+
+
+def test_columns_of_documents_stay(spark):
+    """Columns named like those that the operators use pass through with their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(3)).select("*", *[F.lit(-7).cast("int").alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == -7 for r in rows for c in CLASHING), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == [*docs.columns, "ids", "round_trip"] and last.select("own").first()[0] == -7

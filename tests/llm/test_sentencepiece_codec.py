@@ -92,3 +92,14 @@ def test_models_are_read_or_refused(model):
     for raw in refused:
         with pytest.raises(ValueError):
             model_kind(raw)
+
+
+def test_models_with_other_pieces_are_refused(model):
+    """A space mark inside a piece, and symbols that the library cuts out first."""
+    sp, _ = model
+    proto = sp.serialized_model_proto()
+    piece = lambda text, kind: bytes([1 << 3 | 2, len(text.encode()) + 4]) + bytes([1 << 3 | 2, len(text.encode())]) + text.encode() + bytes([3 << 3, kind])
+    assert model_kind(proto + piece("▁▁x", 1)) == "bpe" and model_kind(proto + piece("a▁b", 3)) == "bpe"
+    for odd in (piece("▁a▁b", 1), piece("a▁", 1), piece("<mark>", 4)):
+        with pytest.raises(ValueError):
+            model_kind(proto + odd)
