@@ -6,7 +6,7 @@ return the columns of documents; the last adds the ids of each text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
@@ -33,13 +33,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere too; untouched texts stay as they are."""
-    out = substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    """Documents without the passages that occur elsewhere too; untouched texts stay as they are.
+
+    A document's other columns travel as one struct, so that none meets a column of the operator.
+    """
+    others = [c for c in docs.columns if c.lower() != "text"]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    out = substring_dedup(docs.select(F.col("doc_id"), F.col("text"), F.struct(*map(quoted, others)).alias("own")))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+
+    def column(c: str) -> Column:
+        if c.lower() == "text":
+            return text.alias(c)
+        own = F.col("own." + quoted(c))
+        return F.when(changed, F.length("kept_text")).otherwise(own).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own.alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 @shipped
