@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's shared checkpoint folder and cut its lineage.
+def shared_base(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
     Without that setting a folder of this machine serves in local mode, where driver and
     executors are one; on a cluster it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not base:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        base = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_base(spark)}/tessera-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's shared checkpoint folder and cut its lineage."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 

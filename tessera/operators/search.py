@@ -79,10 +79,12 @@ def bm25(rows: DataFrame, columns: list[str], phrase: str) -> DataFrame:
     return counted.where("_f > 0").crossJoin(F.broadcast(whole)).withColumn("score", score).drop("_d", "_f", "_n", "_m", "_avg")
 
 
-def keyword_hits(docs: DataFrame, chunks: DataFrame, query: str, sources: list[str] | None = None) -> DataFrame:
+def keyword_hits(docs: DataFrame, chunks: DataFrame, query: str, sources: list[str] | None = None, heads=None, bodies=None) -> DataFrame:
     """RK2, RK3: title and card matches first, then matches in chunks by the best one; similarity is null.
 
-    A query under three characters matches titles like a pattern, in order of id.
+    ``heads`` and ``bodies`` are text indexes of titles and cards by document id, and of chunk
+    texts by chunk id; without them the tables are scanned.  A query under three characters
+    matches titles like a pattern, in order of id.
     """
     query = query.strip()
     own = docs.where(F.col("source").isin(sources)) if sources else docs
@@ -93,9 +95,17 @@ def keyword_hits(docs: DataFrame, chunks: DataFrame, query: str, sources: list[s
         )
     else:
         keep = own.select(F.col("id").alias("doc_id"))
-        head = bm25(docs, ["title", "card_summary"], query).select(F.col("id").alias("doc_id"), F.lit(0).alias("tier"), "score")
+        if heads:
+            head = heads.bm25(query).withColumnRenamed("row_id", "id")
+        else:
+            head = bm25(docs, ["title", "card_summary"], query)
+        head = head.select(F.col("id").alias("doc_id"), F.lit(0).alias("tier"), "score")
+        if bodies:
+            found = chunks.select(F.col("id").alias("row_id"), "document_id").join(bodies.bm25(query), "row_id")
+        else:
+            found = bm25(chunks, ["text"], query)
         body = (
-            bm25(chunks, ["text"], query)
+            found
             .groupBy(F.col("document_id").alias("doc_id"))
             .agg(F.min("score").alias("score"))
             .select("doc_id", F.lit(1).alias("tier"), "score")
@@ -142,7 +152,7 @@ def merge_clip(hits: DataFrame, clip: DataFrame) -> DataFrame:
             F.coalesce("rank", F.col("r2") + 1_000_000_000).alias("r"),
         )
     )
-    return _ranked(both, F.col("similarity").desc_nulls_last(), "r", "doc_id").select("doc_id", "similarity", "rank")
+    return _ranked_widely(both, F.col("similarity").desc_nulls_last(), "r", "doc_id").select("doc_id", "similarity", "rank")
 
 
 def fold_duplicates(hits: DataFrame, links: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from ..operators import search as S
 from ..operators import tags as T
 from ..operators import vectors as V
 from ..operators import writes as W
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, shared_folder
+from ..operators.text_index import TextIndex
 from ..sources import connectors as X
 from .archive import Archive, sql
 
@@ -722,11 +723,46 @@ s AS (SELECT count(*) AS n, sum(CAST(f > 0 AS INTEGER)) AS m, avg(d) AS avgd FRO
 head AS (SELECT id, -greatest(ln((n - m + 0.5) / (m + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgd)) AS score FROM g, s WHERE f > 0)"""
 
 
-@query(sql("", "docs").rstrip() + f",\n{_BM}\nSELECT id, round(score, 8) AS score FROM head")
+_INDEXES: dict[tuple, tuple[TextIndex, TextIndex]] = {}
+
+
+def _indexes(spark, d) -> tuple[TextIndex, TextIndex]:
+    """Text indexes of titles and cards, and of chunks; written once a session and table folder, then opened."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        a, path = Archive(spark, d), shared_folder(spark)
+        _INDEXES[key] = (
+            TextIndex.create(spark, f"{path}/heads", ["title", "card_summary"]).append(a.docs),
+            TextIndex.create(spark, f"{path}/bodies", ["text"]).append(a.chunks),
+        )
+    return _INDEXES[key]
+
+
+_BM_ALL = sql("", "docs").rstrip() + f",\n{_BM}\nSELECT id, round(score, 8) AS score FROM head"
+
+
+@query(_BM_ALL)
 def keyword_bm25(spark, d):
-    """RK2: match set and score of titles and cards."""
-    a = Archive(spark, d)
-    return S.bm25(a.docs, ["title", "card_summary"], "tion").select("id", F.round("score", 8).alias("score"))
+    """RK2: match set and score of titles and cards, from the text index."""
+    return _indexes(spark, d)[0].bm25("tion").select(F.col("row_id").alias("id"), F.round("score", 8).alias("score"))
+
+
+@query(_BM_ALL)
+def keyword_scan(spark, d):
+    """RK2: the same without an index."""
+    return S.bm25(Archive(spark, d).docs, ["title", "card_summary"], "tion").select("id", F.round("score", 8).alias("score"))
+
+
+@query(_BM_ALL.replace("lower(coalesce(title, '')) AS a", "CASE WHEN id % 5 = 1 THEN 'station to station' ELSE lower(coalesce(title, '')) END AS a").replace("FROM docs),\ng AS", "FROM docs WHERE id % 7 > 0),\ng AS"))
+def keyword_changes(spark, d):
+    """RK2: scores after upserts, deletes and a merge of the index."""
+    docs = Archive(spark, d).docs.select("id", "title", "card_summary")
+    index = TextIndex.create(spark, f"{shared_folder(spark)}/changed", ["title", "card_summary"])
+    index = index.append(docs.where("id % 2 = 0")).append(docs.where("id % 2 = 1"))
+    index = index.upsert(docs.where("id % 5 = 1").withColumn("title", F.lit("Station to station"))).delete(docs.where("id % 7 = 0"))
+    index = index.merge()
+    index.vacuum()
+    return index.bm25("tion").select(F.col("row_id").alias("id"), F.round("score", 8).alias("score"))
 
 
 @query(sql("", "docs", "chunks").rstrip() + """,
@@ -736,8 +772,9 @@ SELECT id AS doc_id, CAST(id IN (SELECT id FROM f) AS BOOLEAN) AS in_head FROM (
 def keyword_substring(spark, d):
     """RK2: which documents match, and where."""
     a = Archive(spark, d)
-    hits = S.keyword_hits(a.docs, a.chunks, "tionth")
-    n = S.bm25(a.docs, ["title", "card_summary"], "tionth").select(F.col("id").alias("doc_id"), F.lit(True).alias("h"))
+    heads, bodies = _indexes(spark, d)
+    hits = S.keyword_hits(a.docs, a.chunks, "tionth", heads=heads, bodies=bodies)
+    n = heads.search("tionth").select(F.col("row_id").alias("doc_id"), F.lit(True).alias("h"))
     return hits.join(n, "doc_id", "left").select("doc_id", F.coalesce("h", F.lit(False)).alias("in_head"))
 
 
@@ -748,7 +785,8 @@ def keyword_short(spark, d):
     return S.keyword_hits(a.docs, a.chunks, " qu ").select("doc_id", "rank")
 
 
-def _hybrid(a: Archive):
+def _hybrid(a: Archive, d):
+    heads, bodies = _indexes(a._spark, d)
     v = (
         a.raw("embeddings")
         .select(
@@ -759,14 +797,14 @@ def _hybrid(a: Archive):
         )
     )
     q = v.where("vector_id = 0").select("embedding").first()["embedding"]
-    return S.fold_duplicates(S.hybrid(S.semantic_hits(v, q, 20), S.keyword_hits(a.docs, a.chunks, "tionth")), a.links)
+    return S.fold_duplicates(S.hybrid(S.semantic_hits(v, q, 20), S.keyword_hits(a.docs, a.chunks, "tionth", heads=heads, bodies=bodies)), a.links)
 
 
 @query()
 def search_hybrid(spark, d):
     """RK1, RK2, RK4, RK6-8, FL9: the flagship search."""
     a = Archive(spark, d)
-    page = S.paginate(B.restrict_hits(_hybrid(a), a.docs, statuses=["fetched", "pending"]), 20)
+    page = S.paginate(B.restrict_hits(_hybrid(a, d), a.docs, statuses=["fetched", "pending"]), 20)
     out = B.cards(a.docs, a.chunks, a.source_tags.withColumnRenamed("tag_string", "tag"), a.assignments, a.clusters)
     return page.join(out.select(F.col("id").alias("doc_id"), "source", "title", "description", "tags", "cluster"), "doc_id").orderBy("rank")
 
@@ -780,7 +818,7 @@ u AS (SELECT id, s FROM sem UNION ALL SELECT id, NULL FROM (SELECT id FROM f UNI
 SELECT coalesce(l.canonical_id, u.id) AS doc_id, round(max(s), 4) AS similarity FROM u LEFT JOIN links l ON u.id = l.duplicate_id GROUP BY 1""")
 def hybrid_fold(spark, d):
     """RK4, RK6, SO3: members and scores of the fused, folded hits."""
-    return _hybrid(Archive(spark, d)).select("doc_id", F.round("similarity", 4).alias("similarity"))
+    return _hybrid(Archive(spark, d), d).select("doc_id", F.round("similarity", 4).alias("similarity"))
 
 
 @query("""

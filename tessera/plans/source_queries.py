@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -24,7 +22,7 @@ from ..operators import tags as T
 from ..operators import tree as E
 from ..operators import vectors as V
 from ..operators import writes as W
-from ..operators.graph import cut
+from ..operators.graph import shared_folder
 from ..sources import connectors as X
 from ..streaming import incremental as I
 from .archive import Archive, sql
@@ -157,15 +155,6 @@ def image_files(spark, d):
     return X.image_files(spark, [d], ("*.parquet",)).select("filename", "file_size")
 
 
-def _folder(spark) -> str:
-    """A new folder below the session's checkpoint folder, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        cut(spark.range(1))  # settles the folder of a local session
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
 @query("SELECT 't' || CAST(event_id % 3 AS VARCHAR) || '_' || CAST(event_id AS VARCHAR) AS source_id, CASE event_id % 3 WHEN 1 THEN 'comment' WHEN 2 THEN 'other' ELSE 'post' END AS kind, event_type AS subreddit, 'body ' || event_type AS body FROM events".replace("'t' || CAST(event_id % 3 AS VARCHAR)", "CASE event_id % 3 WHEN 1 THEN 't1' WHEN 2 THEN 't2' ELSE 't3' END"))
 def reddit_feed(spark, d):
     """SC12: archived feed pages, written and read back."""
@@ -177,7 +166,7 @@ def reddit_feed(spark, d):
         "event_type",
         "event_type",
     )
-    path = _folder(spark)
+    path = shared_folder(spark)
     pages = (
         Archive(spark, d)
         .raw("events")
@@ -192,7 +181,7 @@ def reddit_feed(spark, d):
 def archive_log(spark, d):
     """SC13: an archive's lines, written and read back; broken ones are left out."""
     line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
-    path = _folder(spark)
+    path = shared_folder(spark)
     Archive(spark, d).raw("events").select(
         F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")
     ).write.text(path)
@@ -203,7 +192,7 @@ def archive_log(spark, d):
 def stream_ingest(spark, d):
     """IN1: a stream's rows of unknown keys, each once."""
     rows = Archive(spark, d).raw("documents").select("doc_id", "lang")
-    base = _folder(spark)
+    base = shared_folder(spark)
     rows.union(rows.where("doc_id % 2 = 0")).write.parquet(f"{base}/in")
     stream = I.read_new(spark, f"{base}/in", rows.schema)
     put = lambda df, number: df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -215,7 +204,7 @@ def stream_ingest(spark, d):
 def stream_hooks(spark, d):
     """IN8: hooks over each micro-batch of arrivals."""
     rows = Archive(spark, d).raw("documents").select("doc_id", "lang")
-    base = _folder(spark)
+    base = shared_folder(spark)
     rows.write.parquet(f"{base}/in")
     hooks = [lambda df: df.withColumn("placed", F.col("doc_id") % 7), lambda df: df.where("placed > 1")]
     put = lambda df, number: df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
