@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -49,11 +50,11 @@ ROOM, END = 2048, 0
 #: Large pieces are longer than 1/4, 1/3 or 1/2 of a sequence (at most three go into one); their groups.
 SHARES, GROUPS = (4, 3, 2), (64, 128)
 #: Words that a worker remembers; characters of a text that are split at once.
-REMEMBER, SLICE = 500_000, 1 << 20
+REMEMBER, SLICE = 250_000, 1 << 20
 
 
 class Words(dict):
-    """Ids of the words of a text, as little-endian unsigned 32-bit numbers, remembered by word.
+    """Ids of the words of a text, as little-endian unsigned 32-bit numbers, remembered by word (and the generation before).
 
     Words are what spaces separate.  For a tokenizer that drops white space and whose
     patterns don't look over it (``apart``), a text's ids are those of its words.
@@ -78,38 +79,58 @@ class Words(dict):
             and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
             and not any(c["lstrip"] or c["rstrip"] or " " in c["content"] for c in said.get("added_tokens", []))
         )
-        self.marks = tuple({c["content"][:1] for c in said.get("added_tokens", [])})
+        self.marks = frozenset(c["content"][0] for c in said.get("added_tokens", []))
         self.pattern = regex.compile(self.PATTERN)
-        self.model = self.whole.model
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.apart = self.apart and self._rank(said["model"])
+
+    def _rank(self, model: dict) -> bool:
+        """Merges by rank over bytes, where the byte 0xFF stands for the end of a word; whether the model allows for it."""
+        import tiktoken
+
         solid = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
-        self.letters = {b: b if b in set(solid) else next(rest) for b in range(256)}
+        byte = {(b if b in set(solid) else next(rest)): b for b in range(256)}
+        suffix, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+
+        def raw(token: str) -> bytes:
+            bare = token.removesuffix(suffix) if suffix and token != suffix else token
+            return bytes(byte[ord(c)] for c in bare) + (b"\xff" if bare != token else b"")
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        try:
+            order = [bytes([b]) for b in range(256)] + [bytes([b, 255]) for b in range(256)] + [raw(a + b) for a, b in merges]
+            ids = {raw(t): i for t, i in vocab.items() if t not in {c.content for c in self.whole.get_added_tokens_decoder().values()}}
+        except KeyError:  # tokens that aren't bytes
+            return False
+        if not suffix or len(set(order)) != len(order) or any(t not in ids for t in order):
+            return False
+        self.one = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})._encode_single_piece
+        self.id_of = [ids[t] for t in order]
+        return True
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) >= REMEMBER // 2:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = found
-        return found
+        return array("I", [self.id_of[r] for r in self.one(piece.encode() + b"\xff")]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # Latin letters in composed form are lowered and cut here; the library sees the rest as it is.
-        if word and max(word) < "ɐ" and min(word) > "\x20" and "\x7f" not in word and not any(m in word for m in self.marks) and unicodedata.is_normalized("NFC", word):
-            low = word.lower()
-            if low.isalpha():
-                found = self._piece(low)
+        found = self.older.get(word)
+        if found is None:
+            # Latin letters in composed form are lowered and cut here; the library sees the rest as it is.
+            latin = word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word))
+            if word and latin and word.isprintable() and self.marks.isdisjoint(word):
+                low = word.lower()
+                if low.isalpha():
+                    found = self._piece(low)
+                elif low[:-1].isalpha() and not low[-1].isalnum():
+                    found = self._piece(low[:-1]) + self._piece(low[-1])
+                else:
+                    found = b"".join(map(self._piece, self.pattern.findall(low)))
             else:
-                found = b"".join(map(self._piece, self.pattern.findall(low)))
-        else:
-            found = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBER:
-            self.clear()
+                found = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
+            if len(self) >= REMEMBER:
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
@@ -330,6 +351,7 @@ def pack(docs: DataFrame, room: int = ROOM, end: int = END, tokenizer: str = TOK
     fields = [("id", kind), ("h", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     schema = T.StructType([T.StructField(n, k) for n, k in fields + [("ids", T.ArrayType(T.LongType()))] * ids])
     made = slim.mapInArrow(_pieces(config, room, end, ids), schema)
+    made = cut(made)  # ranges are found by a sample, which would tokenise all texts once more
     made = made.withColumns({"h": F.xxhash64("h", "piece"), "read": F.monotonically_increasing_id()})
     order = ["length", "h", "read"]
     ranked = cut(made.repartitionByRange(*order).sortWithinPartitions(*order).drop("h", "read"))
