@@ -36,6 +36,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order, name: str) -> DataFrame:
+    """Rows numbered from 0 in an order, whatever their number.
+
+    They are dealt out by ranges of the order, sorted in place and checkpointed, so that numbers
+    stay as they are if a task runs again; a number is the rows of the ranges before (one count
+    for each, the only thing the driver sees) and the place in its own.
+    """
+    at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    ahead = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), (part + 1).cast("int"))
+    return at.withColumn(name, ahead + F.col("_at") - F.shiftleft(part, 33)).drop("_at")
+
+
 #: A node with more neighbours than this, and than 1 / 100,000 of all edges, is joined by a broadcast.
 CROWDED = 512
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import numbered
 from .links import merged
 from .vectors import top_k
 
@@ -20,23 +20,8 @@ def _ranked(hits: DataFrame, *order) -> DataFrame:
 
 
 def _ranked_widely(hits: DataFrame, *order) -> DataFrame:
-    """Ranks from 1 for any number of hits.
-
-    Hits are dealt out by ranges of the order and sorted in place; a rank is the number of
-    hits in the ranges before (one count for each, the only thing the driver sees) and the
-    place in its own.  The sorted hits are checkpointed, so that ranks stay as they are if a
-    task runs again.
-    """
-    at = cut(hits.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=0) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    place = F.col("_at") - F.shiftleft(part, 33)
-    ahead = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), (part + 1).cast("int"))
-    return at.withColumn("rank", ahead + place + 1).drop("_at")
+    """Ranks from 1 for any number of hits, from sorted ranges."""
+    return numbered(hits, *order, name="rank").withColumn("rank", F.col("rank") + 1)
 
 
 def semantic_hits(chunks: DataFrame, query: list[float], limit: int = 20, offset: int = 0, sources: list[str] | None = None) -> DataFrame:

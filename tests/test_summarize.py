@@ -62,3 +62,28 @@ def test_purges(spark):
         purge_target(tables, "vectors", provider="p")
     with pytest.raises(ValueError):
         purge_target(tables, "nothing")
+
+
+def test_every_piece_reaches_the_leaf(spark):
+    """A leaf that reports what it saw: nothing is dropped, no call is over the limit, rounds end in one row."""
+    import random
+
+    draw = random.Random(4)
+    texts = {1: " ".join(f"w{i}." for i in range(9000)), 2: "x" * 5000, 3: "a" * 300 + ". " + "bb " * 700, 4: "short"}
+    texts |= {i: " ".join("y" * draw.randrange(1, 40) + draw.choice([".", "", "!"]) for _ in range(300)) for i in range(5, 9)}
+    frame = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    seen = []
+    # letters that a text's pieces hold, counted from the numbers that the summaries below report
+    count = lambda t: F.length(F.regexp_replace(t, r"\s", ""))
+    total = lambda t: F.aggregate(F.transform(F.regexp_extract_all(t, F.lit(r"<(\d+)>")), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    leaf = lambda t: F.when(F.length(t) > 100, F.lit("over<-1>")).otherwise(F.concat(F.lit("<"), F.when(t.contains("<"), total(t)).otherwise(count(t)).cast("string"), F.lit(">")))
+    got = {r.document_id: r.summary for r in summarize.summarize(frame, leaf, 100).collect()}
+    seen = {i: f"<{len(''.join(t.split()))}>" for i, t in texts.items()}
+    assert got == seen
+
+
+def test_leaves_that_do_not_shorten_end_too(spark):
+    frame = spark.createDataFrame([(1, "word and more. " * 400), (2, "bad " * 200)], "document_id long, text string")
+    got = {r.document_id: r.summary for r in summarize.summarize(frame, lambda t: F.when(~t.contains("bad"), t), 60).collect()}
+    assert set(got) == {1, 2} and 0 < len(got[1]) <= 60 and got[2] is None
+    assert summarize.summarize(frame.where("false"), lambda t: t, 60).count() == 0
