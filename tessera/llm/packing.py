@@ -32,7 +32,6 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -50,7 +49,7 @@ ROOM, END = 2048, 0
 #: Large pieces are longer than 1/4, 1/3 or 1/2 of a sequence (at most three go into one); their groups.
 SHARES, GROUPS = (4, 3, 2), (64, 128)
 #: Words that a worker remembers; characters of a text that are split at once.
-REMEMBER, SLICE = 250_000, 1 << 20
+REMEMBER, SLICE = 500_000, 1 << 20
 
 
 class Words(dict):
@@ -79,7 +78,9 @@ class Words(dict):
             and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
             and not any(c["lstrip"] or c["rstrip"] or " " in c["content"] for c in said.get("added_tokens", []))
         )
-        self.marks = frozenset(c["content"][0] for c in said.get("added_tokens", []))
+        #: Begins a special token, so that a word without it holds none.
+        marks = {c["content"][0] for c in said.get("added_tokens", [])}
+        self.mark = marks.pop() if len(marks) == 1 else ""
         self.pattern = regex.compile(self.PATTERN)
         self.older: dict[str, bytes] = {}
         self.apart = self.apart and self._rank(said["model"])
@@ -106,18 +107,18 @@ class Words(dict):
         if not suffix or len(set(order)) != len(order) or any(t not in ids for t in order):
             return False
         self.one = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})._encode_single_piece
-        self.id_of = [ids[t] for t in order]
+        self.raw = [ids[t].to_bytes(4, "little") for t in order]
         return True
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [self.id_of[r] for r in self.one(piece.encode() + b"\xff")]).tobytes()
+        return b"".join(map(self.raw.__getitem__, self.one(piece.encode() + b"\xff")))
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
             # Latin letters in composed form are lowered and cut here; the library sees the rest as it is.
             latin = word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word))
-            if word and latin and word.isprintable() and self.marks.isdisjoint(word):
+            if word and latin and word.isprintable() and self.mark not in word:
                 low = word.lower()
                 if low.isalpha():
                     found = self._piece(low)
