@@ -47,7 +47,7 @@ def summarize(texts: DataFrame, leaf: Callable[[Column], Column], limit: int = L
         return rows.select("document_id", said(F.col("text")).alias("summary"))
     long = F.coalesce(F.length("text") > limit, F.lit(False))
     done = rows.where(~long).select("document_id", said(F.col("text")).alias("summary"))
-    pieces = rows.where(long).select("document_id", F.posexplode(_cut(limit)(F.col("text"))).alias("slot", "text"))
+    pieces = rows.where(long).select("document_id", F.posexplode_outer(_cut(limit)(F.col("text"))).alias("slot", "text"))
     level = cut(pieces.select("document_id", "slot", said(F.col("text")).alias("said")))
     lost = level.groupBy("document_id").agg(F.max("said").alias("summary")).where("summary is null")
     done, level = done.unionByName(lost), level.where("said is not null")

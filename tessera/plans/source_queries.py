@@ -10,6 +10,7 @@ from ..functions import numbers, records, text, urls
 from ..operators import browse as B
 from ..operators import clusters as C
 from ..operators import dedup as D
+from ..operators import dendrogram as G
 from ..operators import learn as L
 from ..operators import links as K
 from ..operators import pacing as Q
@@ -864,6 +865,29 @@ def cluster_levels(spark, d):
     return _least(E.two_levels(e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding")), 10, 2).drop("parent_id"), "level")
 
 
+def _vectors(spark, d):
+    return Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+
+
+@query()
+def tree_of_embeddings(spark, d):
+    """CL4: the merges of Ward's tree over all embeddings; tested against the definition."""
+    rows, n = G.leaves(_vectors(spark, d))
+    return E.merges_of(rows, n).select("node", "a", "b", F.round("height", 6).alias("height"))
+
+
+@query()
+def levels_of_embeddings(spark, d):
+    """CL6, CL7: two levels of clusters over all embeddings."""
+    return E.two_levels(_vectors(spark, d), 10)
+
+
+@query()
+def density_of_embeddings(spark, d):
+    """CL3: density clusters of all embeddings; tested against the definition."""
+    return E.density_clusters(_vectors(spark, d))
+
+
 @query()
 def cluster_best_cut(spark, d):
     """CL5: silhouettes of the cuts that are tried; tested on planted groups."""
@@ -978,6 +1002,20 @@ def summaries_of_titles(spark, d):
     return Z.summarize(docs, lambda t: F.substring(t, 1, 30), 4000, depth=1)
 
 
+@query("SELECT doc_id AS document_id, '⟦' || CAST(length(text) - length(replace(text, 'e', '')) AS VARCHAR) || '⟧' AS summary FROM documents")
+def summaries_of_texts(spark, d):
+    """RC4: the whole reduction over whole texts, with a leaf that counts a letter and adds counts up."""
+    docs = Archive(spark, d).raw("documents").select(F.col("doc_id").alias("document_id"), "text")
+
+    def leaf(t):
+        told = F.transform(F.regexp_extract_all(t, F.lit("⟦(\\d+)⟧")), lambda x: x.cast("long"))
+        seen = (F.length(t) - F.length(F.replace(t, F.lit("e"), F.lit("")))).cast("long")
+        total = F.when(t.contains("⟦"), F.aggregate(told, F.lit(0).cast("long"), lambda a, b: a + b)).otherwise(seen)
+        return F.concat(F.lit("⟦"), total.cast("string"), F.lit("⟧"))
+
+    return Z.summarize(docs, leaf, 500)
+
+
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, false)) t(session_id, kept)")
 def reembedded(spark, d):
     """RC3: the sessions that keep a model after vectors are rebuilt (the third has one class only)."""

@@ -83,7 +83,7 @@ def test_every_piece_reaches_the_leaf(spark):
 
 
 def test_leaves_that_do_not_shorten_end_too(spark):
-    frame = spark.createDataFrame([(1, "word and more. " * 400), (2, "bad " * 200)], "document_id long, text string")
+    frame = spark.createDataFrame([(1, "word and more. " * 400), (2, "bad " * 200), (3, " " * 200)], "document_id long, text string")
     got = {r.document_id: r.summary for r in summarize.summarize(frame, lambda t: F.when(~t.contains("bad"), t), 60).collect()}
-    assert set(got) == {1, 2} and 0 < len(got[1]) <= 60 and got[2] is None
+    assert set(got) == {1, 2, 3} and 0 < len(got[1]) <= 60 and got[2] is None and got[3] is None
     assert summarize.summarize(frame.where("false"), lambda t: t, 60).count() == 0
