@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import calibre_year, iso_seconds, zotero_year
+from ..operators.graph import cut
 
 #: Levels of a folder tree that are followed.
 DEPTH = 32
@@ -41,7 +42,8 @@ def tree_paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """SC2, SC6: (id, path) of folders (id, parent, title): titles from the root down, joined by slashes.
 
     Every round lifts all unfinished chains at once by doubling, so a depth of 32
-    takes five joins; a cycle ends where the depth ends.
+    takes five joins; a cycle ends where the depth ends.  Rounds are checkpointed, so that
+    the plan doesn't double with them, and end once no chain is open.
     """
     own = nodes.select(
         "id",
@@ -50,17 +52,11 @@ def tree_paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
     up = own.select(F.col("id").alias("up"), F.lit(1).alias("known"))
     rows = own.join(up, "up", "left").select("id", F.when(F.col("known") == 1, F.col("up")).alias("up"), F.array("title").alias("parts"))
-    reach = 1
-    while reach < depth:
+    reach, rows = 1, cut(rows)
+    while reach < depth and not rows.where(F.col("up").isNotNull()).isEmpty():
         above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("parts").alias("higher"))
-        rows = (
-            rows.join(above, "up", "left")
-            .select(
-                "id",
-                F.col("next").alias("up"),
-                F.when(F.col("higher").isNull(), F.col("parts")).otherwise(F.concat("higher", "parts")).alias("parts"),
-            )
-        )
+        parts = F.when(F.col("higher").isNull(), F.col("parts")).otherwise(F.concat("higher", "parts"))
+        rows = cut(rows.join(above, "up", "left").select("id", F.col("next").alias("up"), parts.alias("parts")))
         reach *= 2
     return rows.select("id", F.array_join(F.filter(F.col("parts"), lambda p: p != ""), "/").alias("path"))
 
