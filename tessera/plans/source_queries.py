@@ -10,7 +10,6 @@ from ..functions import numbers, records, text, urls
 from ..operators import browse as B
 from ..operators import clusters as C
 from ..operators import dedup as D
-from ..operators import dendrogram as G
 from ..operators import learn as L
 from ..operators import links as K
 from ..operators import pacing as Q
@@ -865,29 +864,6 @@ def cluster_levels(spark, d):
     return _least(E.two_levels(e.select(F.col("vec_id").alias("document_id"), axis.alias("embedding")), 10, 2).drop("parent_id"), "level")
 
 
-def _vectors(spark, d):
-    return Archive(spark, d).raw("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-
-
-@query()
-def tree_of_embeddings(spark, d):
-    """CL4: the merges of Ward's tree over all embeddings; tested against the definition."""
-    rows, n = G.leaves(_vectors(spark, d))
-    return E.merges_of(rows, n).select("node", "a", "b", F.round("height", 6).alias("height"))
-
-
-@query()
-def levels_of_embeddings(spark, d):
-    """CL6, CL7: two levels of clusters over all embeddings."""
-    return E.two_levels(_vectors(spark, d), 10)
-
-
-@query()
-def density_of_embeddings(spark, d):
-    """CL3: density clusters of all embeddings; tested against the definition."""
-    return E.density_clusters(_vectors(spark, d))
-
-
 @query()
 def cluster_best_cut(spark, d):
     """CL5: silhouettes of the cuts that are tried; tested on planted groups."""
