@@ -36,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table below the shared checkpoint folder, for rounds that read what the last round left.
+
+    It cuts lineage as ``cut`` does.  But a checkpoint keeps the size that was estimated for the
+    plan behind it, and a join's estimate is the product of its sides: when each round joins what
+    the last one left with itself, the estimate's digits double every round, and planning soon
+    takes longer than running (14 rounds: over 100,000 digits).  A table's size is that of its files.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, *order, name: str) -> DataFrame:
     """Rows numbered from 0 in an order, whatever their number.
 
