@@ -18,6 +18,7 @@ from ..operators import purge as P
 from ..operators import rechunk as Y
 from ..operators import reports as R
 from ..operators import search as S
+from ..operators import sentences as N
 from ..operators import summarize as Z
 from ..operators import tags as T
 from ..operators import tree as E
@@ -888,6 +889,30 @@ def density_of_embeddings(spark, d):
     return E.density_clusters(_vectors(spark, d))
 
 
+_CLOSERS, _OPENERS = "[\"'”“’)\\]»]", "[\"'“„‘(\\[«¿¡]"
+_TYPES = f"""w AS (SELECT unnest(regexp_extract_all('¶ ' || regexp_replace(coalesce(text, ''), '\\n[\\x20\\x09-\\x0D]*\\n', ' ¶ ', 'g'), '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+t AS (SELECT lower(regexp_replace(regexp_replace(w, '^{_OPENERS.replace("'", "''")}+', ''), '([.!?…]+{_CLOSERS.replace("'", "''")}*|[,;:]|{_CLOSERS.replace("'", "''")})+$', '')) AS core,
+  regexp_extract(w, '([.!?…]+){_CLOSERS.replace("'", "''")}*$', 1) = '.' AS period FROM w WHERE w <> '¶'),
+c AS (SELECT CASE WHEN regexp_matches(core, '^[0-9][0-9.,]*$') THEN '##' ELSE core END AS type, count(*) FILTER (WHERE period) AS k, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT CAST(sum(k) AS DOUBLE) / sum(n) AS p FROM c),
+s AS (SELECT type, k, n - k AS m, length(type) - length(replace(type, '.', '')) AS dots, greatest(1e-12, least(1 - 1e-12, p)) AS p FROM c, p WHERE k > 0 AND regexp_matches(type, '\\p{{L}}')),
+r AS (SELECT type, k, m, 2 * (k * ln(0.99) + m * ln(1 - 0.99) - k * ln(p) - m * ln(1 - p)) * exp(-(length(type) - dots)) * (dots + 1) * exp(-m * ln(length(type) - dots)) AS score FROM s)"""
+
+
+@query(f"WITH {_TYPES} SELECT type, CAST(k AS BIGINT) AS with_period, CAST(m AS BIGINT) AS without, round(score, 3) AS score FROM r WHERE score >= 0.3")
+def sentence_abbreviations(spark, d):
+    """FN3: abbreviations that the whole texts teach."""
+    table = N.counts(Archive(spark, d).raw("documents").select(F.col("text").alias("body")))
+    return N.abbreviations(table).withColumn("score", F.round("score", 3))
+
+
+@query()
+def sentences_trained(spark, d):
+    """FN3: every whole text in sentences by the model that all texts teach; tested on four languages."""
+    texts = Archive(spark, d).raw("documents").select("doc_id", F.col("text").alias("body"))
+    return N.split(texts, N.train(texts)).select("doc_id", "sentences")
+
+
 @query()
 def cluster_best_cut(spark, d):
     """CL5: silhouettes of the cuts that are tried; tested on planted groups."""
