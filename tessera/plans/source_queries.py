@@ -217,6 +217,74 @@ def stream_hooks(spark, d):
 # ── sites and records ────────────────────────────────────────────────────────
 
 
+_LETTERS = "b AS (SELECT doc_id AS id, lang, source, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS a FROM documents)"
+
+
+def _letters(spark, d):
+    """Documents with the letters of their whole text (``a``), which replies of other services are made of."""
+    letters = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    return Archive(spark, d).raw("documents").select(F.col("doc_id").alias("id"), "lang", "source", letters.alias("a"))
+
+
+@query(f"""WITH {_LETTERS} SELECT id, CASE WHEN a <> '' THEN '2101.' || id END AS arxiv, CASE WHEN a <> '' THEN 'Odd ' || source || ' ' || id END AS title,
+  CASE WHEN a <> '' THEN 'A ' || lang || '|B ' || source END AS authors, nullif(a, '') AS abstract, CASE WHEN a <> '' THEN lang || '|' || source END AS kinds,
+  CASE WHEN a <> '' THEN '10.1101/' || id END AS doi, CASE WHEN a <> '' THEN CAST(CASE WHEN id % 2 = 0 THEN id % 5 + 1 ELSE 1 END AS INTEGER) END AS version, CASE WHEN a <> '' THEN lang END AS category FROM b""")
+def parsed_preprints(spark, d):
+    """HP1, HP2: replies about preprints, one of each service for every document, whose abstract is its text."""
+    atom = F.format_string(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.%sv%s</id><title> Odd %s\n%s</title><summary> %s </summary><author><name>A %s</name></author>'
+        '<author><name>B %s</name></author><category term="%s"/><category term="%s"/></entry><entry><id>http://arxiv.org/abs/9</id><title>Next</title></entry></feed>',
+        "id", (F.col("id") % 3 + 1).cast("string"), "source", "id", "a", "lang", "source", "lang", "source",
+    )
+    row = F.struct(
+        F.lit(" T ").alias("title"), F.col("a").alias("abstract"), F.concat(F.lit("10.1101/"), "id").alias("doi"),
+        F.when(F.col("id") % 2 == 0, (F.col("id") % 5 + 1).cast("string")).alias("version"), F.col("lang").alias("category"),
+    )
+    replies = _letters(spark, d).select("id", records.parse_arxiv_atom(atom).alias("x"), records.parse_biorxiv_detail(F.to_json(F.struct(F.array(row).alias("collection")))).alias("b"))
+    return replies.select(
+        "id", F.col("x.arxiv_id").alias("arxiv"), "x.title", F.array_join("x.authors", "|").alias("authors"), "x.abstract",
+        F.array_join("x.categories", "|").alias("kinds"), "b.doi", "b.version", "b.category",
+    )
+
+
+@query(f"""WITH {_LETTERS} SELECT id, CAST(id AS VARCHAR) AS pmid, 'On ' || lang AS title, source || ' I' AS authors, 'Aim: ' || a || ' End: ' || lang || CASE WHEN id % 2 = 0 THEN ' more' ELSE '' END AS abstract,
+  CAST(1990 + id % 30 AS INTEGER) AS year, '10.1000/x' || id AS doi FROM b WHERE a <> ''""")
+def parsed_articles(spark, d):
+    """HP3: a reply for every document with letters, whose labelled abstract holds its text; half have a bare part behind."""
+    xml = F.format_string(
+        "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>%s</PMID><Article><ArticleTitle>On %s</ArticleTitle><Abstract><AbstractText Label='AIM'>%s</AbstractText><AbstractText Label='END'>%s</AbstractText>%s</Abstract>"
+        "<AuthorList><Author><LastName>%s</LastName><Initials>I</Initials></Author><Author><CollectiveName>C</CollectiveName></Author></AuthorList><Journal><JournalIssue><PubDate><Year>%s</Year></PubDate></JournalIssue></Journal></Article>"
+        "</MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType='pii'>p</ArticleId><ArticleId IdType='doi'>10.1000/X%s</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>",
+        "id", "lang", "a", "lang", F.when(F.col("id") % 2 == 0, "<AbstractText>more</AbstractText>").otherwise(""), "source", (F.col("id") % 30 + 1990).cast("string"), "id",
+    )
+    got = _letters(spark, d).where("a <> ''").select("id", records.parse_pubmed_xml(xml).alias("x"))
+    return got.select("id", "x.pmid", "x.title", F.array_join("x.authors", "|").alias("authors"), "x.abstract", "x.year", "x.doi")
+
+
+@query(f"""WITH {_LETTERS} SELECT id, 'Clip ' || id AS clip, CASE WHEN id % 2 = 0 THEN lang ELSE '' END AS channel, source AS subreddit, CASE WHEN id % 3 = 0 THEN a ELSE '' END AS selftext,
+  CASE WHEN id % 3 <> 0 THEN 'https://x.org/' || id END AS link, lang || '|' || CASE WHEN a = '' THEN '' ELSE a || '|' END || source AS comments, 'Lamp & ' || source AS product, nullif(a, '') AS about FROM b""")
+def parsed_pages(spark, d):
+    """HP12-14: a video's, a thread's and a product's reply for every document, which hold its text."""
+    id_ = F.col("id")
+    video = F.to_json(F.struct(F.concat(F.lit(" Clip "), "id").alias("title"), F.when(id_ % 2 == 0, F.col("lang")).alias("author_name")))
+    entry = lambda kind, **data: F.struct(F.lit(kind).alias("kind"), F.struct(*[c.alias(k) for k, c in data.items()]).alias("data"))
+    own = id_ % 3 == 0
+    post = entry("t3", title=F.concat(F.lit("Thread "), "id"), subreddit=F.col("source"), is_self=own, selftext=F.when(own, F.col("a")), url=F.concat(F.lit("https://x.org/"), "id"))
+    said = lambda author, body, kind="t1": entry(kind, author=F.lit(author), body=body)
+    talk = F.array(
+        said("x", F.col("lang")), said("y", F.lit("[deleted]")), said("AutoModerator", F.lit("rules")), said("z", F.col("a")),
+        said("x", F.lit("  ")), said("m", F.lit("later"), "more"), said("v", F.col("source")),
+    )
+    page = lambda children: F.to_json(F.struct(F.struct(children.alias("children")).alias("data")))
+    thread = F.concat(F.lit("["), page(F.array(post)), F.lit(","), page(talk), F.lit("]"))
+    shop = F.format_string('<html><title>Shop</title><meta content="%s" name="description"><span class="a" id="productTitle"> Lamp &amp; <b>%s</b></span></html>', "a", "source")
+    got = _letters(spark, d).select("id", records.parse_oembed(video).alias("v"), records.parse_reddit_listing(thread).alias("r"), records.amazon_page(shop).alias("s"))
+    return got.select(
+        "id", F.col("v.title").alias("clip"), F.col("v.author_name").alias("channel"), "r.subreddit", "r.selftext", F.col("r.external_url").alias("link"),
+        F.array_join("r.comments", "|").alias("comments"), F.col("s.title").alias("product"), F.col("s.summary").alias("about"),
+    )
+
+
 @query(sql("""
 SELECT id, CASE kind WHEN 0 THEN '2101.' || n WHEN 1 THEN '2101.' || n END AS arxiv, CASE kind WHEN 2 THEN '10.1101/' || n WHEN 3 THEN '10.1101/' || n END AS biorxiv, CASE kind WHEN 2 THEN 2 END AS version,
   CASE WHEN kind IN (4, 5) THEN n END AS pubmed, CASE kind WHEN 6 THEN '10.1038/s' || n WHEN 7 THEN '10.1038/n' || n END AS nature FROM site_urls""", "site_urls"))
