@@ -618,9 +618,10 @@ def cluster_parameters(spark, d):
     return spark.createDataFrame(rows, "lang string, n long, cluster_size long, samples long, neighbours long").drop("samples")
 
 
-@query("SELECT * FROM (VALUES ('off', ''), ('none', 'academic'), ('paper', 'paper'), ('preprint', 'preprint'), ('both', 'academic')) t(state, tags)")
+@query("""SELECT doc_id AS id, state FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'preprint' END AS kind FROM documents)
+JOIN (VALUES ('off', ''), ('none', 'academic'), ('paper', 'paper'), ('preprint', 'preprint'), ('both', 'academic')) t(state, tag) ON tag = '' OR tag = kind OR (tag = 'academic' AND kind IS NOT NULL)""")
 def browse_kinds(spark, d):
-    """FN20: the tags that each browse state asks for."""
+    """FN20: the documents that each browse state shows, by the tags that it asks for."""
     states = {
         "off": (False, ["paper"]),
         "none": (True, None),
@@ -628,7 +629,51 @@ def browse_kinds(spark, d):
         "preprint": (True, ["preprint"]),
         "both": (True, ["paper", "preprint"]),
     }
-    return spark.createDataFrame([(k, ",".join(urls.general_tag_filter(*v) or [])) for k, v in states.items()], "state string, tags string")
+    kind = F.when(F.col("doc_id") % 3 == 0, "paper").when(F.col("doc_id") % 3 == 1, "preprint")
+    docs = Archive(spark, d).raw("documents").select(F.col("doc_id").alias("id"), F.array_compact(F.array(F.when(kind.isNotNull(), "academic"), kind)).alias("tags"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("state"), F.array(*[F.lit(t) for t in urls.general_tag_filter(*v) or []]).cast("array<string>").alias("tags")) for k, v in states.items()])
+    shown = F.filter(wanted, lambda w: F.size(F.array_except(w["tags"], F.col("tags"))) == 0)
+    return docs.select("id", F.explode(shown).alias("w")).select("id", "w.state")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p),
+o AS (SELECT id, i, length(t) AS n, coalesce(sum(length(t) + 2) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM e),
+k AS (SELECT id, min(i) FILTER (WHERE ahead > 0 AND ahead - 2 + n > 500) - 1 AS kept FROM o GROUP BY 1)
+SELECT id, array_to_string(l, chr(10) || chr(10)) AS body, CAST(len(l) AS INTEGER) AS n_blocks, CAST(coalesce(kept, len(l)) AS INTEGER) AS n_kept FROM p LEFT JOIN k USING (id)""")
+def section_texts(spark, d):
+    """FN26: the lines of whole texts as sections: their joined text, their blocks, and those within 500 characters."""
+    none = F.lit(None).cast("long")
+    line = lambda t, i: F.struct(i.alias("index"), F.lit("").alias("title"), none.alias("page_start"), none.alias("page_end"), t.alias("text"))
+    rows = Archive(spark, d).raw("documents").select(F.col("doc_id").alias("id"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line).alias("s"))
+    rows = rows.select("id", text.section_text(F.col("s")).alias("body"), text.section_blocks(F.col("s")).alias("b"))
+    return rows.select("id", "body", F.size("b").alias("n_blocks"), F.size(text.truncate_blocks(F.col("b"), max_chars=500)).alias("n_kept"))
+
+
+@query("""SELECT doc_id AS id, concat_ws(chr(10) || chr(10), 'Clip ' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Channel: ' || source END, nullif(trim(text), ''), CASE WHEN doc_id % 3 = 0 THEN 'Tags: ' || lang || ', ' || source END) AS video,
+CASE WHEN doc_id % 4 = 0 THEN trim(coalesce(text, '')) ELSE concat_ws(chr(10) || chr(10), 'Item ' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 'by ' || lang || ', ' || source END, nullif(trim(text), '')) END AS item FROM documents""")
+def embed_texts(spark, d):
+    """FN29: what is embedded of videos and of library items, with whole texts."""
+    id_, none = F.col("doc_id"), F.array().cast("array<string>")
+    names = F.when(id_ % 3 == 0, F.array("lang", "source")).otherwise(none)
+    channel = F.when(id_ % 2 == 0, F.concat(F.lit(" "), "source")).otherwise(" ")
+    kind = F.when(id_ % 4 == 0, "annotation").otherwise("book")
+    return Archive(spark, d).raw("documents").select(
+        id_.alias("id"),
+        records.youtube_embed_text(F.concat(F.lit(" Clip "), id_), channel, F.col("text"), names).alias("video"),
+        records.zotero_embed_text(kind, F.concat(F.lit("Item "), id_), names, F.col("text"), F.col("text")).alias("item"),
+    )
+
+
+@query("SELECT page_id AS id, page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 11 <> 0 AS same FROM pages")
+def citations(spark, d):
+    """HP8: records against the volume, issue and first page that an article's url names; some differ in one of them, or have no article."""
+    id_ = F.col("page_id")
+    volume, issue, page = id_ % 40 + 1, F.concat(F.lit("1a"), (id_ % 4).cast("string")), id_ % 300 + 1
+    url = F.format_string("https://direct.mit.edu/%s/article/%s/%s/%s/%s", F.when(id_ % 11 == 0, "no/such").otherwise("jrn"), volume.cast("string"), issue, page.cast("string"), id_.cast("string"))
+    pages = F.concat(F.lit(" "), (page + F.when(id_ % 7 == 0, 1).otherwise(0)).cast("string"), F.lit("-999"))
+    same = urls.citation_matches(volume + F.when(id_ % 5 == 0, 1).otherwise(0), F.upper(issue), pages, urls.direct_mit_article(url))
+    return Archive(spark, d).raw("pages").select(id_.alias("id"), same.alias("same"))
 
 
 @query(sql(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(body || 'ab-' || chr(10) || 'cd' || chr(10) || chr(10) || chr(10) || chr(10) || 'e'), '([0-9A-Za-z_])-\n([0-9A-Za-z_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM docs".replace("\\\\", "\\"), "docs"))
