@@ -211,10 +211,9 @@ def forest(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     )
     nodes = classes.select("cid", F.explode(prefixes).alias("n")).select("cid", "n.*")
     crowded = nodes.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("bucket")
-    held = cut(nodes.join(crowded, "bucket"))
-    per = held.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("m"))
+    held = nodes.join(crowded, "bucket").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("m"))
     meets = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0).cast("long")) for t in range(trees)])
-    rows = cut(held.join(per.select("cid", meets.alias("meets")), "cid"))
+    rows = held.select("cid", "m", meets.alias("meets")).select("cid", "meets", F.explode("m").alias("tree", "bucket"))
     ends = (
         rows.groupBy("tree", "bucket")
         .agg(*[f(F.col("meets")[t]).alias(f"{n}{t}") for t in range(trees) for f, n in ((F.min, "a"), (F.max, "b"))])

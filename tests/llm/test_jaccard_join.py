@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from tessera.llm.jaccard_join import drop_near_copies, jaccard_join, matched_depth
+from tessera.operators.graph import connected_components
 
 
 def shingles(t):
@@ -119,3 +121,20 @@ def test_recall_of_the_forest(spark, threshold):
     got = sum(r.n_links for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect())
     print(f"recall at {threshold}: {got / want:.4f} of {want}")
     assert 0.998 * want <= got <= want
+
+
+def checkpoints(spark):
+    return len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("rdd-*")))
+
+
+def test_few_checkpoints(spark):
+    """Texts, classes, buckets, links and edges, then one for each round of the components; stars need no round."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = checkpoints(spark)
+    assert len(jaccard_join(docs, block=7, block_shingles=900).collect()) == len(rows)
+    assert 5 <= checkpoints(spark) - before <= 5 + 3
+    stars = spark.createDataFrame([(k, k % 5) for k in range(60)] + [(k, k) for k in range(5)], "a long, b long")
+    before = checkpoints(spark)
+    assert {(r.node, r.root) for r in connected_components(stars, "a", "b").collect()} == {(k, k % 5) for k in range(60)}
+    assert checkpoints(spark) - before == 1
