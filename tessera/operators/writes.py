@@ -176,9 +176,9 @@ def with_ids(rows: DataFrame, order: list, start: int = 1, id_col: str = "id") -
     return rows.withColumn(id_col, (F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)).cast("long"))
 
 
-def reject_image(rejections: DataFrame, incoming: DataFrame) -> DataFrame:
-    """HP20: image rejections by path, the new reason replacing the old."""
-    return upsert(rejections, incoming, ["path"], overwrite=("reason", "text_coverage", "image_type", "rejected_at"), keep=())
+def reject_image(rejections: DataFrame, incoming: DataFrame, key: str = "path") -> DataFrame:
+    """HP20: image rejections by path (or by image, where paths repeat), the new reason replacing the old."""
+    return upsert(rejections, incoming, [key], overwrite=("reason", "text_coverage", "image_type", "rejected_at"), keep=())
 
 
 def upsert_reddit(items: DataFrame, incoming: DataFrame) -> DataFrame:
