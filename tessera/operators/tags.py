@@ -114,11 +114,12 @@ def initialism_pairs(tags: DataFrame) -> DataFrame:
     return short.join(long, "alias").select("alias", "canonical")
 
 
-def semantic_pairs(tags: DataFrame, vectors: DataFrame, threshold: float = 0.92, least: int = 2, most: int = 5000) -> DataFrame:
-    """TF5: (alias, canonical, score) of much-used keys whose vectors (key, embedding) are alike."""
+def semantic_pairs(tags: DataFrame, vectors: DataFrame, threshold: float = 0.92, least: int = 2, most: int | None = 5000) -> DataFrame:
+    """TF5: (alias, canonical, score) of much-used keys whose vectors (key, embedding) are alike; ``most`` None: all of them."""
     from .vectors import similar_pairs
 
-    top = tags.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(most)
+    top = tags.where(F.col("n") >= least)
+    top = top if most is None else top.orderBy(F.desc("n"), "key").limit(most)
     pairs = similar_pairs(vectors.join(top, "key"), "key", "embedding", threshold)
     n = top.select("key", "n")
     full = pairs.join(n.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"key": "b", "n": "nb"}), "b")

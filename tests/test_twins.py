@@ -28,3 +28,11 @@ def test_images_that_share_a_path(spark, tmp_path):
     urls = ["https://a.org/1", "https://a.org/1", "https://b.org", "https://a.org/1", "https://b.org", "https://c.org", "https://d.org"]
     pages = {"page_id": list(range(6, 13)), "url": urls, "html": [""] * 7}
     assert not any(differ(spark, tmp_path, "image_rejections", pages=pages))
+
+
+def test_tags_beyond_the_usual_most(spark, tmp_path):
+    """More than 5,000 tags are compared, all of them."""
+    x = np.random.default_rng(2).normal(size=(8600, 24)).astype(np.float32)
+    x[8000:8600:7] = x[1:602:7] + 0.01
+    embeddings = {"vec_id": list(range(8600)), "label": [0] * 8600, "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}
+    assert not any(differ(spark, tmp_path, "semantic_tags", embeddings=embeddings))
