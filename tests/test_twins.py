@@ -36,3 +36,10 @@ def test_tags_beyond_the_usual_most(spark, tmp_path):
     x[8000:8600:7] = x[1:602:7] + 0.01
     embeddings = {"vec_id": list(range(8600)), "label": [0] * 8600, "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}
     assert not any(differ(spark, tmp_path, "semantic_tags", embeddings=embeddings))
+
+
+def test_excerpt_keeps_a_line_s_digits(spark, tmp_path):
+    texts = ["at 10\n101 or 11\n\n 22 and 2 \nmore", "0", "", " \n ", "3" * 300 + " 1\n1"]
+    n = len(texts)
+    documents = {"doc_id": list(range(n)), "text": texts, "lang": ["en"] * n, "source": ["a"] * n, "n_chars": [len(t) for t in texts]}
+    assert not any(differ(spark, tmp_path, "fn_body_excerpt", documents=documents))
