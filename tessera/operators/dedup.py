@@ -77,7 +77,8 @@ def propose_links(members: DataFrame, ranks: DataFrame, keys: DataFrame, links:
 def near_candidates(vectors: DataFrame, ranks: DataFrame, links: DataFrame, threshold: float = 0.97, most: int | None = 500) -> DataFrame:
     """DD7: (canonical_id, duplicate_id, score) of the most similar unlinked pairs whose pair isn't known yet."""
     m = merged(links).select(F.col("duplicate_id").alias("document_id"))
-    pairs = similar_pairs(vectors.join(m, "document_id", "left_anti"), "document_id", "embedding", threshold)
+    own = vectors.join(m, "document_id", "left_anti").join(ranks.select(F.col("id").alias("document_id"), "standing"), "document_id", "left")
+    pairs = similar_pairs(own, "document_id", "embedding", threshold, extra=("standing",))
     known = (
         links.select(
             F.least("canonical_id", "duplicate_id").alias("a"),
@@ -85,18 +86,13 @@ def near_candidates(vectors: DataFrame, ranks: DataFrame, links: DataFrame, thre
         )
         .distinct()
     )
-    fresh = pairs.join(known, ["a", "b"], "left_anti").select("a", "b", F.round("similarity", 4).alias("score"))
+    fresh = pairs.join(known, ["a", "b"], "left_anti").withColumn("score", F.round("similarity", 4))
     top = fresh if most is None else fresh.orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(most)
-    r = lambda c: ranks.select(F.col("id").alias(c), F.col("standing").alias(f"r{c}"))
-    first = F.col("ra") < F.col("rb")
-    return (
-        top.join(r("a"), "a")
-        .join(r("b"), "b")
-        .select(
-            F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"),
-            F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate_id"),
-            "score",
-        )
+    first = F.col("a_standing") < F.col("b_standing")
+    return top.where("a_standing is not null and b_standing is not null").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate_id"),
+        "score",
     )
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, dot, l2_normalize
+from .blocks import met, packed
+from .graph import written
 
 #: Vectors in one block of a similarity join.
 BLOCK = 1024
@@ -35,37 +38,76 @@ def _apart(near: np.ndarray, reach: np.ndarray, threshold: float) -> list[tuple[
     return [(int(i), int(j)) for i, j in np.argwhere(angle <= limit) if i <= j]
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """JN9: (a, b, similarity), a < b, of all pairs with cosine at the threshold or above.
+def _nearest_pivot(near: np.ndarray, extra: tuple[str, ...]):
+    """Adds the nearest pivot (of ties the least) and its cosine, a batch as one matrix product."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v")
+            dots = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) @ near.T
+            r = dots.argmax(1)
+            kept = [batch.column(c) for c in ("k", "v", *extra)]
+            new = [pa.array(r.astype(np.int32)), pa.array(dots[np.arange(len(r)), r])]
+            yield pa.RecordBatch.from_arrays(kept + new, ["k", "v", *extra, "r", "s"])
+
+    return run
+
+
+def _pairs(threshold: float, extra: tuple[str, ...]):
+    """The pairs of two blocks at the threshold or above, the lesser key first."""
+
+    def work(pairs):
+        for b, left, b2, right in pairs:
+            s = _matrix(left) @ _matrix(right).T
+            row, col = np.nonzero(s >= threshold)
+            a, z = left.column("k").combine_chunks().take(pa.array(row)), right.column("k").combine_chunks().take(pa.array(col))
+            less = pc.less(a, z)
+            if b == b2:
+                keep = less.to_numpy(zero_copy_only=False)
+                row, col, a, z, less = row[keep], col[keep], a.filter(less), z.filter(less), less.filter(less)
+            out = {"a": pc.if_else(less, a, z), "b": pc.if_else(less, z, a), "similarity": pa.array(s[row, col])}
+            for c in extra:
+                one, two = left.column(c).combine_chunks().take(pa.array(row)), right.column(c).combine_chunks().take(pa.array(col))
+                out |= {f"a_{c}": pc.if_else(less, one, two), f"b_{c}": pc.if_else(less, two, one)}
+            for at in range(0, len(row), 1 << 16):
+                yield pa.table({c: v.slice(at, 1 << 16) for c, v in out.items()})
+
+    return work
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    v = t.column("v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """JN9: (a, b, similarity), a < b, of all pairs with cosine at the threshold or above; columns ``extra`` of both as a_..., b_....
 
     Vectors go to the nearest of some pivots (vectors with the least hashes of their keys),
     and two regions are compared only if their pivots' angle, less what both regions reach
     out, allows a pair: exact, whatever the data, and the closer the more they cluster.
     Regions are cut into blocks by a hash; a task multiplies two blocks, so it holds two
-    blocks whatever the table's size.  Only pairs that pass leave it.  Vectors that are
+    blocks whatever the table's size (``blocks``), and no vector is dealt to all blocks.  Only
+    pairs that pass leave it.  Vectors that are
     null, zero, of another length than most, or hold null or non-finite components have no
     pairs.
     """
     spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in extra}
+    schema = ", ".join([f"a {kind}, b {kind}, similarity double", *[f"a_{c} {t}, b_{c} {t}" for c, t in kinds.items()]])
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
-    own = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(usable)
+    own = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *extra).where(usable)
     shape = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if shape is None:
-        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+        return spark.createDataFrame([], schema)
     own = own.where(F.size("v") == shape["d"]).withColumn("v", l2_normalize(F.col("v"), 0.0))
     several = min(pivots, shape["n"] // block)
     if several > 1:
         picked = own.orderBy(F.xxhash64("k"), "k").limit(several).select("v").collect()
         near = np.array([r["v"] for r in picked])
-        packed = F.broadcast(
-            spark.createDataFrame(
-                [([(i, v) for i, v in enumerate(near.tolist())],)],
-                "pack array<struct<i:int,c:array<double>>>",
-            )
-        )
-        closest = F.array_max(F.transform("pack", lambda p: F.struct(dot(F.col("v"), p["c"]).alias("s"), (-p["i"]).alias("m"))))
-        own = own.join(packed).withColumn("best", closest).select("k", "v", (-F.col("best.m")).alias("r"), F.col("best.s").alias("s"))
+        more = "".join(f", {c} {t}" for c, t in kinds.items())
+        own = own.mapInArrow(_nearest_pivot(near, extra), f"k {kind}, v array<double>{more}, r int, s double")
         counted = own.groupBy("r").agg(F.count("*").alias("n"), F.min("s").alias("s")).collect()
         held = {r["r"]: (r["n"], float(np.arccos(np.clip(r["s"], -1, 1)))) for r in counted}
     else:  # one region, which needs no pivot
@@ -79,35 +121,18 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
             meets[i].append(j)
             if i != j:
                 meets[j].append(i)
-    # A row for each region: its first block, how many it has, and the blocks of all regions that it may have pairs with.
-    grid = F.broadcast(
-        spark.createDataFrame(
-            [(i, first[i], parts[i], [(first[j], parts[j]) for j in meets[i]]) for i in meets],
-            "r int, low int, n int, others array<struct<low:int,n:int>>",
-        )
-    )
-    placed = own.join(grid, "r").withColumn("b", (F.col("low") + F.pmod(F.xxhash64("k"), F.col("n"))).cast("int"))
-    others = F.flatten(F.transform("others", lambda o: F.sequence(o["low"], o["low"] + o["n"] - 1)))
-    tiles = placed.withColumn("o", F.explode(others)).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def pairs(key_, t):
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(len(t), -1)
-        ids, b = t.column("k").combine_chunks(), t.column("b").to_numpy()
-        i, j = key_[0].as_py(), key_[1].as_py()
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        s = x[left] @ x[right].T
-        row, col = np.nonzero(s >= threshold)
-        a, z = left[row], right[col]
-        order = np.array(ids.to_pylist(), dtype=object)
-        keep = np.array([order[p] < order[q] for p, q in zip(a, z)], bool) if i == j else np.ones(len(a), bool)
-        a, z, s = a[keep], z[keep], s[row, col][keep]
-        first = [order[p] < order[q] for p, q in zip(a, z)]
-        lo = [order[p] if f else order[q] for p, q, f in zip(a, z, first)]
-        hi = [order[q] if f else order[p] for p, q, f in zip(a, z, first)]
-        return pa.table({"a": pa.array(lo, ids.type), "b": pa.array(hi, ids.type), "similarity": pa.array(s, pa.float64())})
-
-    return tiles.groupBy("i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, similarity double")
+    # A row for each region: its first block, how many it has, and the regions that it may have pairs with.
+    grid = F.broadcast(spark.createDataFrame([(i, first[i], parts[i], meets[i]) for i in meets], "r int, low int, n int, others array<int>"))
+    placed = own.join(grid.select("r", "low", "n"), "r")
+    blocks = packed(placed.select("k", "v", *extra, "low", "n"), F.col("low") + F.pmod(F.xxhash64("k"), F.col("n")))
+    # Two blocks meet once, in one of both orders by turns, so that all have as many to meet.
+    even = (F.col("block") + F.col("block_2")) % 2 == 0
+    once = (F.col("block") == F.col("block_2")) | F.when(F.col("block") < F.col("block_2"), ~even).otherwise(even)
+    if any(len(m) < len(held) for m in meets.values()):
+        within = (F.col("block") >= F.col("low")) & (F.col("block") < F.col("low") + F.col("n"))
+        blocks = written(blocks.join(grid, within).select("block", "data", "r", "others"))
+        once = once & F.array_contains("others", F.col("r_2"))
+    return met(blocks, blocks, (sum(parts), sum(parts)), shape["n"] * 8 * (shape["d"] + 8), _pairs(threshold, extra), schema, once)
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "document_id", most: int = 10_000) -> DataFrame:

@@ -209,3 +209,19 @@ def test_ranks_without_one_window(spark):
     assert got == sorted(((i * 7919) % 1000, i) for i in range(5000))
     assert sorted(r["rank"] for r in out.collect()) == list(range(1, 5001))
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_pairs_without_copies_of_rows(spark):
+    """Blocks meet in a product, a vector isn't dealt to all of them; columns of both sides come along."""
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(90, 5))
+    v = spark.createDataFrame([(f"k{i}", r.tolist(), -i) for i, r in enumerate(x)], "k string, e array<double>, w long")
+    got = vectors.similar_pairs(v, "k", "e", 0.6, 8, 1, extra=("w",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {tuple(sorted((f"k{i}", f"k{j}"))) for i in range(90) for j in range(i) if u[i] @ u[j] >= 0.6}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
+    assert all((f"k{-r.a_w}", f"k{-r.b_w}") == (r.a, r.b) for r in rows)
