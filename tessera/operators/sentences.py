@@ -59,7 +59,14 @@ def mark(token: Column) -> Column:
 
 def kind(token: Column) -> Column:
     """A token's type: lower case without quotes, brackets and marks around it; ## for numbers."""
-    core = F.lower(F.regexp_replace(F.regexp_replace(token, f"^{_OPEN}+", ""), f"([.!?…]+{_CLOSE}*|[,;:]|{_CLOSE})+$", ""))
+    return _numbers(_core(token))
+
+
+def _core(token: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(token, f"^{_OPEN}+", ""), f"([.!?…]+{_CLOSE}*|[,;:]|{_CLOSE})+$", ""))
+
+
+def _numbers(core: Column) -> Column:
     return F.when(core.rlike(r"^[0-9][0-9.,]*$"), "##").otherwise(core)
 
 
@@ -84,6 +91,14 @@ def counts(texts: DataFrame) -> DataFrame:
     return own.groupBy(*own.columns).agg(F.count("*").alias("n"))
 
 
+def type_counts(texts: DataFrame) -> DataFrame:
+    """(type, period, n) over (body), as ``abbreviations`` reads them: equal tokens are counted before any is looked at."""
+    words = F.split(F.regexp_replace(F.coalesce("body", F.lit("")), r"\n[\x20\x09-\x0D]*\n", f" {_BREAK} "), r"[\x20\x09-\x0D]+")
+    own = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").isin("", _BREAK))
+    typed = own.select(_core(F.col("w")).alias("core"), (mark(F.col("w")) == ".").alias("period"), "n")
+    return typed.select(_numbers(F.col("core")).alias("type"), "period", "n").groupBy("type", "period").agg(F.sum("n").alias("n"))
+
+
 def _ll(k: Column, n: Column, p: Column) -> Column:
     """Log likelihood of k hits in n draws of chance p; what has no draws says nothing."""
     safe = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))
@@ -100,7 +115,8 @@ def abbreviations(table: DataFrame) -> DataFrame:
     """(type, with_period, without, score) of the types that count as abbreviations."""
     word = F.col("type").rlike(r"\p{L}")
     by = table.groupBy("type").agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("with_period"), F.sum("n").alias("all"))
-    total = table.agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("periods"))
+    by = written(by)  # read twice
+    total = by.agg(F.sum("all").alias("tokens"), F.sum("with_period").alias("periods"))
     own = by.where(word & (F.col("with_period") > 0)).crossJoin(F.broadcast(total))  # one row of totals
     inner = F.length("type") - F.length(F.replace(F.col("type"), F.lit("."), F.lit("")))
     letters = (F.length("type") - inner).cast("double")

@@ -95,3 +95,17 @@ def test_an_empty_corpus_teaches_nothing(spark):
     none = S.train(spark.createDataFrame([], "body string"))
     assert none.abbreviations.isEmpty() and none.openers.isEmpty() and none.collocations.isEmpty()
     assert cases(spark, none, ["One. Two. three."]) == {0: ["One.", "Two. three."]}
+
+
+def test_types_are_counted_as_pairs_count_them(spark):
+    """Abbreviations from distinct tokens are those from all pairs."""
+    from tessera.operators import sentences as S
+
+    texts = ["Dr. Dr. Abt. (Abt. 3.5) ends. \"Abt.\" abt, a.b. \n\n  ¶ x.  ", "", None, " Abt. No. 12, no! No? Straße. ZZ.\tq. r."] * 5
+    rows = spark.createDataFrame([(t,) for t in texts], "body string")
+    own = S.type_counts(rows)
+    assert own.columns == ["type", "period", "n"]
+    whole = S.counts(rows).groupBy("type", "period").agg(S.F.sum("n").alias("n"))
+    as_set = lambda t: {tuple(r) for r in t.collect()}
+    assert as_set(own) == as_set(whole) and own.count() == whole.count()
+    assert as_set(S.abbreviations(own)) == as_set(S.abbreviations(S.counts(rows))) != set()
